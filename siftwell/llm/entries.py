@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import training_order
+
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 def op3_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return digest(scan(docs)[0])
+
+
 def op5_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -28,5 +41,11 @@ def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
