@@ -47,5 +47,11 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import digest, repeated_passages
+
+    return digest(repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
