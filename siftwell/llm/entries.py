@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace
+
+    return replace(table(spark, sf_dir, "documents"))
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import training_order
 
@@ -47,6 +53,18 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import digest, repeated_passages
 
