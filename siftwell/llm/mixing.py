@@ -126,3 +126,17 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", tex
     worded = one.where("size > 0").groupBy(*keys).agg(F.sum(F.col("shared") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
     empty = one.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return worded.unionByName(empty).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def mixed_documents(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents, each as often as the mix takes its words; the columns stay as they are.
+
+    A part of a lap counts as a whole copy with a probability equal to that part, drawn from
+    a keyed hash of the id, so the sums stay near the targets; documents without words stay once.
+    """
+    plan = mix(docs, p, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("size").alias("size"), F.avg("taken").alias("taken"), F.max("size").alias("most"))
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
+    draw = F.pmod(F.xxhash64(F.lit(p.seed + 1), F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = plan.select(F.col("doc_id").alias("__mix_id"), F.floor(share + draw).cast("int").alias("__copies")).where("__copies > 0")
+    met = docs.join(copies, docs[id_col].eqNullSafe(F.col("__mix_id")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
