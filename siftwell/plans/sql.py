@@ -112,7 +112,7 @@ bc as (select session_id, c, row_number() over (partition by session_id order by
 bl as (select session_id, quantile_cont(c, 0.5) as median, max(c) filter (i = least(n - 1, floor(n * 0.75::double)) + 1) as standout from bc where n >= 4 group by 1)"""
 
 _EXPLAINED = f"""with recursive {_pairs()}, {_LEADERS}, {_ACTED}, {_BASE},
-pc as materialized (select *, row_number() over (partition by session_id order by rank) - 1 as pick from r where rejected_for is null),
+pc as (select *, count(*) over (partition by session_id order by rank rows between unbounded preceding and 1 preceding) as pick from r where rejected_for is null),
 pt as materialized (select * from pc where pick < 20),
 nv as (select a.session_id, a.photo_id, coalesce(least(1::double, min(1::double - n.sim)), 1::double) as novelty from pt a
   left join (pt b join n on n.session_id = b.session_id) on b.session_id = a.session_id and b.pick < a.pick and n.a = b.photo_id and n.b = a.photo_id group by 1, 2),
