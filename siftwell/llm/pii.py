@@ -31,7 +31,7 @@ MALE_NAMES = ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo"
 FEMALE_NAMES = ("Alma", "Berta", "Clara", "Diana", "Elena", "Fiona", "Greta", "Hanna", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula")
 SYLLABLES = ("ba", "den", "fi", "gor", "hal", "kin", "lo", "mar", "nes", "o", "per", "ra", "sol", "ta", "ven", "wei")
 
-_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
+_TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 PHONE = r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
