@@ -5,10 +5,14 @@ passages of two blocks of ``stride`` words form a TF-IDF matrix A over ``feature
 (inverse document frequencies to the power ``idf_power``); the frequencies come from all passages. One distributed pass gives ``B = A'A W`` for a random
 W (features x rank), whose randomised (Nystrom) eigendecomposition yields A's leading right
 singular vectors and values. Passages and benchmark items are projected and scaled by
-the singular values; passages with a cosine of ``min_cosine`` or more to an item are candidates.
-A candidate counts when the longest common subsequence of the item with the text around the
-passage covers ``lcs_percent`` of the item, or ``answer_lcs_percent`` and the item's closing
-words (its answer) stand there in a row.
+the singular values; documents with a passage of a cosine of ``min_cosine`` or more to an item are
+candidates. So that no item is lost where it is shorter than a passage or reworded, documents that
+hold enough of an item's rarest words close together are candidates too: whatever passes the
+comparison below holds that many, so this side misses nothing.
+A candidate counts when the longest common subsequence of the item with a stretch of 1.25 item
+lengths covers ``lcs_percent`` of the item, or ``answer_lcs_percent`` and the item's closing
+words (its answer) stand in a row at most an item's length away from it.
+``cosine`` is the highest of the document's passages, ``first_word`` where the stretch begins.
 
 Sizes: what a task sends on is features x rank numbers, and the driver holds as much; both
 are parameters, whatever the corpus. Items are taken in blocks of ``items_per_pass``.
@@ -58,7 +62,8 @@ class WordIds(dict):
 
 
 def _ids(text: bytes | None, known: WordIds) -> np.ndarray:
-    words = text.lower().split() if text else ()
+    # bytes.lower() knows ASCII only.
+    words = (text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()).split() if text else ()
     return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
 
 
@@ -207,38 +212,69 @@ def _holds(text: bytes, part: bytes) -> bool:
     return at >= 0
 
 
-def _matches(rows: DataFrame, items: list, projection: np.ndarray, p: DecontamParams) -> DataFrame:
+def _rare(texts: list[np.ndarray], df: np.ndarray, p: DecontamParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The items' rarest words: (for each word hash, begin of its items; these items), and for each item how many of them any match holds, and its width.
+
+    A match holds ``least`` per cent of an item's words, so it lacks few; of the rarest words, as many as
+    it may lack and ``t`` more, it holds ``t`` at least. Filtering by that loses no match.
+    """
+    least = min(p.lcs_percent, p.answer_lcs_percent)
+    pairs, t = [], np.zeros(len(texts), np.int64)
+    for j, words in enumerate(texts):
+        n = len(words)
+        lacks = n - -(-n * least // 100)
+        t[j] = max(1, min(n - lacks, n // 4))
+        rarest = words[np.argsort(df[words % p.features], kind="stable")[: lacks + t[j]]]
+        pairs.append(np.stack([np.unique(rarest).astype(np.int64), np.full(len(np.unique(rarest)), j)]))
+    word, item = np.concatenate(pairs, axis=1)
+    by = np.argsort(word, kind="stable")
+    return np.searchsorted(word[by], np.arange(0x10001)), item[by], t, np.array([_width(len(x)) for x in texts])
+
+
+def _by_words(words: np.ndarray, row_of: np.ndarray, rare: tuple) -> set:
+    """(row, item) pairs where a stretch of the item's width holds enough of its rarest words."""
+    begin, items, t, width = rare
+    k = begin[words.astype(np.int64) + 1] - begin[words]
+    at = np.flatnonzero(k)
+    k = k[at]
+    place = np.repeat(at, k)
+    item = items[np.arange(len(place)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[words[at]], k)]
+    by = np.argsort(item, kind="stable")
+    place, item = place[by], item[by]
+    last = np.arange(len(place)) + t[item] - 1
+    inside = last < len(place)
+    first, last = np.flatnonzero(inside), last[inside]
+    good = (item[last] == item[first]) & (row_of[place[last]] == row_of[place[first]])
+    good &= place[last] - place[first] < width[item[first]]
+    first = first[good]
+    return set(zip(row_of[place[first]].tolist(), item[first].tolist(), strict=True))
+
+
+def _matches(rows: DataFrame, items: list, projection: np.ndarray, df: np.ndarray, p: DecontamParams) -> DataFrame:
     keys = [i["id"] for i in items]
     texts = [np.frombuffer(i["words"], np.uint16) for i in items]
     latent = _unit(np.stack([projection[t % p.features].sum(0) for t in texts])).T.astype(np.float32)
-    ship = rows.sparkSession.sparkContext.broadcast((keys, [t.tobytes() for t in texts], latent, projection))
+    ship = rows.sparkSession.sparkContext.broadcast((keys, [t.tobytes() for t in texts], latent, projection, _rare(texts, df, p)))
 
     def run(batches):
-        keys, texts, latent, projection = ship.value
-        lists = [np.frombuffer(t, np.uint16).tolist() for t in texts]
-        need = np.array([len(t) for t in lists])
+        keys, texts, latent, projection, rare = ship.value
+        arrays = [np.frombuffer(t, np.uint16) for t in texts]
+        known = np.zeros(0x10000, bool)
         for batch in batches:
             best = {}
             for ids, words, offsets, begin, block_row in _groups(batch, p):
                 first, goes_on = _passages(block_row)
                 z = _unit(_sums(projection, words % p.features, begin, first, goes_on))
-                at, row = begin[first], block_row[first]
-                end = np.minimum(at + 2 * p.stride, offsets[row + 1])
+                row = block_row[first]
+                pairs = _by_words(words, np.repeat(np.arange(len(ids)), np.diff(offsets)), rare)
                 for lo in range(0, len(z), 4096):
-                    cos = z[lo : lo + 4096] @ latent
-                    for i, j in zip(*np.nonzero(cos >= p.min_cosine), strict=True):
-                        r, item, n = row[lo + i], lists[j], need[j]
-                        a = max(offsets[r], at[lo + i] - n)
-                        b = min(offsets[r + 1], end[lo + i] + n)
-                        around = words[a:b]
-                        if best.get((ids[r], j), (0,))[0] >= 100:
-                            continue
-                        covered = 100 * lcs(item, around[_span(around, item)].tolist()) // n
-                        answer = _holds(around.tobytes(), texts[j][-2 * p.answer_words :])
-                        if covered >= p.lcs_percent or covered >= p.answer_lcs_percent and answer:
-                            old = best.get((ids[r], j), (-1,))
-                            if covered > old[0]:
-                                best[ids[r], j] = (covered, float(cos[i, j]), int(a - offsets[r]), answer)
+                    i, j = np.nonzero(z[lo : lo + 4096] @ latent >= p.min_cosine)
+                    pairs.update(zip(row[lo + i].tolist(), j.tolist(), strict=True))
+                for r, j in sorted(pairs):
+                    got = _best_stretch(words[offsets[r] : offsets[r + 1]], arrays[j], known, p)
+                    if got and got[0] > best.get((ids[r], j), (-1,))[0]:
+                        a, b = np.searchsorted(row, (r, r + 1))
+                        best[ids[r], j] = (got[0], float((z[a:b] @ latent[:, j]).max()), *got[1:])
             out = [(d, keys[j], *v) for (d, j), v in best.items()]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["doc_id", "item_id", "lcs_percent", "cosine", "first_word", "answer"])
@@ -246,14 +282,41 @@ def _matches(rows: DataFrame, items: list, projection: np.ndarray, p: DecontamPa
     return rows.mapInArrow(run, "doc_id long, item_id long, lcs_percent long, cosine double, first_word long, answer boolean")
 
 
-def _span(around: np.ndarray, item: list[int]) -> slice:
-    """The stretch of 1.25 item lengths that holds most of the item's words."""
-    width = max(len(item) * 5 // 4, 1)
-    if len(around) <= width:
-        return slice(None)
-    hits = np.concatenate([[0], np.cumsum(np.isin(around, item))])
-    at = int(np.argmax(hits[width:] - hits[:-width]))
-    return slice(at, at + width)
+def _width(n: int) -> int:
+    """Words of a stretch that is compared with an item of n words."""
+    return max(n * 5 // 4, 1)
+
+
+def _best_stretch(row: np.ndarray, item: np.ndarray, known: np.ndarray, p: DecontamParams) -> tuple | None:
+    """(lcs percent, first word, answer) of the stretch of 1.25 item lengths that covers most of the item, or None.
+
+    Every stretch that begins with a word of the item and holds enough of its words is compared; ``known`` is 65536 times false, and left so.
+    """
+    n, width = len(item), _width(len(item))
+    known[item] = True
+    hits = known[row]
+    known[item] = False
+    sums = np.concatenate([[0], np.cumsum(hits)])
+    starts = np.flatnonzero(hits)
+    held = 100 * (sums[np.minimum(starts + width, len(row))] - sums[starts]) // n
+    by = np.argsort(-held, kind="stable")
+    by = by[held[by] >= min(p.lcs_percent, p.answer_lcs_percent)]
+    best, items, seen = None, item.tolist(), {}
+    for s, most in zip(starts[by].tolist(), held[by].tolist(), strict=True):
+        if best and min(most, 100) <= best[0]:
+            break
+        stretch = row[s : s + width]
+        around = row[max(0, s - n) : s + width + n].tobytes()
+        # Repeated words give equal stretches again and again.
+        if (data := stretch.tobytes()) not in seen:
+            seen[data] = 100 * lcs(items, stretch.tolist()) // n
+        covered = seen[data]
+        if covered < min(p.lcs_percent, p.answer_lcs_percent) or best and covered <= best[0]:
+            continue
+        answer = _holds(around, item[-p.answer_words :].tobytes())
+        if covered >= p.lcs_percent or covered >= p.answer_lcs_percent and answer:
+            best = (covered, s, answer)
+    return best
 
 
 def _short(rows: DataFrame, items: list) -> DataFrame:
@@ -285,7 +348,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Deco
         block = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k).select("id", "words").collect()
         long = [i for i in block if len(i["words"]) >= 2 * p.min_item_words]
         short = [i for i in block if len(i["words"]) < 2 * p.min_item_words]
-        out += [_matches(rows, long, projection, p)] if long else []
+        out += [_matches(rows, long, projection, df, p)] if long else []
         out += [_short(rows, short)] if short else []
     found = empty
     for x in out:
