@@ -29,8 +29,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in training order."""
-    return tokens.training_order(docs)
+    """Shard files of token sequences in training order, and their rows as read back from them."""
+    return tokens.materialise(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("token shards", token_shards)]

@@ -26,10 +26,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/siftwell/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def save(df: DataFrame, tag: str, codec: str = "zstd", zstd_level: int = 3) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", zstd_level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,9 +15,9 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokens import training_order
+    from .tokens import materialise
 
-    return training_order(table(spark, sf_dir, "documents"))
+    return materialise(table(spark, sf_dir, "documents"))
 
 
 def op3_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

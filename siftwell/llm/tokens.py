@@ -4,9 +4,10 @@ Documents are tokenised and packed, task by task, into sequences of ``length`` t
 (16-bit, little-endian), every document ended by the end token. Sequence number i of N gets
 the global slot P(i), where P is a keyed Feistel permutation of a power-of-four domain,
 walked along its cycle until it falls below N: a bijection on 0..N-1 that needs no table and
-no sort. Slots are range-partitioned into shards of ``shard`` sequences; the sequence of slot
-s lies in shard s // shard at a byte offset of (s % shard) * stride, so a reader resumes at
-any slot by arithmetic alone.
+no sort. Slots are range-partitioned into shards of ``shard`` sequences, one file each; the sequence
+of slot s lies in shard s // shard at a byte offset of (s % shard) * stride, so a reader resumes at
+any slot by arithmetic alone. A record is the 2 * length bytes of its token ids, ``n_tokens``, ``first_doc`` and
+``n_docs`` as text of fixed width (a null is blank), and a line feed.
 
 The vocabulary is a file of a public tokenizer, read on the driver and shipped to the tasks
 (``ranks_path`` is a parameter). Texts are cut at white space before the tokenizer's own
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, scratch_path
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,14 @@ class TokenParams:
     end: int = 50256
     ranks_path: str = "byte_bpe_multi_50k.tiktoken"
 
+    @property
+    def stride(self) -> int:
+        """Bytes of a record."""
+        return 2 * self.length + sum(WIDTHS.values()) + 1
+
+
+#: Bytes of the numbers behind the token ids.
+WIDTHS = {"n_tokens": 10, "first_doc": 20, "n_docs": 10}
 
 #: White space as the tokenizer's pattern sees it.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -142,7 +151,7 @@ def sequences(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "do
 
 def training_order(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences with their place: slot, shard, byte_offset, n_tokens, first_doc, n_docs, tokens; sorted within range partitions."""
-    packed = save(sequences(docs, p, id_col, text_col), "sequences")
+    packed = save(sequences(docs, p, id_col, text_col), "sequences", zstd_level=9)
     counts = packed.groupBy("part").agg(F.count("*").alias("k"))
     n = counts.agg(F.sum("k")).first()[0] or 0
     starts = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -151,27 +160,70 @@ def training_order(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str
     def slot(index):
         return index.__class__(feistel(index.to_numpy(), n, p.key, p.rounds))
 
-    placed = packed.join(starts, "part").withColumn("slot", slot(F.col("start") + F.col("number")))
-    out = placed.select(
-        "slot", F.floor(F.col("slot") / p.shard).cast("int").alias("shard"), (F.col("slot") % p.shard * (2 * p.length)).alias("byte_offset"),
-        "n_tokens", "first_doc", "n_docs", "tokens",
-    )
-    return out.repartitionByRange(max(1, -(-n // p.shard)), "shard").sortWithinPartitions("slot")
+    @F.pandas_udf("binary")
+    def squeezed(tokens):
+        return tokens.map(lambda x: pa.compress(x, codec="zstd", asbytes=True))
+
+    @F.pandas_udf("binary")
+    def restored(tokens):
+        return tokens.map(lambda x: pa.decompress(x, decompressed_size=2 * p.length, codec="zstd", asbytes=True))
+
+    # The token ids cross the exchange compressed: disk is what this takes most of.
+    placed = packed.join(F.broadcast(starts), "part").select(slot(F.col("start") + F.col("number")).alias("slot"), "n_tokens", "first_doc", "n_docs", squeezed("tokens").alias("tokens"))
+    dealt = placed.withColumn("shard", F.floor(F.col("slot") / p.shard).cast("int")).repartitionByRange(max(1, -(-n // p.shard)), "shard")
+    out = dealt.select("slot", "shard", (F.col("slot") % p.shard * p.stride).alias("byte_offset"), "n_tokens", "first_doc", "n_docs", restored("tokens").alias("tokens"))
+    return out.sortWithinPartitions("shard", "slot")
+
+
+def _write(ordered: DataFrame, path: str) -> None:
+    numbers = [F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in WIDTHS.items()]
+    record = F.concat(F.col("tokens"), *[x.cast("binary") for x in numbers]).cast("string")
+    ordered.select("shard", record.alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """Writes one file a shard: the sequences of its slots in order, each followed by one line feed (stride: 2 * length + 1 bytes).
+    """Writes one file a shard: the records of its slots in order.
 
     The bytes go out through Spark's own text writer, so any file system it knows will do and
     lost tasks are committed once. The folder name tells the shard.
     """
-    bytes_as_text = ordered.select("shard", "slot", F.col("tokens").cast("string").alias("value"))
-    bytes_as_text.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    _write(ordered.repartitionByRange("shard").sortWithinPartitions("shard", "slot"), path)
+
+
+def read_shards(spark: SparkSession, path: str, p: TokenParams = TokenParams()) -> DataFrame:
+    """The rows of training_order as the shard files hold them, cut out by offset, and the file of each."""
+    schema = "slot long, shard int, byte_offset long, n_tokens int, first_doc long, n_docs int, tokens binary, file string"
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard, data = int(re.search(r"shard=(\d+)", file)[1]), memoryview(content.as_buffer())
+                for lo in range(0, len(data), 1024 * p.stride):
+                    rows = []
+                    for offset in range(lo, min(lo + 1024 * p.stride, len(data)), p.stride):
+                        numbers, at = [], offset + 2 * p.length
+                        for w in WIDTHS.values():
+                            number = bytes(data[at : at + w]).strip()
+                            numbers.append(int(number) if number else None)
+                            at += w
+                        rows.append((shard * p.shard + offset // p.stride, shard, offset, *numbers, bytes(data[offset : offset + 2 * p.length]), file))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def materialise(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Writes the shard files (in the shared folder where no path is given) and returns their rows, read back from them."""
+    path = path or scratch_path(docs.sparkSession, "shards")
+    _write(training_order(docs, p, id_col, text_col), path)
+    return read_shards(docs.sparkSession, path, p)
 
 
 def read_slots(spark: SparkSession, path: str, shard: int, first: int, count: int, p: TokenParams = TokenParams()) -> np.ndarray:
     """Token ids of ``count`` sequences of a shard from its ``first`` on, by offsets alone."""
-    stride = 2 * p.length + 1
-    content = F.substring("content", first * stride + 1, count * stride)
+    content = F.substring("content", first * p.stride + 1, count * p.stride)
     data = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shard={shard}").select(content).first()[0])
-    return np.frombuffer(data, np.uint8).reshape(-1, stride)[:, :-1].copy().view("<u2")
+    return np.frombuffer(data, np.uint8).reshape(-1, p.stride)[:, : 2 * p.length].copy().view("<u2")

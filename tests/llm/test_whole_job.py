@@ -2,9 +2,12 @@
 
 import random
 
-from siftwell.llm import decontam
+from pyspark.sql import functions as F
 
-from .test_operators import docs, words
+from siftwell.llm import decontam, tokens
+from siftwell.llm.entries import op2_training_order
+
+from .test_operators import EDGES, docs, words
 
 
 def test_short_and_reworded_items_are_found(spark):
@@ -32,3 +35,22 @@ def test_items_are_found_in_capitals(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     texts = [f"{' '.join(words(40, 1))} {item.upper().replace('SS', 'ß')} {' '.join(words(40, 2))}"]
     assert decontam.contaminated(docs(spark, *texts), bench).first().lcs_percent == 100
+
+
+def test_training_order_is_read_back_from_its_files(spark, tmp_path):
+    p = tokens.TokenParams(length=16, shard=8)
+    df = docs(spark, *[" ".join(words(20 + i, i)) for i in range(40)], *EDGES[:6]).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    want = {r.slot: r for r in tokens.training_order(df, p).collect()}
+    got = {r.slot: r for r in tokens.materialise(df, p, path=str(tmp_path / "shards")).collect()}
+    assert set(got) == set(want) and any(r.first_doc is None for r in want.values())
+    for slot, r in got.items():
+        assert tuple(r)[:-1] == tuple(want[slot])
+        data = open(r.file.removeprefix("file:"), "rb").read()
+        assert data[r.byte_offset :][: 2 * p.length] == bytes(r.tokens)
+    assert tokens.materialise(df.limit(0), p).count() == 0
+
+
+def test_training_order_query_writes_its_shards(spark):
+    r = op2_training_order(spark, "/root/testdata/sf0.001").where("slot = 5").first()
+    data = open(r.file.removeprefix("file:"), "rb").read()
+    assert data[r.byte_offset :][: len(r.tokens)] == bytes(r.tokens)
