@@ -10,8 +10,12 @@ sizes; those not clearly below the threshold are then checked on the full sets.
 
 Documents with equal sets are one class, so copies never multiply. A bucket of any size
 gives a star (each member with the smallest id) first. Then, only in buckets whose members
-lie in different components, the members are compared block by block (``block`` members
-on either side), so no group is taken into one task as a whole and no candidate is dropped.
+lie in different components, the members are compared block by block: a block holds about
+``block`` members and ``block_elements`` set elements, and each pair of blocks is a group of its
+own, so no bucket is taken into one task as a whole and no candidate is dropped. A group
+holds the full sets, verifies there, and skips members that its links already join, so it
+returns a spanning forest of its links (fewer rows than members), never its pairs. A pair is
+looked at in the first band only that it shares.
 
 Band settings: at similarity 0.75 a pair shares none of the 32 bands of 4 registers with a
 probability of 5e-6; the estimate's margin of 0.2 is over 4 standard deviations.
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fresh, save
 from .components import components
 
 
@@ -48,6 +52,8 @@ class NearDupParams:
     top: int = (1 << 16) - 2
     margin: float = 0.2
     block: int = 512
+    block_elements: int = 1 << 20
+    rows_per_task: int = 1_500
     seed: int = 11
 
     @property
@@ -111,34 +117,41 @@ def registers_of(sets: list[np.ndarray], p: NearDupParams) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(least, 1e-300)) / np.log(p.base)), 0, p.top + 1).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes."""
-    m = a.shape[1]
+def _likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float):
+    """Log-likelihood of the Jaccard similarity of pairs of sketches with known set sizes: a concave function."""
     more, less = (a > b).sum(1), (a < b).sum(1)
-    same = m - more - less
+    same = a.shape[1] - more - less
     u, v = na / (na + nb), nb / (na + nb)
 
     def p_b(x):
         return -np.log1p(-np.maximum(x, 0) * (base - 1) / base) / np.log(base)
 
-    def likelihood(j):
+    def value(j):
         pa_, pb_ = p_b(u - v * j), p_b(v - u * j)
         eps = 1e-12
         return more * np.log(pa_ + eps) + less * np.log(pb_ + eps) + same * np.log(np.maximum(1 - pa_ - pb_, eps))
 
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(30):  # the likelihood is concave
+    return value, np.minimum(u / v, v / u)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes."""
+    value, hi = _likelihood(a, b, na, nb, base)
+    lo = np.zeros(len(hi))
+    for _ in range(30):
         x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        up = likelihood(x) < likelihood(y)
+        up = value(x) < value(y)
         lo, hi = np.where(up, x, lo), np.where(up, hi, y)
     return (lo + hi) / 2
 
 
 def _likely(a, b, na, nb, p: NearDupParams) -> np.ndarray:
-    fits = 100 * np.minimum(na, nb) >= p.percent * np.maximum(na, nb)
-    out = np.zeros(len(fits), bool)
-    if fits.any():
-        out[fits] = estimate(a[fits], b[fits], na[fits].astype(float), nb[fits].astype(float), p.base) >= p.percent / 100 - p.margin
+    """Whether the estimate reaches the threshold less the margin: whether the likelihood still rises there."""
+    out = 100 * np.minimum(na, nb) >= p.percent * np.maximum(na, nb)
+    if out.any():
+        value, _ = _likelihood(a[out], b[out], na[out].astype(float), nb[out].astype(float), p.base)
+        at = p.percent / 100 - p.margin
+        out[out] = value(np.full(int(out.sum()), at)) <= value(np.full(int(out.sum()), at + 1e-3))
     return out
 
 
@@ -168,31 +181,39 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: N
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) -> DataFrame:
-    """(doc_id, elements): the sorted 64-bit set of each document, as bytes."""
+    """(doc_id, set_hash, elements): the sorted 64-bit set of each document, as bytes."""
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
             sets = [text_set(t, known, p.shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_hash", "elements"])
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, elements binary")
+    return slim.mapInArrow(run, "doc_id long, set_hash binary, elements binary")
+
+
+def band_keys(regs: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """A key for each band of each row of registers."""
+    regs = regs.reshape(len(regs), p.bands, p.rows)
+    salt = mixed(np.arange(1, p.bands + 1, dtype=np.uint64))
+    key = np.zeros(regs.shape[:2], np.uint64)
+    for i in range(p.rows):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, i].astype(np.uint64) + salt)
+    return key.view(np.int64)
 
 
-def _band_keys(reps: DataFrame, p: NearDupParams) -> DataFrame:
+def _banded(reps: DataFrame, p: NearDupParams) -> DataFrame:
+    """(band, id, n): a row for each band of each class."""
+
     def run(batches):
-        salt = mixed(np.arange(1, p.bands + 1, dtype=np.uint64))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, p.bands, p.rows)
-            key = np.zeros((batch.num_rows, p.bands), np.uint64)
-            for i in range(p.rows):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, i].astype(np.uint64) + salt)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), p.bands))], ["band", "id"])
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(2)), p)
+                ids, ns = (np.repeat(batch.column(i).to_numpy(), p.bands) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(ns)], ["band", "id", "n"])
 
-    return reps.select("id", "regs").mapInArrow(run, "band long, id long")
+    return reps.select("id", "n", "regs").mapInArrow(run, "band long, id long, n long")
 
 
 def _matrix(column) -> np.ndarray:
@@ -232,32 +253,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, shared long, total long")
 
 
-def _across(members: DataFrame, p: NearDupParams) -> DataFrame:
-    """Probable pairs between components in the same bucket. members: band, id, n, regs, comp.
+class Group:
+    """The members of two blocks of a bucket: ids, set sizes, registers, components, blocks and full sets."""
+
+    def __init__(self, rows: list[tuple], band: int, p: NearDupParams):
+        self.p = p
+        self.ids, self.sizes, self.comps, self.blocks = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3, 4))
+        self.regs = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        self.begin = np.cumsum([0] + [len(x) for x in sets])
+        universe, self.elements = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(universe), bool)
+        # A pair is looked at in the first band that it shares; at the lowest similarity let through, far fewer registers agree by chance.
+        self.band = int(np.argwhere(band_keys(self.regs, p) == band)[0, 1])
+        self.least = max(1, int(p.registers * (p.percent / 100 - p.margin) / 2))
+
+    def _shared(self, i: int, js: np.ndarray) -> np.ndarray:
+        own = self.elements[self.begin[i] : self.begin[i + 1]]
+        self.mark[own] = True
+        if len(js) * 8 > len(self.ids):
+            out = np.add.reduceat(self.mark[self.elements], self.begin[:-1], dtype=np.int64)[js]
+        else:
+            out = np.array([self.mark[self.elements[self.begin[j] : self.begin[j + 1]]].sum() for j in js], np.int64)
+        self.mark[own] = False
+        return out
+
+    def links(self):
+        """A spanning forest of the links between members of different components."""
+        labels, one_block = self.comps.copy(), self.blocks.min() == self.blocks.max()
+        for i in range(len(self.ids) - 1):
+            js = np.arange(i + 1, len(self.ids))
+            js = js[(labels[js] != labels[i]) & (one_block | (self.blocks[js] != self.blocks[i]))]
+            if not len(js):
+                continue
+            equal = self.regs[js] == self.regs[i]
+            enough = equal.sum(1) >= self.least
+            js, equal = js[enough], equal[enough]
+            if not len(js):
+                continue
+            js = js[equal.reshape(len(js), self.p.bands, self.p.rows).all(2).argmax(1) == self.band]
+            if not len(js):
+                continue
+            js = js[_likely(np.broadcast_to(self.regs[i], (len(js), self.p.registers)), self.regs[js], np.full(len(js), self.sizes[i]), self.sizes[js], self.p)]
+            if not len(js):
+                continue
+            shared = self._shared(i, js)
+            for j in js[100 * shared >= self.p.percent * (self.sizes[i] + self.sizes[js] - shared)]:
+                if labels[j] != labels[i]:
+                    labels[labels == labels[j]] = labels[i]
+                    yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
+
+
+def _spread(members: DataFrame, p: NearDupParams) -> DataFrame:
+    """(band, x, y, id, n, comp, own): members of buckets that hold several components, once for each pair of blocks with theirs. members: band, id, n, comp."""
+    sized = members.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    parts = F.greatest(F.ceil(F.col("k") / p.block), F.ceil(F.col("size") / p.block_elements))
+    own = members.join(save(sized.select("band", parts.alias("parts")), "buckets"), "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return spread.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "comp", "own")
 
-    A bucket of k members is k / block blocks; every pair of blocks is a group of its own.
-    """
 
-    def compare(rows):
-        ids, ns, comps = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
-        blocks = np.array([r[4] for r in rows])
-        regs = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
-        one_block = blocks.min() == blocks.max()
-        for i in range(len(rows)):
-            js = np.arange(i + 1, len(rows))
-            js = js[(comps[js] != comps[i]) & (ids[js] != ids[i]) & (one_block | (blocks[js] != blocks[i]))]
-            if len(js):
-                same = (regs[js] == regs[i]).sum(1)  # at the lowest similarity let through, far fewer agree by chance
-                js = js[same >= max(1, int(p.registers * (p.percent / 100 - p.margin) / 2))]
-            if len(js):
-                hit = js[_likely(np.repeat(regs[i : i + 1], len(js), 0), regs[js], np.repeat(ns[i], len(js)), ns[js], p)]
-                yield from ((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in hit)
+def _across(groups: DataFrame, tasks: int, p: NearDupParams) -> DataFrame:
+    """Links (a, b) inside groups of band, x, y, id, n, regs, comp, own, elements."""
 
     def run(batches):
         group, rows = None, []
 
         def done():
-            found = list(compare(rows)) if len(rows) > 1 else []
+            found = list(Group(rows, group[0], p).links()) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -269,52 +332,53 @@ def _across(members: DataFrame, p: NearDupParams) -> DataFrame:
                 rows.append(row)
         yield done()
 
-    sized = members.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    own = members.join(sized, "band").withColumn("parts", F.ceil(F.col("k") / p.block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spread = spread.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "regs", "comp", "own")
-    spread = spread.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    dealt = groups.repartition(tasks, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return dealt.select("band", "x", "y", "id", "n", "regs", "comp", "own", "elements").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     known = save(sketch(docs, id_col, text_col, p), "sketches")
     usable = known.where("doc_id is not null and set_hash is not null")
-    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x")).select("x.doc_id", "x.n_shingles", "x.regs")
     # An id that is repeated with different sets stands for all of them in links.
-    reps = save(reps.toDF("id", "n", "regs"), "reps")
-    bands = save(_band_keys(reps, p), "bands", "lz4")
-    full = bands.groupBy("band").agg(F.count("*").alias("k"), F.min("id").alias("lead")).where("k > 1")
-    members = save(bands.join(full.select("band", "lead"), "band"), "members")
+    first = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x"))
+    reps = save(first.select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.regs", "set_hash"), "reps")
+    bands = save(_banded(reps, p), "bands", "lz4")
+    full = save(bands.groupBy("band").agg(F.count("*").alias("k"), F.min("id").alias("lead")).where("k > 1").select("band", "lead"), "buckets")
+    members = save(bands.join(full, "band"), "members")
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = save(_probable(stars, reps, p), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     sets = save(full_sets(_only(docs, wanted, id_col, text_col), "doc_id", "text", p), "sets", "uncompressed")
-    links = save(_verified(likely, sets, p), "links")
+    links = save(_verified(likely, sets, p).select("a", "b"), "links")
     comps = components(links)
-    joined = members.select("band", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed_bands = joined.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    further = save(_across(joined.join(mixed_bands, "band", "left_semi").join(reps, "id").select("band", "id", "n", "regs", "comp"), p), "further")
-    # Pairs of the first round that were looked at on full sets need no second look.
-    further = further.join(likely, ["a", "b"], "left_anti")
-    if not further.isEmpty():
-        more = further.select(F.col("a").alias("doc_id")).union(further.select("b")).distinct().join(sets, "doc_id", "left_anti")
-        both = sets.unionByName(full_sets(_only(docs, more, id_col, text_col), "doc_id", "text", p))
-        comps = components(links.unionByName(_verified(further, save(both, "sets", "uncompressed"), p)))
-    classes = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("component"))
+    placed = save(members.select("band", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    spread = save(_spread(placed, p), "blocks")
+    rows = spread.count()
+    if rows:
+        more = spread.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+        more = full_sets(_only(docs, more, id_col, text_col), "doc_id", "text", p)
+        both = sets.unionByName(more).withColumnRenamed("doc_id", "id")
+        groups = spread.join(reps, ["id", "n"]).join(both, ["id", "set_hash"])
+        # Tasks by the number of rows: the work lies in the comparisons, not in the bytes.
+        comps = components(links.unionByName(save(_across(groups, max(1, -(-rows // p.rows_per_task)), p), "further")))
+    classes = reps.select("set_hash", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("component"))
     out = known.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return slim.join(ids, "doc_id", "left_semi")
+    """The texts of these ids, equal rows once."""
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("hash", F.xxhash64("text"))
+    return slim.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"]).drop("hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
-    """The documents without all but one of each near-duplicate group; the columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, p).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
+    """The documents without all but one of each near-duplicate group; the columns stay as they are.
+
+    Rows of one id are one document: they stay or go together. Rows without an id stay.
+    """
+    gone = fresh("gone", docs.columns)
+    ids = near_duplicates(docs, id_col, text_col, p).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, docs[id_col].cast("long") == F.col(gone), "left_anti")
