@@ -3,19 +3,21 @@
 A window is ``window`` (50) consecutive words of one document. A word goes when a window that
 covers it also starts in a document with a smaller id.
 
-1. Every document gives the minima of its 25-word shingle hashes over each window (winnowing:
+1. Every document gives the minima of its ``seed``-word shingle hashes over each window (winnowing:
    equal windows have equal minima, so a recurring window has a recurring fingerprint).
 2. Documents with equal word sequences are one class; all but its smallest id lose everything.
 3. Windows with a recurring fingerprint are grouped by their hash; those in two documents or
    more are confirmed, and belong to the smallest id. Runs of them are that owner's passages.
-4. The passages' aligned 25-word blocks (every window inside a passage holds one) are
-   compiled into automata with pyahocorasick, one a shard of ``shard_words`` passage words. The
-   documents that hold a shard's fingerprints stream through it; each block found is
-   extended word by word along the passage, and stretches of a whole window or more go.
+4. The passages' aligned ``block``-word pieces (every window inside a passage holds one) are
+   compiled into automata with pyahocorasick, one a shard of ``shard_words`` passage words. Of every
+   other document, each run of confirmed windows streams through the shard of their owner; each
+   piece found is extended word by word along the passage, and stretches of a whole window or more go.
 
-The documents of a shard are split over as many tasks as they need (each compiles the shard's
-automaton and streams), so a passage that a third of all documents share is no hot spot.
-What is removed was compared word by word; hashes only choose what to compare.
+A confirmed window has one owner, so what is routed is a row for each window of a document, and no
+word of a text is streamed more often than windows cover it. The stretches of a shard are split over
+as many tasks as they need (each compiles the shard's automaton), so a passage that a third of all
+documents share is no hot spot. What is removed was compared word by word; hashes only choose what
+to compare (a window whose 64-bit hash is also that of another one in a smaller id would stay).
 
 Defined results: null texts have no words; texts of fewer words than a window lose nothing;
 rows with a null id neither lose words nor count as smaller; exact repeats of a row don't remove
@@ -42,11 +44,12 @@ from .neardup import WordHashes, mixed, shingle_hashes
 @dataclass(frozen=True)
 class PhraseParams:
     window: int = 50
+    seed: int = 16
     shard_words: int = 100_000
-    docs_per_task: int = 1_500
+    task_words: int = 400_000
 
     @property
-    def seed(self) -> int:
+    def block(self) -> int:
         return self.window // 2
 
 
@@ -61,9 +64,10 @@ def _minima(x: np.ndarray, w: int) -> np.ndarray:
 
 def _windows(words: list[bytes], known: WordHashes, p: PhraseParams) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and hash of every window of a document."""
-    s = shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), p.seed)
-    far = p.window - p.seed
-    return _minima(s, far + 1), mixed(s[: len(s) - far] * np.uint64(0x9E3779B97F4A7C15) + s[far:])
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    half = shingle_hashes(w, p.block)
+    far = p.window - p.block
+    return _minima(shingle_hashes(w, p.seed), p.window - p.seed + 1), mixed(half[: len(half) - far] * np.uint64(0x9E3779B97F4A7C15) + half[far:])
 
 
 def fingerprints(docs: DataFrame, p: PhraseParams, id_col: str, text_col: str) -> DataFrame:
@@ -107,23 +111,26 @@ def _confirming(candidates: DataFrame, p: PhraseParams) -> DataFrame:
     return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, doc_id long, at int")
 
 
-def _passages(owners: DataFrame, p: PhraseParams) -> DataFrame:
-    """(owner, passage, prints) from (doc_id, text, starts): runs of owned windows, as text."""
+def _runs(marked: DataFrame, p: PhraseParams) -> DataFrame:
+    """Runs of windows with one owner, as text: passages (where the document owns them) and stretches to be streamed. marked: doc_id, sequence, text, marks."""
+    names = ["owner", "is_doc", "doc_id", "sequence", "first", "n", "text"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             out = []
-            for doc, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words, at = text.split(), np.sort(starts.values.to_numpy())
-                for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    passage = words[run_[0] : run_[-1] + p.window]
-                    if len(passage) >= p.window:  # another row of the same id may be shorter
-                        out.append((doc, b" ".join(passage), len(passage), np.unique(_windows(passage, known, p)[0]).view(np.int64)))
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["owner", "passage", "n", "prints"])
+            for doc, sequence, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                words, (at, owner) = text.split(), (x.to_numpy() for x in marks.values.flatten())
+                by = np.lexsort((at, owner))
+                at, owner = at[by], owner[by]
+                cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) != 0)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                    piece = words[at[lo] : at[hi - 1] + p.window]
+                    if len(piece) >= p.window:  # another row of the same id may be shorter
+                        out.append((owner[lo], owner[lo] != doc, doc, sequence, at[lo], len(piece), b" ".join(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
 
-    return owners.select("doc_id", "text", "starts").mapInArrow(run, "owner long, passage binary, n int, prints array<long>")
+    return marked.select("doc_id", "sequence", "text", "marks").mapInArrow(run, "owner long, is_doc boolean, doc_id long, sequence binary, first int, n int, text binary")
 
 
 class Automaton:
@@ -135,8 +142,8 @@ class Automaton:
         self.p, self.passages, blocks = p, [], {}
         for owner, passage in passages:
             words = passage.decode("utf-8", "surrogateescape").split(" ")
-            for at in range(0, len(words) - p.seed + 1, p.seed):
-                blocks.setdefault(" " + " ".join(words[at : at + p.seed]) + " ", []).append((len(self.passages), at))
+            for at in range(0, len(words) - p.block + 1, p.block):
+                blocks.setdefault(" " + " ".join(words[at : at + p.block]) + " ", []).append((len(self.passages), at))
             self.passages.append((owner, words))
         self.machine = ahocorasick.Automaton()
         for block, places in blocks.items():
@@ -152,12 +159,12 @@ class Automaton:
             at = bisect_left(begins, end - size + 1)
             for number, offset in places:
                 owner, own = self.passages[number]
-                if owner >= doc or past.get((number, at - offset), -1) >= at + self.p.seed:
+                if owner >= doc or past.get((number, at - offset), -1) >= at + self.p.block:
                     continue
                 i, j = at, offset
                 while i and j and words[i - 1] == own[j - 1]:
                     i, j = i - 1, j - 1
-                e, f = at + self.p.seed, offset + self.p.seed
+                e, f = at + self.p.block, offset + self.p.block
                 while e < len(words) and f < len(own) and words[e] == own[f]:
                     e, f = e + 1, f + 1
                 past[number, at - offset] = e
@@ -167,24 +174,24 @@ class Automaton:
 
 
 def _located(rows: DataFrame, p: PhraseParams) -> DataFrame:
-    """(doc_id, sequence, first, past) from rows sorted by (shard, salt, is_doc): passages first, then documents."""
+    """(sequence, first, past) from rows sorted by (shard, salt, is_doc): passages first, then stretches of documents."""
 
     def run(batches):
         group, passages, machine = None, [], None
         for batch in batches:
             out = []
-            for shard, salt, is_doc, owner, sequence, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for shard, salt, is_doc, owner, doc, sequence, first, text in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if (shard, salt) != group:
                     group, passages, machine = (shard, salt), [], None
                 if not is_doc:
                     passages.append((owner, text))
                 elif passages:
                     machine = machine or Automaton(passages, p)
-                    out += [(owner, sequence, a, b) for a, b in machine.stretches(owner, text)]
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["doc_id", "sequence", "first", "past"])
+                    out += [(sequence, first + a, first + b) for a, b in machine.stretches(doc, text)]
+            types = [pa.binary(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["sequence", "first", "past"])
 
-    return rows.select("shard", "salt", "is_doc", "owner", "sequence", "text").mapInArrow(run, "doc_id long, sequence binary, first int, past int")
+    return rows.select("shard", "salt", "is_doc", "owner", "doc_id", "sequence", "first", "text").mapInArrow(run, "sequence binary, first int, past int")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -209,36 +216,30 @@ def repeated_passages(docs: DataFrame, p: PhraseParams = PhraseParams(), id_col:
     """Per row: doc_id, n_words, n_removed, words_sha256, and kept_text (the kept words joined by blanks) where words were removed."""
     known = save(fingerprints(docs, p, id_col, text_col), "prints")
     usable = known.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= p.window))
-    classes = usable.groupBy("sequence").agg(F.min("doc_id").alias("rep"))
-    # One row a class: the prints are those of its words, whichever row they come from.
-    firsts = usable.select("sequence", "doc_id", "prints").join(classes.select("sequence", F.col("rep").alias("doc_id")), ["sequence", "doc_id"], "left_semi")
-    each = save(firsts.select("doc_id", F.explode("prints").alias("print")), "each")
-    again = each.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print")
-    shared = save(each.join(again, "print").distinct(), "shared")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+    classes = save(usable.groupBy("sequence").agg(F.min("doc_id").alias("rep")), "classes")
+    # Copies of a text are one holder of its fingerprints.
+    held = usable.select("doc_id", F.xxhash64("sequence").alias("holder"), F.explode("prints").alias("print"))
+    again = save(held.groupBy("print").agg(F.min("holder").alias("lo"), F.max("holder").alias("hi")).where("lo < hi").select("print"), "again")
+    per_doc = held.select("doc_id", "print").join(again, "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     reps = classes.select(F.col("rep").alias("doc_id"), "sequence")
-    candidates = _slim(docs, id_col, text_col).join(per_doc, "doc_id")
+    candidates = _slim(docs, id_col, text_col).join(per_doc.join(reps.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     candidates = save(_own_text(candidates).join(reps, ["doc_id", "sequence"], "left_semi").dropDuplicates(["sequence"]), "candidates")
-    windows = _confirming(candidates, p)
-    owned = windows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("own"), F.max("doc_id").alias("hi")).where("own.doc_id < hi")
-    starts = owned.groupBy(F.col("own.doc_id").alias("doc_id")).agg(F.collect_set("own.at").alias("starts"))
-    passages = save(_passages(candidates.select("doc_id", "text").join(starts, "doc_id"), p), "passages")
-    total = passages.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // p.shard_words))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    places = passages.select("owner", "shard", F.explode("prints").alias("print")).distinct()
-    routes = save(shared.join(places, "print").where("doc_id > owner").select("doc_id", "shard").distinct(), "routes")
-    load = routes.groupBy("shard").agg(F.ceil(F.count("*") / p.docs_per_task).alias("salts"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
+    windows = save(_confirming(candidates, p), "windows")
+    owned = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
+    owned = save(owned.select("window", "owner"), "owned")
+    marks = windows.join(owned, "window").groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner")).alias("marks"))
     texts = candidates.select("doc_id", "sequence", "text")
-    streamed = routes.join(load, "shard").withColumn("salt", salt).join(texts, "doc_id").select("shard", "salt", F.lit(True).alias("is_doc"), F.col("doc_id").alias("owner"), "sequence", "text")
-    compiled = passages.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    compiled = compiled.select("shard", "salt", F.lit(False).alias("is_doc"), "owner", F.lit(None).cast("binary").alias("sequence"), F.col("passage").alias("text"))
-    ordered = compiled.unionByName(streamed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_doc", "owner")
-    found = save(_located(ordered, p), "stretches")
-    per_text = found.groupBy("sequence").agg(F.collect_set(F.struct("first", "past")).alias("stretches"))
-    cut = _cut(texts.join(per_text, "sequence"))
-    out = known.select("doc_id", "n_words", "sequence", "words_sha256").join(classes, "sequence", "left").join(cut, "sequence", "left")
+    runs = save(_runs(texts.join(marks, "doc_id"), p), "runs")
+    size = runs.agg(F.sum(F.when(~F.col("is_doc"), F.col("n"))).alias("own"), F.sum(F.when(F.col("is_doc"), F.col("n"))).alias("streamed")).first()
+    shards = max(1, -(-(size["own"] or 0) // p.shard_words))
+    sharded = runs.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    load = sharded.where("is_doc").groupBy("shard").agg(F.ceil(F.sum("n") / p.task_words).alias("salts"))
+    salt = F.when(F.col("is_doc"), F.array(F.pmod(F.xxhash64("sequence", "first"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    dealt = sharded.join(load, "shard").withColumn("salt", F.explode(salt)).repartition(shards + (size["streamed"] or 0) // p.task_words, "shard", "salt")
+    found = save(_located(dealt.sortWithinPartitions("shard", "salt", "is_doc", "owner"), p), "stretches")
+    cut = _cut(texts.join(found.groupBy("sequence").agg(F.collect_set(F.struct("first", "past")).alias("stretches")), "sequence"))
+    judged = save(classes.join(cut, "sequence", "left"), "judged")
+    out = known.select("doc_id", "n_words", "sequence", "words_sha256").join(judged, "sequence", "left")
     copy = F.col("doc_id") > F.col("rep")
     first = F.col("doc_id") == F.col("rep")
     return out.select(

@@ -154,7 +154,7 @@ def test_repeated_passages(spark):
         parts = [words(r.randint(5, 40), 100 + i), r.choice(shared)[r.randint(0, 5) :], words(r.randint(0, 30), 200 + i), r.choice(shared)]
         texts.append(" ".join(sum(parts, [])))
     texts += [texts[3], texts[3], "", None, "short one"]
-    got = {x.doc_id: x for x in phrases.digest(phrases.repeated_passages(docs(spark, *texts), phrases.PhraseParams(shard_words=120, docs_per_task=7))).collect()}
+    got = {x.doc_id: x for x in phrases.digest(phrases.repeated_passages(docs(spark, *texts), phrases.PhraseParams(shard_words=120, task_words=500))).collect()}
     for d, n, kept in brute_passages([(i, (t or "").split()) for i, t in enumerate(texts)]):
         assert (got[d].n_removed, got[d].kept_sha256) == (n, hashlib.sha256(kept.encode()).hexdigest())
     assert phrases.repeated_passages(docs(spark, "a").limit(0)).count() == 0
