@@ -2,7 +2,8 @@
 
 Texts become rows of hashed words (lower case, outer punctuation stripped). Overlapping
 passages of two blocks of ``stride`` words form a TF-IDF matrix A over ``features`` hash buckets
-(inverse document frequencies to the power ``idf_power``); the frequencies come from all passages. One distributed pass gives ``B = A'A W`` for a random
+(inverse document frequencies to the power ``idf_power``; words below ``stop_share`` of the
+highest one count as stop words); the frequencies come from all passages. One distributed pass gives ``B = A'A W`` for a random
 W (features x rank), whose randomised (Nystrom) eigendecomposition yields A's leading right
 singular vectors and values. Passages and benchmark items are projected and scaled by
 the singular values; documents with a passage of a cosine of ``min_cosine`` or more to an item are
@@ -33,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fresh, save
+from .neardup import shingle_hashes
 
 MARKS = b".,;:!?\"'()[]{}<>"
 
@@ -44,6 +46,7 @@ class DecontamParams:
     features: int = 8192
     rank: int = 96
     idf_power: int = 3
+    stop_share: float = 0.3
     min_cosine: float = 0.5
     lcs_percent: int = 75
     answer_lcs_percent: int = 60
@@ -57,18 +60,18 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.strip(MARKS) or word) & 0xFFFF
+        self[word] = h = xxhash.xxh64_intdigest(word.strip(MARKS) or word)
         return h
 
 
 def _ids(text: bytes | None, known: WordIds) -> np.ndarray:
     # bytes.lower() knows ASCII only.
     words = (text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()).split() if text else ()
-    return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words): every text as 16-bit word hashes."""
+    """(id, words): every text as 64-bit word hashes."""
 
     def run(batches):
         known = WordIds()
@@ -94,7 +97,7 @@ def _groups(batch: pa.RecordBatch, p: DecontamParams, most: int = 20_000):
     for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         if data:
             ids.append(i)
-            rows.append(np.frombuffer(data, np.uint16))
+            rows.append(np.frombuffer(data, np.uint64))
             size += len(rows[-1])
             if size >= most:
                 yield group()
@@ -111,12 +114,28 @@ def _passages(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, goes_on[first]
 
 
-def _sums(weights: np.ndarray, features: np.ndarray, at: np.ndarray, first: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
-    """Sum of the words' weights, for each passage."""
-    blocks = np.add.reduceat(weights[features], at, axis=0)
-    out = blocks[first]
-    out[goes_on] += blocks[first[goes_on] + 1]
-    return out
+def _features(words: np.ndarray, p: DecontamParams) -> np.ndarray:
+    return (words % np.uint64(p.features)).astype(np.int64)
+
+
+class Blocks:
+    """The weighted words of a group of rows: their features, and the block of each."""
+
+    def __init__(self, words: np.ndarray, begin: np.ndarray, weighs: np.ndarray, p: DecontamParams):
+        features = _features(words, p)
+        used = weighs[features]
+        self.features, self.n = features[used], len(begin)
+        self.block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))[used]
+        self.starts = np.flatnonzero(np.append(True, self.block[1:] != self.block[:-1])) if len(self.block) else np.empty(0, np.int64)
+
+    def sums(self, weights: np.ndarray, first: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """Sum of the words' weights, for each passage."""
+        blocks = np.zeros((self.n, weights.shape[1]), np.float32)
+        if len(self.starts):
+            blocks[self.block[self.starts]] = np.add.reduceat(weights[self.features], self.starts, axis=0)
+        out = blocks[first]
+        out[goes_on] += blocks[first[goes_on] + 1]
+        return out
 
 
 def frequencies(rows: DataFrame, p: DecontamParams) -> tuple[np.ndarray, int]:
@@ -126,7 +145,7 @@ def frequencies(rows: DataFrame, p: DecontamParams) -> tuple[np.ndarray, int]:
         total, n = np.zeros(p.features, np.int64), 0
         for batch in batches:
             for _, words, offsets, begin, row in _groups(batch, p):
-                f = (words % p.features).astype(np.int32)
+                f = _features(words, p)
                 first, _ = _passages(row)
                 at = begin[first]
                 index = at[:, None] + np.arange(2 * p.stride)
@@ -151,23 +170,23 @@ def frequencies(rows: DataFrame, p: DecontamParams) -> tuple[np.ndarray, int]:
 def subspace(rows: DataFrame, idf: np.ndarray, p: DecontamParams) -> np.ndarray:
     """Projection (features x rank): word weights times right singular vectors over singular values."""
     test = np.random.default_rng(p.seed).standard_normal((p.features, p.rank)).astype(np.float32)
-    weighted = (idf[:, None] * test).astype(np.float32)
+    weighted, weighs = (idf[:, None] * test).astype(np.float32), idf > 0
 
     def run(batches):
         total = np.zeros((p.features, p.rank), np.float64)
         for batch in batches:
             for _, words, _, begin, row in _groups(batch, p):
-                f = (words % p.features).astype(np.int64)
+                held = Blocks(words, begin, weighs, p)
                 first, goes_on = _passages(row)
-                y = _sums(weighted, f, begin, first, goes_on)
+                y = held.sums(weighted, first, goes_on)
                 # A'y: each word gets the sum over the passages that hold it.
                 blocks = np.zeros((len(begin), p.rank), np.float32)
                 blocks[first] += y
                 blocks[first[goes_on] + 1] += y[goes_on]
-                block_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(f))))
-                by = np.argsort(f, kind="stable")
-                found, where = np.unique(f[by], return_index=True)
-                total[found] += np.add.reduceat(blocks[block_of[by]], where, axis=0)
+                by = np.argsort(held.features, kind="stable")
+                found, where = np.unique(held.features[by], return_index=True)
+                if len(found):
+                    total[found] += np.add.reduceat(blocks[held.block[by]], where, axis=0)
         seen = np.flatnonzero(total.any(axis=1))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(total[seen].astype(np.float32).ravel()), p.rank).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([pa.array(seen), lists], ["feature", "part"])
@@ -206,14 +225,20 @@ def lcs(a, b) -> int:
 
 
 def _holds(text: bytes, part: bytes) -> bool:
+    """Whether a run of words, as 64-bit hashes, stands in another."""
     at = text.find(part)
-    while at > 0 and at % 2:
+    while at > 0 and at % 8:
         at = text.find(part, at + 1)
     return at >= 0
 
 
+def _part(words: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash: enough to choose what to compare."""
+    return (words >> np.uint64(40) & np.uint64(0xFFFF)).astype(np.int64)
+
+
 def _rare(texts: list[np.ndarray], df: np.ndarray, p: DecontamParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The items' rarest words: (for each word hash, begin of its items; these items), and for each item how many of them any match holds, and its width.
+    """The items' rarest words: (for each 16-bit part of a word's hash, begin of its items; these items), and for each item how many of them any match holds, and its width.
 
     A match holds ``least`` per cent of an item's words, so it lacks few; of the rarest words, as many as
     it may lack and ``t`` more, it holds ``t`` at least. Filtering by that loses no match.
@@ -224,8 +249,8 @@ def _rare(texts: list[np.ndarray], df: np.ndarray, p: DecontamParams) -> tuple[n
         n = len(words)
         lacks = n - -(-n * least // 100)
         t[j] = max(1, min(n - lacks, n // 4))
-        rarest = words[np.argsort(df[words % p.features], kind="stable")[: lacks + t[j]]]
-        pairs.append(np.stack([np.unique(rarest).astype(np.int64), np.full(len(np.unique(rarest)), j)]))
+        rarest = np.unique(_part(words[np.argsort(df[_features(words, p)], kind="stable")[: lacks + t[j]]]))
+        pairs.append(np.stack([rarest, np.full(len(rarest), j)]))
     word, item = np.concatenate(pairs, axis=1)
     by = np.argsort(word, kind="stable")
     return np.searchsorted(word[by], np.arange(0x10001)), item[by], t, np.array([_width(len(x)) for x in texts])
@@ -234,7 +259,8 @@ def _rare(texts: list[np.ndarray], df: np.ndarray, p: DecontamParams) -> tuple[n
 def _by_words(words: np.ndarray, row_of: np.ndarray, rare: tuple) -> set:
     """(row, item) pairs where a stretch of the item's width holds enough of its rarest words."""
     begin, items, t, width = rare
-    k = begin[words.astype(np.int64) + 1] - begin[words]
+    words = _part(words)
+    k = begin[words + 1] - begin[words]
     at = np.flatnonzero(k)
     k = k[at]
     place = np.repeat(at, k)
@@ -252,23 +278,24 @@ def _by_words(words: np.ndarray, row_of: np.ndarray, rare: tuple) -> set:
 
 def _matches(rows: DataFrame, items: list, projection: np.ndarray, df: np.ndarray, p: DecontamParams) -> DataFrame:
     keys = [i["id"] for i in items]
-    texts = [np.frombuffer(i["words"], np.uint16) for i in items]
-    latent = _unit(np.stack([projection[t % p.features].sum(0) for t in texts])).T.astype(np.float32)
+    texts = [np.frombuffer(i["words"], np.uint64) for i in items]
+    latent = _unit(np.stack([projection[_features(t, p)].sum(0) for t in texts])).T.astype(np.float32)
     ship = rows.sparkSession.sparkContext.broadcast((keys, [t.tobytes() for t in texts], latent, projection, _rare(texts, df, p)))
 
     def run(batches):
         keys, texts, latent, projection, rare = ship.value
-        arrays = [np.frombuffer(t, np.uint16) for t in texts]
-        known = np.zeros(0x10000, bool)
+        arrays = [np.frombuffer(t, np.uint64) for t in texts]
+        known, weighs = np.zeros(0x10000, bool), projection.any(axis=1)
+        step = max(16, (1 << 22) // len(keys))  # cosines at a time
         for batch in batches:
             best = {}
             for ids, words, offsets, begin, block_row in _groups(batch, p):
                 first, goes_on = _passages(block_row)
-                z = _unit(_sums(projection, words % p.features, begin, first, goes_on))
+                z = _unit(Blocks(words, begin, weighs, p).sums(projection, first, goes_on))
                 row = block_row[first]
                 pairs = _by_words(words, np.repeat(np.arange(len(ids)), np.diff(offsets)), rare)
-                for lo in range(0, len(z), 4096):
-                    i, j = np.nonzero(z[lo : lo + 4096] @ latent >= p.min_cosine)
+                for lo in range(0, len(z), step):
+                    i, j = np.nonzero(z[lo : lo + step] @ latent >= p.min_cosine)
                     pairs.update(zip(row[lo + i].tolist(), j.tolist(), strict=True))
                 for r, j in sorted(pairs):
                     got = _best_stretch(words[offsets[r] : offsets[r + 1]], arrays[j], known, p)
@@ -293,9 +320,10 @@ def _best_stretch(row: np.ndarray, item: np.ndarray, known: np.ndarray, p: Decon
     Every stretch that begins with a word of the item and holds enough of its words is compared; ``known`` is 65536 times false, and left so.
     """
     n, width = len(item), _width(len(item))
-    known[item] = True
-    hits = known[row]
-    known[item] = False
+    part = _part(item)
+    known[part] = True
+    hits = known[_part(row)]
+    known[part] = False
     sums = np.concatenate([[0], np.cumsum(hits)])
     starts = np.flatnonzero(hits)
     held = 100 * (sums[np.minimum(starts + width, len(row))] - sums[starts]) // n
@@ -320,14 +348,30 @@ def _best_stretch(row: np.ndarray, item: np.ndarray, known: np.ndarray, p: Decon
 
 
 def _short(rows: DataFrame, items: list) -> DataFrame:
-    """Exact runs of items that are too short for a passage."""
-    ship = [(i["id"], i["words"]) for i in items]
+    """Exact runs of items that are too short for a passage: found by the hash of a run, compared word by word."""
+    by_length: dict[int, dict[int, list]] = {}
+    for i in items:
+        words = np.frombuffer(i["words"], np.uint64)
+        key = int(shingle_hashes(words, len(words))[0])
+        by_length.setdefault(len(words), {}).setdefault(key, []).append((i["id"], i["words"]))
+    ship = rows.sparkSession.sparkContext.broadcast(by_length)
 
     def run(batches):
+        tables = [(n, np.array(sorted(keys), np.uint64), keys) for n, keys in ship.value.items()]
         for batch in batches:
-            out = [(d, k) for d, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, t in ship if w and _holds(w, t)]
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([100] * n, pa.int64()), pa.array([1.0] * n, pa.float64()), pa.array([None] * n, pa.int64()), pa.array([True] * n, pa.bool_())], ["doc_id", "item_id", "lcs_percent", "cosine", "first_word", "answer"])
+            out = set()
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(data or b"", np.uint64)
+                for n, sought, keys in tables:
+                    if len(words) >= n:
+                        runs = shingle_hashes(words, n)
+                        for at in np.flatnonzero(np.isin(runs, sought)).tolist():
+                            out.update((doc, k, at) for k, t in keys[int(runs[at])] if words[at : at + n].tobytes() == t)
+            first = {}
+            for d, k, at in out:
+                first[d, k] = min(at, first.get((d, k), at))
+            n, pairs = len(first), list(first)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in pairs], pa.int64()), pa.array([o[1] for o in pairs], pa.int64()), pa.array([100] * n, pa.int64()), pa.array([1.0] * n, pa.float64()), pa.array([first[o] for o in pairs], pa.int64()), pa.array([True] * n, pa.bool_())], ["doc_id", "item_id", "lcs_percent", "cosine", "first_word", "answer"])
 
     return rows.mapInArrow(run, "doc_id long, item_id long, lcs_percent long, cosine double, first_word long, answer boolean")
 
@@ -341,13 +385,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Deco
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_percent long, cosine double, first_word long, answer boolean")
     if not n or not n_items:
         return empty
-    idf = np.log((1 + n) / (1 + df)) ** p.idf_power
+    idf = np.log((1 + n) / (1 + df))
+    # Words of a far smaller weight than the rarest ones' are stop words: they weigh nothing.
+    idf = np.where(idf >= p.stop_share * idf.max(), idf, 0.0) ** p.idf_power
     projection = subspace(rows, idf, p)
     out, blocks = [], -(-n_items // p.items_per_pass)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k).select("id", "words").collect()
-        long = [i for i in block if len(i["words"]) >= 2 * p.min_item_words]
-        short = [i for i in block if len(i["words"]) < 2 * p.min_item_words]
+        long = [i for i in block if len(i["words"]) >= 8 * p.min_item_words]
+        short = [i for i in block if len(i["words"]) < 8 * p.min_item_words]
         out += [_matches(rows, long, projection, df, p)] if long else []
         out += [_short(rows, short)] if short else []
     found = empty
@@ -358,6 +404,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Deco
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that match no benchmark item; the columns stay as they are."""
-    gone = contaminated(docs, benchmark, p, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
+    """The documents that match no benchmark item; the columns stay as they are.
+
+    Rows of one id are one document: they stay or go together; so do the rows without an id.
+    """
+    gone = fresh("gone", docs.columns)
+    ids = contaminated(docs, benchmark, p, id_col, text_col).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col(gone)), "left_anti")
