@@ -15,7 +15,8 @@ lie in different components, the members are compared block by block: a block ho
 own, so no bucket is taken into one task as a whole and no candidate is dropped. A group
 holds the full sets, verifies there, and skips members that its links already join, so it
 returns a spanning forest of its links (fewer rows than members), never its pairs. A pair is
-looked at in the first band only that it shares.
+looked at in the first band only that it shares, and before full sets are fetched, the same groups
+drop all members without any probable partner, by registers alone.
 
 Band settings: at similarity 0.75 a pair shares none of the 32 bands of 4 registers with a
 probability of 5e-6; the estimate's margin of 0.2 is over 4 standard deviations.
@@ -230,8 +231,10 @@ def _probable(pairs: DataFrame, reps: DataFrame, p: NearDupParams) -> DataFrame:
                 keep = _likely(_matrix(c["ra"]), _matrix(c["rb"]), c["na"].to_numpy(), c["nb"].to_numpy(), p)
                 yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], ["a", "b"])
 
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    held = reps.select("id", "n", "regs")
+    for x in ("a", "b"):
+        pairs = pairs.withColumnRenamed(x, "id").join(held, "id").withColumnsRenamed({"id": x, "n": "n" + x, "regs": "r" + x})
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
@@ -249,61 +252,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
                     found.append((a, b, shared, union))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["a", "b", "shared", "total"])
 
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("elements").alias("e" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, shared long, total long")
+    held = sets.select("doc_id", "elements")
+    for x in ("a", "b"):
+        pairs = pairs.withColumnRenamed(x, "doc_id").join(held, "doc_id").withColumnsRenamed({"doc_id": x, "elements": "e" + x})
+    return pairs.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, shared long, total long")
 
 
 class Group:
-    """The members of two blocks of a bucket: ids, set sizes, registers, components, blocks and full sets."""
+    """The members of two blocks of a bucket, from rows of id, n, regs, comp, own (the block) and, where links are wanted, elements."""
 
     def __init__(self, rows: list[tuple], band: int, p: NearDupParams):
         self.p = p
         self.ids, self.sizes, self.comps, self.blocks = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3, 4))
         self.regs = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        self.begin = np.cumsum([0] + [len(x) for x in sets])
-        universe, self.elements = np.unique(np.concatenate(sets), return_inverse=True)
-        self.mark = np.zeros(len(universe), bool)
         # A pair is looked at in the first band that it shares; at the lowest similarity let through, far fewer registers agree by chance.
         self.band = int(np.argwhere(band_keys(self.regs, p) == band)[0, 1])
         self.least = max(1, int(p.registers * (p.percent / 100 - p.margin) / 2))
+        self.one_block = self.blocks.min() == self.blocks.max()
 
-    def _shared(self, i: int, js: np.ndarray) -> np.ndarray:
-        own = self.elements[self.begin[i] : self.begin[i + 1]]
-        self.mark[own] = True
-        if len(js) * 8 > len(self.ids):
-            out = np.add.reduceat(self.mark[self.elements], self.begin[:-1], dtype=np.int64)[js]
-        else:
-            out = np.array([self.mark[self.elements[self.begin[j] : self.begin[j + 1]]].sum() for j in js], np.int64)
-        self.mark[own] = False
-        return out
-
-    def links(self):
-        """A spanning forest of the links between members of different components."""
-        labels, one_block = self.comps.copy(), self.blocks.min() == self.blocks.max()
-        for i in range(len(self.ids) - 1):
-            js = np.arange(i + 1, len(self.ids))
-            js = js[(labels[js] != labels[i]) & (one_block | (self.blocks[js] != self.blocks[i]))]
-            if not len(js):
-                continue
+    def probable(self, i: int, labels: np.ndarray) -> np.ndarray:
+        """The members after i, of another label, whose sketches don't speak against a link with i."""
+        js = np.arange(i + 1, len(self.ids))
+        js = js[(labels[js] != labels[i]) & (self.one_block | (self.blocks[js] != self.blocks[i]))]
+        if len(js):
             equal = self.regs[js] == self.regs[i]
             enough = equal.sum(1) >= self.least
             js, equal = js[enough], equal[enough]
-            if not len(js):
-                continue
+        if len(js):
             js = js[equal.reshape(len(js), self.p.bands, self.p.rows).all(2).argmax(1) == self.band]
-            if not len(js):
-                continue
+        if len(js):
             js = js[_likely(np.broadcast_to(self.regs[i], (len(js), self.p.registers)), self.regs[js], np.full(len(js), self.sizes[i]), self.sizes[js], self.p)]
+        return js
+
+    def with_partner(self) -> np.ndarray:
+        """Which members any probable link concerns."""
+        out = np.zeros(len(self.ids), bool)
+        for i in range(len(self.ids) - 1):
+            js = self.probable(i, self.comps)
+            out[js] = True
+            out[i] |= len(js) > 0
+        return out
+
+    def links(self, sets: list[np.ndarray]):
+        """A spanning forest of the links between members of different components."""
+        labels, begin = self.comps.copy(), np.cumsum([0] + [len(x) for x in sets])
+        universe, elements = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(universe), bool)
+        for i in range(len(self.ids) - 1):
+            js = self.probable(i, labels)
             if not len(js):
                 continue
-            shared = self._shared(i, js)
+            own = elements[begin[i] : begin[i + 1]]
+            mark[own] = True
+            if len(js) * 8 > len(self.ids):
+                shared = np.add.reduceat(mark[elements], begin[:-1], dtype=np.int64)[js]
+            else:
+                shared = np.array([mark[elements[begin[j] : begin[j + 1]]].sum() for j in js], np.int64)
+            mark[own] = False
             for j in js[100 * shared >= self.p.percent * (self.sizes[i] + self.sizes[js] - shared)]:
                 if labels[j] != labels[i]:
                     labels[labels == labels[j]] = labels[i]
                     yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
 
 
+def _by_group(dealt: DataFrame, columns: list[str], schema: str, found, p: NearDupParams) -> DataFrame:
+    """found(rows, key), a record batch, for each group of band, x, y of a sorted table."""
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for band, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if (band, x, y) != key:
+                    if len(rows) > 1:
+                        yield found(rows, key)
+                    key, rows = (band, x, y), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield found(rows, key)
+
+    return dealt.select("band", "x", "y", *columns).mapInArrow(run, schema)
+
+
 def _spread(members: DataFrame, p: NearDupParams) -> DataFrame:
     """(band, x, y, id, n, comp, own): members of buckets that hold several components, once for each pair of blocks with theirs. members: band, id, n, comp."""
     sized = members.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
@@ -313,27 +342,38 @@ def _spread(members: DataFrame, p: NearDupParams) -> DataFrame:
     return spread.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "comp", "own")
 
 
-def _across(groups: DataFrame, tasks: int, p: NearDupParams) -> DataFrame:
+def _dealt(groups: DataFrame, rows: int, p: NearDupParams) -> DataFrame:
+    """Groups in tasks by the number of rows: the work lies in the comparisons, not in the bytes."""
+    return groups.repartition(max(1, -(-rows // p.rows_per_task)), "band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+
+def _with_partners(groups: DataFrame, rows: int, p: NearDupParams) -> DataFrame:
+    """The rows (without registers) of groups of band, x, y, id, n, regs, comp, own that a probable link of their group concerns."""
+    names = ["band", "x", "y", "id", "n", "comp", "own"]
+
+    def found(rows, key):
+        kept = [r for r, k in zip(rows, Group(rows, key[0], p).with_partner(), strict=True) if k]
+        columns = [[k] * len(kept) for k in key] + [[r[i] for r in kept] for i in (0, 1, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return _by_group(_dealt(groups, rows, p), ["id", "n", "regs", "comp", "own"], ", ".join(f"{n} long" for n in names), found, p)
+
+
+def _across(groups: DataFrame, rows: int, p: NearDupParams) -> DataFrame:
     """Links (a, b) inside groups of band, x, y, id, n, regs, comp, own, elements."""
 
-    def run(batches):
-        group, rows = None, []
+    def found(rows, key):
+        pairs = list(Group(rows, key[0], p).links([np.frombuffer(r[5], np.uint64) for r in rows]))
+        return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        def done():
-            found = list(Group(rows, group[0], p).links()) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return _by_group(_dealt(groups, rows, p), ["id", "n", "regs", "comp", "own", "elements"], "a long, b long", found, p).distinct()
 
-        for batch in batches:
-            for band, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                if (band, x, y) != group:
-                    if len(rows) > 1:
-                        yield done()
-                    group, rows = (band, x, y), []
-                rows.append(row)
-        yield done()
 
-    dealt = groups.repartition(tasks, "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return dealt.select("band", "x", "y", "id", "n", "regs", "comp", "own", "elements").mapInArrow(run, "a long, b long").distinct()
+def _candidates(members: DataFrame, held: DataFrame, comps: DataFrame, p: NearDupParams) -> DataFrame:
+    """(band, x, y, id, n, comp, own): members with a probable link to one of another component, in their groups."""
+    placed = members.select("band", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    spread = save(_spread(save(placed, "placed"), p), "blocks")
+    return save(_with_partners(spread.join(held, ["id", "n"]), spread.count(), p), "partners")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -346,22 +386,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = save(_banded(reps, p), "bands", "lz4")
     full = save(bands.groupBy("band").agg(F.count("*").alias("k"), F.min("id").alias("lead")).where("k > 1").select("band", "lead"), "buckets")
     members = save(bands.join(full, "band"), "members")
+    held = save(reps.join(members.select("id").distinct(), "id", "left_semi"), "held")
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    likely = save(_probable(stars, reps, p), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = save(full_sets(_only(docs, wanted, id_col, text_col), "doc_id", "text", p), "sets", "uncompressed")
+    likely = save(_probable(stars, held, p), "likely")
+    # Full sets are needed at probable links only: those of the stars, and those between what the stars leave apart.
+    ends = likely.select(F.col("a").alias("id")).union(likely.select("b"))
+    wanted = save(ends.union(_candidates(members, held, components(likely), p).select("id")).distinct(), "wanted")
+    sets = save(full_sets(_only(docs, wanted.withColumnRenamed("id", "doc_id"), id_col, text_col), "doc_id", "text", p), "sets", "uncompressed")
     links = save(_verified(likely, sets, p).select("a", "b"), "links")
     comps = components(links)
-    placed = save(members.select("band", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    spread = save(_spread(placed, p), "blocks")
+    spread = _candidates(members.join(wanted, "id", "left_semi"), held, comps, p)
     rows = spread.count()
     if rows:
-        more = spread.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-        more = full_sets(_only(docs, more, id_col, text_col), "doc_id", "text", p)
-        both = sets.unionByName(more).withColumnRenamed("doc_id", "id")
-        groups = spread.join(reps, ["id", "n"]).join(both, ["id", "set_hash"])
-        # Tasks by the number of rows: the work lies in the comparisons, not in the bytes.
-        comps = components(links.unionByName(save(_across(groups, max(1, -(-rows // p.rows_per_task)), p), "further")))
+        groups = spread.join(held, ["id", "n"]).join(sets.withColumnRenamed("doc_id", "id"), ["id", "set_hash"])
+        comps = components(links.unionByName(save(_across(groups, rows, p), "further")))
     classes = reps.select("set_hash", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("component"))
     out = known.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
