@@ -3,16 +3,21 @@
 Texts are cut into overlapping windows of 8 words, one every 4. A window's band value is the
 least of its word-pair hashes under one of ``bands`` keys (a min-hash band of one row); a
 window is a candidate when a band value is that of a window of a license template. A notice
-of five words or more shares at least half of its pairs with some window, so at least one
-of 10 bands meets with a probability over 0.999. Candidates are verified by exact
-containment: the part of the template's word pairs that stand around the window.
+of five words or more shares at least 4 of the 7 pairs of some window, so that at least one of 10 bands
+meets with a probability over 0.999; where a whole window lies inside the template, all bands meet.
 
-The templates are a fixed, small table; its band values are literals in the plan, and it is
-joined by them. Nothing else is broadcast.
+Candidates are verified by exact containment, whatever the template's length: the word pairs of
+a candidate document that are pairs of the template are counted, each once, inside stretches of
+two template lengths (one begins at every template length, so each passage of a template's
+length lies in one whole). ``containment_percent`` of the template's pairs must stand there; from ``edit_pairs`` pairs on, two may
+always be missing, so one changed word does no harm.
+
+The templates are a fixed, small table; its band values are literals in the plan.
 
 Defined results: null and empty texts, and texts of one word, match nothing; the case of
-letters and punctuation around words don't count; repeated rows count once per id; an empty table
-gives an empty result. Extra columns are not read.
+letters and punctuation around words don't count; repeated rows count once per id; rows of one id
+with different texts are looked at text by text, and the best one counts; rows with a null id are found
+under a null id; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,19 +29,51 @@ from pyspark.sql import functions as F
 
 from .common import let, save
 
-#: Fixed texts of public license notices.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_NO_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+#: Fixed texts of public license notices: short notices, file headers and whole short licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-named": "This project is licensed under the Apache License 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MIT-named": "This project is licensed under the MIT License",
+    "MIT-permission": _MIT[: _MIT.index(", including")],
+    "MIT-text": _MIT + _NO_WARRANTY,
+    "BSD-redistribution": _BSD_2[: _BSD_2.index(" 1.")],
+    "BSD-2-Clause-conditions": _BSD_2,
+    "BSD-3-Clause-conditions": _BSD_2 + _BSD_3,
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-header": _GNU[: _GNU.index(", either")].format("General Public License"),
+    "GPL-2.0-header": _GNU.format("General Public License", 2),
+    "GPL-3.0-header": _GNU.format("General Public License", 3),
+    "LGPL-2.1-header": _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _GNU.format("Lesser General Public License", 3),
+    "AGPL-3.0-header": _GNU.format("Affero General Public License", 3),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -46,7 +83,7 @@ class LicenseParams:
     step: int = 4
     bands: int = 10
     containment_percent: int = 90
-    reach: int = 40
+    edit_pairs: int = 8
 
 
 def _pairs(text: Column) -> Column:
@@ -83,13 +120,22 @@ def licenses(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str =
     known = save(templates(docs.sparkSession, p, texts), "templates")
     values = [r[0] for r in known.select("value").distinct().collect()]  # as many as the templates have words
 
-    def hits(pairs):
-        met = F.filter(_bands(pairs, p.step, p), lambda w: w["value"].isin(values))
-        from_ = lambda w: F.greatest(w["at"] + 1 - p.reach, F.lit(1))
-        return F.transform(met, lambda w: F.struct(w["at"].alias("at"), w["value"].alias("value"), F.slice(pairs, from_(w), 2 * p.reach + p.window).alias("around")))
-
-    met = docs.select(docs[id_col].alias("doc_id"), F.explode(let(_pairs(docs[text_col]), hits)).alias("h")).select("doc_id", "h.*")
-    joined = met.join(known, "value")
-    share = F.size(F.array_intersect("wanted", "around")) / F.size("wanted")
-    sure = joined.withColumn("containment", share).where(F.col("containment") * 100 >= p.containment_percent)
-    return sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
+    def held(pairs):
+        return F.struct(pairs.alias("pairs"), F.filter(_bands(pairs, p.step, p), lambda w: w["value"].isin(values)).alias("met"))
+
+    read = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), let(_pairs(docs[text_col]), held).alias("h"))
+    met = save(read.where(F.size("h.met") > 0).select("doc_id", "version", "h.*").dropDuplicates(["doc_id", "version"]), "met")
+    windows = met.select("doc_id", "version", F.explode("met").alias("w")).select("doc_id", "version", "w.*")
+    found = windows.join(known.select("license", "value"), "value").groupBy("doc_id", "version", "license")
+    found = found.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
+    wanted = known.select("license", "wanted").distinct().select("license", F.size("wanted").alias("k"), F.explode("wanted").alias("pair"))
+    placed = met.select("doc_id", "version", F.posexplode("pairs").alias("at", "pair")).join(wanted, "pair")
+    # Every stretch of two template lengths that holds the pair.
+    at = F.floor(F.col("at") / F.col("k"))
+    placed = placed.select("doc_id", "version", "license", "k", "pair", F.explode(F.array(at, at - 1)).alias("stretch")).distinct()
+    held_pairs = placed.groupBy("doc_id", "version", "license", "k", "stretch").agg(F.count("*").alias("n"))
+    missing = F.greatest(F.floor(F.col("k") * (100 - p.containment_percent) / 100), F.when(F.col("k") >= p.edit_pairs, 2).otherwise(0))
+    sure = held_pairs.where(F.col("n") >= F.col("k") - missing).groupBy("doc_id", "version", "license").agg(F.max(F.col("n") / F.col("k")).alias("containment")).alias("s")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "version", "license")]
+    both = sure.join(found.alias("f"), same[0] & same[1] & same[2]).select("s.*", "f.n_windows", "f.first_word")
+    return both.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"))
