@@ -1,17 +1,19 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of a document is addressed by the SHA-256 of its content. A ledger holds, for
-each (blob, rules version) that was ever scanned, what was found. A run hashes all versions,
-takes the blobs that the ledger lacks under the current rules (each once, however many paths
-hold it), scans those, appends them to the ledger, and joins the ledger's findings back to
-all paths.
+Every version of a document is addressed by the SHA-256 of its content. A ledger, a table of
+Parquet parts at a path of its own, holds for each (blob, rules version) that was ever scanned what was
+found. A run hashes all versions, takes the blobs that the ledger lacks under the current rules
+(each once, however many paths hold it), fetches and scans only those, appends them to the
+ledger, and joins the ledger's findings back to all paths. A run over versions that are all known
+reads no content beyond hashing it and scans nothing; a new rules version scans every blob once more and
+leaves the older findings in place. Runs that overlap may scan a blob twice; readers take it once.
 
 Rules: the three base rules (assign, access, hex) and four more with a shape of their own
 (private key blocks, and three token formats). Positions are code points, end exclusive.
 
 Defined results: a null content counts as empty; an empty text has no findings; a null path is
 a path like others; repeated rows each get their findings; an empty table gives an empty
-result and scans nothing. Extra columns are not read.
+result and scans nothing. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save
@@ -55,42 +58,61 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _scan(batches):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        found = [[dict(zip(("start", "kind", "end"), f, strict=True)) for f in find(t)] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["blob", "findings"])
-
-
 def blob_of(content: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(content, F.lit("")), 256))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, content: str = "content", rules: str = RULES_VERSION) -> DataFrame:
-    """New ledger rows for the blobs of versions that the ledger lacks under these rules."""
-    text = F.coalesce(versions[content], F.lit(""))
-    # The empty blob is known to hold nothing.
-    unseen = versions.select(blob_of(versions[content]).alias("blob"), text.alias("content")).where("content <> ''")
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    once = unseen.dropDuplicates(["blob"])
-    scanned = once.mapInArrow(_scan, "blob binary, findings array<struct<start:int,kind:int,end:int>>")
-    return scanned.select("blob", F.lit(rules).alias("rules"), "findings")
-
-
-def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", content: str = "content", rules: str = RULES_VERSION) -> DataFrame:
-    """Per version: its path, blob and findings from the ledger."""
-    paths = versions.select(versions[path].alias("path"), blob_of(versions[content]).alias("blob"))
-    # Most blobs hold nothing: only those that do need to meet their paths.
-    known = ledger.where((F.col("rules") == rules) & (F.size("findings") > 0)).select("blob", "findings")
-    return paths.join(known, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("findings"))
-
-
-def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(findings of all versions, the ledger with this run's rows)."""
-    new = save(update_ledger(versions, ledger, content), "ledger")
-    full = new if ledger is None else ledger.unionByName(new)
-    return findings(versions, full, path, content), full
+class Ledger:
+    """What was found in every blob that was scanned so far, by rules version, kept at a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def rows(self, rules: str | None = None) -> DataFrame:
+        """(blob, rules, findings), each blob once; empty where nothing was ever scanned."""
+        try:
+            found = self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException:
+            found = self.spark.createDataFrame([], LEDGER)
+        return found if rules is None else found.where(F.col("rules") == rules)
+
+    def unseen(self, versions: DataFrame, content: str = "content", rules: str = RULES_VERSION) -> DataFrame:
+        """(blob): those of the versions that the ledger lacks under these rules; the empty blob is known to hold nothing."""
+        text = versions[content]
+        blobs = versions.where(text.isNotNull() & (text != "")).select(blob_of(text).alias("blob")).distinct()
+        return blobs.join(self.rows(rules).select("blob"), "blob", "left_anti")
+
+    def update(self, versions: DataFrame, content: str = "content", rules: str = RULES_VERSION, scanner=find) -> int:
+        """Scans what is unseen, appends it, and returns how many blobs that were."""
+
+        def run(batches):
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+            for batch in batches:
+                found = [[dict(zip(("start", "kind", "end"), f, strict=True)) for f in scanner(t)] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["blob", "findings"])
+
+        new = save(self.unseen(versions, content, rules), "unseen")
+        n = new.count()
+        if n:
+            held = versions.select(blob_of(versions[content]).alias("blob"), versions[content].alias("content"))
+            once = held.join(new, "blob", "left_semi").dropDuplicates(["blob"])
+            scanned = once.mapInArrow(run, "blob binary, findings array<struct<start:int,kind:int,end:int>>")
+            scanned.select("blob", F.lit(rules).alias("rules"), "findings").write.mode("append").parquet(self.path)
+        return n
+
+    def findings(self, versions: DataFrame, path: str = "path", content: str = "content", rules: str = RULES_VERSION) -> DataFrame:
+        """Per version: its path, blob and findings from the ledger."""
+        paths = versions.select(versions[path].alias("path"), blob_of(versions[content]).alias("blob"))
+        # Most blobs hold nothing: only those that do need to meet their paths.
+        known = self.rows(rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+        return paths.join(known, "blob", "left").select("path", "blob", F.coalesce("findings", none).alias("findings"))
+
+
+def scan(versions: DataFrame, ledger: Ledger, path: str = "path", content: str = "content", rules: str = RULES_VERSION) -> DataFrame:
+    """Brings the ledger up to date and returns the findings of all versions."""
+    ledger.update(versions, content, rules)
+    return ledger.findings(versions, path, content, rules)
 
 
 def rendered(found: Column) -> Column:
