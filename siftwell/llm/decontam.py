@@ -30,14 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, save
-from .neardup import shingle_hashes
+from .neardup import mixed, shingle_hashes
 
-MARKS = b".,;:!?\"'()[]{}<>"
+MARKS = ".,;:!?\"'()[]{}<>"
 
 
 @dataclass(frozen=True)
@@ -56,29 +56,45 @@ class DecontamParams:
     seed: int = 5
 
 
-class WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.strip(MARKS) or word)
-        return h
-
-
-def _ids(text: bytes | None, known: WordIds) -> np.ndarray:
-    # bytes.lower() knows ASCII only.
-    words = (text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()).split() if text else ()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of random numbers drawn for its bytes and their places, finalised."""
+    table = np.random.default_rng(64).integers(0, 1 << 63, (64, 256), np.uint64)
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    length, data = np.diff(begin), np.frombuffer(words.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+    place = np.arange(len(data)) - np.repeat(begin[:-1] - begin[0], length)
+    drawn = table[place & 63, data] * (2 * (place >> 6) + 1).astype(np.uint64)
+    out, full = np.zeros(len(words), np.uint64), length > 0
+    if full.any():
+        out[full] = np.add.reduceat(drawn, (begin[:-1] - begin[0])[full])
+    return mixed(out + length.astype(np.uint64))
+
+
+def hashed_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts in a row, how many each text has): lower case, outer punctuation stripped."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    flat = pc.list_flatten(lists)
+    words = flat.dictionary_encode()
+    plain = pc.utf8_trim(words.dictionary, MARKS)
+    plain = pc.if_else(pc.equal(plain, ""), words.dictionary, plain)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    some = (pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0)[at]
+    counts = np.bincount(pc.list_parent_indices(lists).to_numpy()[some], minlength=len(texts))
+    return _word_hashes(plain)[at[some]], counts
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words): every text as 64-bit word hashes."""
 
     def run(batches):
-        known = WordIds()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_ids(t, known).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "words"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                hashes, counts = hashed_words(part.column(1))
+                ends = np.append(0, np.cumsum(counts) * 8)
+                data = memoryview(hashes.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "words"])
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("text")).mapInArrow(run, "id long, words binary")
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "id long, words binary")
 
 
 def _groups(batch: pa.RecordBatch, p: DecontamParams, most: int = 20_000):
@@ -119,24 +135,35 @@ def _features(words: np.ndarray, p: DecontamParams) -> np.ndarray:
 
 
 class Blocks:
-    """The weighted words of a group of rows: their features, and the block of each."""
+    """The weighted words of a group's blocks: the features of each block, filled up with one that weighs nothing."""
 
     def __init__(self, words: np.ndarray, begin: np.ndarray, weighs: np.ndarray, p: DecontamParams):
-        features = _features(words, p)
-        used = weighs[features]
-        self.features, self.n = features[used], len(begin)
-        self.block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))[used]
-        self.starts = np.flatnonzero(np.append(True, self.block[1:] != self.block[:-1])) if len(self.block) else np.empty(0, np.int64)
+        features = np.append(_features(words, p), p.features)
+        features[:-1][~weighs[features[:-1]]] = p.features
+        index = begin[:, None] + np.arange(p.stride)
+        index[np.arange(p.stride) >= np.diff(np.append(begin, len(words)))[:, None]] = len(words)
+        self.features = features[index]
 
     def sums(self, weights: np.ndarray, first: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
-        """Sum of the words' weights, for each passage."""
-        blocks = np.zeros((self.n, weights.shape[1]), np.float32)
-        if len(self.starts):
-            blocks[self.block[self.starts]] = np.add.reduceat(weights[self.features], self.starts, axis=0)
+        """Sum of the words' weights (with a last row of zeros), for each passage."""
+        blocks = weights[self.features[:, 0]]
+        more = np.empty_like(blocks)
+        for k in range(1, self.features.shape[1]):
+            blocks += np.take(weights, self.features[:, k], axis=0, out=more, mode="clip")
         out = blocks[first]
         out[goes_on] += blocks[first[goes_on] + 1]
         return out
 
+    def by_word(self, blocks: np.ndarray, n: int) -> np.ndarray:
+        """For each of n features the sum of the rows of the blocks that hold it, as often as they do."""
+        at, place = np.nonzero(self.features < n)
+        feature, columns = self.features[at, place], np.ascontiguousarray(blocks.T)
+        return np.stack([np.bincount(feature, weights=c[at], minlength=n) for c in columns], axis=1)
+
+
+def _with_zero(weights: np.ndarray) -> np.ndarray:
+    return np.vstack([weights, np.zeros((1, weights.shape[1]), weights.dtype)])
+
 
 def frequencies(rows: DataFrame, p: DecontamParams) -> tuple[np.ndarray, int]:
     """In how many passages each feature occurs, and the number of passages."""
@@ -170,12 +197,12 @@ def frequencies(rows: DataFrame, p: DecontamParams) -> tuple[np.ndarray, int]:
 def subspace(rows: DataFrame, idf: np.ndarray, p: DecontamParams) -> np.ndarray:
     """Projection (features x rank): word weights times right singular vectors over singular values."""
     test = np.random.default_rng(p.seed).standard_normal((p.features, p.rank)).astype(np.float32)
-    weighted, weighs = (idf[:, None] * test).astype(np.float32), idf > 0
+    weighted, weighs = _with_zero((idf[:, None] * test).astype(np.float32)), idf > 0
 
     def run(batches):
         total = np.zeros((p.features, p.rank), np.float64)
         for batch in batches:
-            for _, words, _, begin, row in _groups(batch, p):
+            for _, words, _, begin, row in _groups(batch, p, 100_000):
                 held = Blocks(words, begin, weighs, p)
                 first, goes_on = _passages(row)
                 y = held.sums(weighted, first, goes_on)
@@ -183,10 +210,7 @@ def subspace(rows: DataFrame, idf: np.ndarray, p: DecontamParams) -> np.ndarray:
                 blocks = np.zeros((len(begin), p.rank), np.float32)
                 blocks[first] += y
                 blocks[first[goes_on] + 1] += y[goes_on]
-                by = np.argsort(held.features, kind="stable")
-                found, where = np.unique(held.features[by], return_index=True)
-                if len(found):
-                    total[found] += np.add.reduceat(blocks[held.block[by]], where, axis=0)
+                total += held.by_word(blocks, p.features)
         seen = np.flatnonzero(total.any(axis=1))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(total[seen].astype(np.float32).ravel()), p.rank).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([pa.array(seen), lists], ["feature", "part"])
@@ -287,11 +311,12 @@ def _matches(rows: DataFrame, items: list, projection: np.ndarray, df: np.ndarra
         arrays = [np.frombuffer(t, np.uint64) for t in texts]
         known, weighs = np.zeros(0x10000, bool), projection.any(axis=1)
         step = max(16, (1 << 22) // len(keys))  # cosines at a time
+        padded = _with_zero(projection)
         for batch in batches:
             best = {}
             for ids, words, offsets, begin, block_row in _groups(batch, p):
                 first, goes_on = _passages(block_row)
-                z = _unit(Blocks(words, begin, weighs, p).sums(projection, first, goes_on))
+                z = _unit(Blocks(words, begin, weighs, p).sums(padded, first, goes_on))
                 row = block_row[first]
                 pairs = _by_words(words, np.repeat(np.arange(len(ids)), np.diff(offsets)), rare)
                 for lo in range(0, len(z), step):
