@@ -52,7 +52,7 @@ class NearDupParams:
     rate: float = 20.0
     top: int = (1 << 16) - 2
     margin: float = 0.2
-    block: int = 512
+    block: int = 2048
     block_elements: int = 1 << 20
     rows_per_task: int = 1_500
     seed: int = 11
