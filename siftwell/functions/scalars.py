@@ -101,6 +101,11 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def unit_or_zero(v: Column) -> Column:
+    """v at length 1; a zero vector stays as it is."""
+    return F.coalesce(unit(v), F.transform(v, lambda x: x.cast("double")))
+
+
 def remapped(cosine: Column, p: Params = DEFAULT) -> Column:
     return clamp((cosine - num(p.cosine_floor)) / num(p.cosine_range))
 
@@ -116,14 +121,19 @@ def content_bias(score: Column, median: Column, damping: Column, p: Params = DEF
 
 
 def exif_epoch_ms(text: Column, zone: Column) -> Column:
-    """EXIF date (and zone, else UTC) -> epoch milliseconds; null if it is none."""
+    """EXIF date (and zone, else UTC) -> epoch milliseconds; null if it is none. Blanks around both don't count; a zone counts as a whole or not at all."""
+    text, zone = _trimmed(text), _trimmed(zone)
     pattern = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}:\d{2}:\d{2})"
-    offset = F.when(F.coalesce(zone, F.lit("")).rlike(r"^[+-]\d{2}:\d{2}"), F.substring(zone, 1, 6)).otherwise("+00:00")
+    offset = F.when(F.coalesce(zone, F.lit("")).rlike(r"^[+-]\d{2}:\d{2}$"), zone).otherwise("+00:00")
     part = lambda i: F.regexp_extract(text, pattern, i)
     whole = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), offset)
     return F.when(text.rlike(pattern), F.unix_millis(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ssXXX"))))
 
 
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def sane_file_name(name: Column, mime: Column) -> Column:
     """The name with an extension, taken from the type where it has none."""
     kind = F.regexp_replace(F.element_at(F.split(mime, "/"), -1), "^jpeg$", "jpg")
@@ -143,3 +153,33 @@ def fit_within(w: Column, h: Column, edge: int) -> Column:
     scale = F.least(num(1), num(edge) / F.greatest(w, h))
     side = lambda x: F.greatest(F.lit(1), half_up(x * scale)).cast("int")
     return F.struct(side(w).alias("width"), side(h).alias("height"))
+
+
+def original_key(session: Column, photo: Column) -> Column:
+    """The key of a stored original."""
+    return F.concat_ws(":", session.cast("string"), photo.cast("string"))
+
+
+def default_name(name: Column, position: Column) -> Column:
+    return F.coalesce(F.when(name != "", name), F.concat(F.lit("photo-"), (position + 1).cast("string"), F.lit(".jpg")))
+
+
+def default_type(mime: Column) -> Column:
+    return F.coalesce(F.when(mime != "", mime), F.lit("image/jpeg"))
+
+
+def upload_status(session: Column, n_files: Column, finalise: Column, known: Column) -> Column:
+    """The outcome of an upload request: what is missing first, then whether the session exists."""
+    return (
+        F.when(session.isNull() | (session == ""), "session id required").when(~safe_id(session), "bad session id")
+        .when(~finalise & (n_files == 0), "files required").when(~known, "unknown session").otherwise("ok")
+    )
+
+
+def decode_weights(text: str) -> list[float]:
+    """A base64 text of little-endian 32-bit floats as numbers."""
+    import base64
+
+    import numpy as np
+
+    return np.frombuffer(base64.b64decode(text), "<f4").astype(float).tolist()

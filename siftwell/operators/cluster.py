@@ -11,23 +11,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import session_pairs
 from ..params import DEFAULT, Params
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share; local sessions get one of their own where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-siftwell-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/siftwell/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/siftwell/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def leader_groups(ranked: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -47,8 +53,6 @@ def leader_groups(ranked: DataFrame, p: Params = DEFAULT) -> DataFrame:
     lead = F.when(F.coalesce(F.col("leader"), F.lit(0)) == 0, F.col("rank")).otherwise(F.col("leader"))
     placed = ids.join(state, ["session_id", "rank"], "left").select("session_id", "photo_id", "rank", lead.alias("lead_rank"))
     leaders = ids.select("session_id", F.col("rank").alias("lead_rank"), F.col("photo_id").alias("leader_id"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("session_id", "lead_rank").orderBy("rank")
     return placed.join(leaders, ["session_id", "lead_rank"]).select("session_id", "leader_id", "photo_id", "rank", (F.row_number().over(w) - 1).alias("rank_in_group"))
 

@@ -30,7 +30,9 @@ def _similar(pool: dict, i: int, p: Params) -> np.ndarray:
     gap = np.abs(pool["times"] - pool["times"][i])
     out = 0.5 * near(color, p.color_spread) + 0.3 * near(bits, p.hash_bits / 2) + 0.2 * np.where(np.isnan(gap), 0.0, near(np.nan_to_num(gap), p.time_spread_ms))
     if pool["has"][i]:
-        cos = np.clip((pool["vectors"] @ pool["vectors"][i] - p.cosine_floor) / p.cosine_range, 0, 1)
+        # Vectors of another length are unlike: a cosine of 0.
+        cos = np.where(pool["dims"] == pool["dims"][i], pool["vectors"] @ pool["vectors"][i], 0.0)
+        cos = np.clip((cos - p.cosine_floor) / p.cosine_range, 0, 1)
         out = np.where(pool["has"], cos, out)
     return out
 
@@ -55,7 +57,8 @@ def diverse_top_k(pool: DataFrame, k: Column, value: Column, discount: Column |
         dims = max((len(v) for v in pdf["embedding"] if v is not None), default=1)
         has = np.array([v is not None for v in pdf["embedding"]])
         pool = {
-            "has": has, "vectors": np.array([np.zeros(dims) if v is None else np.asarray(v, np.float64) for v in pdf["embedding"]]),
+            "has": has, "dims": np.array([0 if v is None else len(v) for v in pdf["embedding"]]),
+            "vectors": np.array([np.zeros(dims) if v is None else np.pad(np.asarray(v, np.float64), (0, dims - len(v))) for v in pdf["embedding"]]),
             "colors": np.array([np.asarray(v, np.float64) for v in pdf["color_signature"]]), "times": pdf["taken_at_ms"].astype(float).to_numpy(),
             "bits": np.array([np.unpackbits(np.frombuffer(bytes.fromhex(h), np.uint8)) for h in pdf["hash"]]),
         }

@@ -49,17 +49,21 @@ def upload_chunks(photos: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return photos.withColumn("chunk", chunk).withColumn("is_last", chunk == F.max(chunk).over(Window.partitionBy("session_id")))
 
 
-def session_summary(scored: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row a session: photos, rejected, burst groups, collapsed photos, whether steering is possible."""
+def session_summary(scored: DataFrame, groups: DataFrame, unanalysed: DataFrame | None = None, originals: DataFrame | None = None) -> DataFrame:
+    """One row a session: photos, rejected, burst groups, collapsed and unanalysed photos, whether steering and saving are possible.
+
+    unanalysed and originals: (session_id, photo_id) of photos without metrics, and of those whose file is at hand.
+    """
     base = scored.groupBy("session_id").agg(F.count("*").alias("total"), F.count("rejected_for").alias("rejected"), F.bool_or(F.col("embedding").isNotNull()).alias("steerable"))
     per = groups.groupBy("session_id", "leader_id").agg((F.count("*") - 1).alias("more"))
     bursts = per.groupBy("session_id").agg(F.count_if(F.col("more") > 0).alias("burst_groups"), F.sum("more").alias("collapsed"))
-    return base.join(bursts, "session_id", "left")
-
-
-def upsert_session(sessions: DataFrame, path: str) -> None:
-    """Replaces the given sessions' partitions of a stored table."""
-    sessions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    out = base.join(bursts, "session_id", "left")
+    for rows, name in ((unanalysed, "unanalysed"), (originals, "saveable")):
+        if rows is not None:
+            out = out.join(rows.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if unanalysed is not None:
+        out = out.withColumn("total", F.col("total") + F.col("unanalysed"))
+    return out.withColumn("saveable", F.col("saveable") > 0).withColumnRenamed("saveable", "can_save") if originals is not None else out
 
 
 def top_up(selected: DataFrame, unanalysed: DataFrame, totals: DataFrame, p: Params = DEFAULT) -> DataFrame:

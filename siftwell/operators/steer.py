@@ -22,20 +22,19 @@ def steering_state(taps: DataFrame) -> DataFrame:
     return ends.where((F.col("n") - F.coalesce("other", F.lit(0))) % 2 == 1).select("session_id", "photo_id", F.col("last").alias("action"))
 
 
-def mean_embedding(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """keys -> unit vector of the mean of embeddings (those of the most common length), null if it is zero."""
+def mean_embedding(vectors: DataFrame, keys: list[str], order: str = "photo_id") -> DataFrame:
+    """keys -> unit vector of the mean of embeddings (those as long as the first in order), null if it is zero."""
     some = vectors.where("embedding is not null")
-    lengths = some.groupBy(*keys, F.size("embedding").alias("dims")).agg(F.count("*").alias("k"))
-    most = lengths.groupBy(*keys).agg(F.max(F.struct("k", "dims"))["dims"].alias("dims"))
-    each = some.join(most, keys).where(F.size("embedding") == F.col("dims")).select(*keys, F.posexplode("embedding").alias("i", "x"))
+    first = some.groupBy(*keys).agg(F.min_by(F.size("embedding"), order).alias("dims"))
+    each = some.join(first, keys).where(F.size("embedding") == F.col("dims")).select(*keys, F.posexplode("embedding").alias("i", "x"))
     means = each.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     lists = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
     return lists.select(*keys, S.unit(F.transform("v", lambda x: x["m"])).alias("mean"))
 
 
 def labelled(photos: DataFrame, state: DataFrame) -> DataFrame:
-    """Embeddings of liked and rejected photos: (session_id, action, embedding)."""
-    return photos.join(state, ["session_id", "photo_id"]).select("session_id", "action", "embedding").where("embedding is not null")
+    """Embeddings of liked and rejected photos: (session_id, photo_id, action, embedding)."""
+    return photos.join(state, ["session_id", "photo_id"]).select("session_id", "photo_id", "action", "embedding").where("embedding is not null")
 
 
 def taste_direction(labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -66,17 +65,19 @@ def nearest_affinity(photos: DataFrame, references: DataFrame, into: str, p: Par
 def steered_selection(ranked: DataFrame, state: DataFrame, weights: list[float], bias: float, remembered: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """(session_id, photo_id, pick): liked photos first, then diverse picks under likes, rejects and taste.
 
-    remembered: (session_id, action, embedding) of other sessions' exemplars that count for a session.
+    remembered: (session_id, place, action, embedding) of other sessions' exemplars that count for a session.
     """
     spark = ranked.sparkSession
-    remembered = remembered if remembered is not None else spark.createDataFrame([], "session_id long, action string, embedding array<float>")
+    remembered = remembered if remembered is not None else spark.createDataFrame([], "session_id long, place long, action string, embedding array<float>")
     acted = ranked.join(state, ["session_id", "photo_id"], "left")
     refs = lambda df, a: df.where((F.col("action") == a) & F.col("embedding").isNotNull()).select("session_id", F.col("embedding").alias("reference"))
     pool = acted.where("action is null or action = 'like'")
-    labels = acted.where("action is not null").select("session_id", "action", "embedding").where("embedding is not null")
-    taste = taste_direction(labels.unionByName(remembered.select("session_id", "action", "embedding")), p)
+    labels = acted.where("action is not null").select("session_id", "photo_id", "action", "embedding").where("embedding is not null")
+    # A session's own labels stand before what is remembered.
+    order = lambda df, own, at: df.select("session_id", "action", "embedding", F.struct(F.lit(own).alias("own"), F.col(at).cast("long").alias("at")).alias("photo_id"))
+    taste = taste_direction(order(labels, 0, "photo_id").unionByName(order(remembered, 1, "place")), p)
     base = content_baseline(pool, weights, bias, p)
-    liked = mean_embedding(labels.where("action = 'like'").select("session_id", "embedding"), ["session_id"])
+    liked = mean_embedding(labels.where("action = 'like'"), ["session_id"])
     x = nearest_affinity(pool, refs(labels, "reject"), "unwanted", p)
     x = nearest_affinity(x, refs(remembered, "reject"), "remembers_no", p)
     x = nearest_affinity(x, refs(remembered, "like"), "remembers_yes", p)
@@ -91,3 +92,18 @@ def steered_selection(ranked: DataFrame, state: DataFrame, weights: list[float],
     k = F.greatest(S.selection_size(F.count("*").over(w), p), F.sum(seed.cast("long")).over(w))
     x = x.withColumn("seed", seed).withColumn("k", k).withColumn("value", value).withColumn("discount", discount)
     return diverse_top_k(x, F.col("k"), F.col("value"), F.col("discount"), seeds=x, p=p)
+
+
+def review_pool(ranked: DataFrame, groups: DataFrame) -> DataFrame:
+    """The photos that steering chooses from: representatives that pass, or all photos of a session without any."""
+    leaders = groups.where("rank_in_group = 0").select("session_id", "photo_id", F.lit(True).alias("leads"))
+    x = ranked.join(leaders, ["session_id", "photo_id"], "left").withColumn("leads", F.col("leads").isNotNull() & F.col("rejected_for").isNull())
+    return x.withColumn("any", F.max("leads").over(Window.partitionBy("session_id"))).where("leads or not any").drop("leads", "any")
+
+
+def remembered_for(session_id: int, preferences: DataFrame) -> DataFrame:
+    """(session_id, place, action, embedding): the stored exemplars of all sessions but the one at hand, newest batch first."""
+    others = preferences.where(F.col("session_id") != session_id)
+    sides = [others.select("updated_at", F.col("session_id").alias("owner"), F.lit(a).alias("action"), F.posexplode(c).alias("i", "embedding")) for a, c in (("like", "liked"), ("reject", "rejected"))]
+    order = Window.partitionBy("action").orderBy(F.col("updated_at").desc(), "owner", "i")
+    return sides[0].unionByName(sides[1]).select(F.lit(session_id).cast("long").alias("session_id"), F.row_number().over(order).cast("long").alias("place"), "action", "embedding")

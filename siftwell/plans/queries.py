@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as P
 from ..functions import scalars as S
-from ..operators import cluster, explain, pixels, rank, select, state, steer
+from ..operators import cluster, explain, pixel_arrays, rank, select, state, steer
 from ..params import Params
+from ..sources import images
 from ..sources import photos as src
 
 #: The derived vectors are far apart; so the queries take vectors at this cosine as one subject.
@@ -75,7 +76,8 @@ def near_duplicate_pairs(spark, d):
 
 def pair_similarity(spark, d):
     x = P.session_pairs(ranked(spark, d)).select("session_id", F.col("a.photo_id").alias("photo_id"), P.similarity().alias("s"))
-    return x.groupBy("session_id", "photo_id").agg(r6(F.max("s")).alias("nearest"), F.count("*").alias("later"))
+    # Nine digits: the steps of this value end there, so none of them lies on a tie.
+    return x.groupBy("session_id", "photo_id").agg(F.round(F.max("s"), 9).alias("nearest"), F.count("*").alias("later"))
 
 
 def content_scores(spark, d):
@@ -89,8 +91,8 @@ def content_baseline(spark, d):
 
 def exif_epoch_ms(spark, d):
     v = src.read(spark, d, "events").withColumn("t", F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
-    zone = F.when(F.col("event_id") % 3 == 0, "-07:00").when(F.col("event_id") % 3 == 1, "+05:30")
-    text = F.when(F.col("event_id") % 11 == 0, "not a date").otherwise(F.concat("t", F.lit(" x")))
+    zone = F.when(F.col("event_id") % 5 == 0, "-07:00").when(F.col("event_id") % 5 == 1, " +05:30 ").when(F.col("event_id") % 5 == 2, "+05:30x")
+    text = F.when(F.col("event_id") % 11 == 0, "not a date").otherwise(F.concat(F.lit(" "), "t", F.lit(" x")))
     return v.select("event_id", S.exif_epoch_ms(text, zone).alias("ms"))
 
 
@@ -128,7 +130,7 @@ def steering_state(spark, d):
 
 
 def mean_embedding(spark, d):
-    m = steer.mean_embedding(src.derived_photos(spark, d).select("session_id", "embedding"), ["session_id"])
+    m = steer.mean_embedding(src.derived_photos(spark, d).select("session_id", "photo_id", "embedding"), ["session_id"])
     return m.select("session_id", F.posexplode("mean").alias("i", "x")).select("session_id", "i", F.round("x", 5).alias("x"))
 
 
@@ -150,7 +152,8 @@ def nearest_affinity(spark, d):
 
 
 def steered_selection(spark, d):
-    return steer.steered_selection(ranked(spark, d).where("rejected_for is null"), _taps(spark, d), W, BIAS, p=QUERY)
+    r = ranked(spark, d)
+    return steer.steered_selection(steer.review_pool(r, cluster.leader_groups(r, QUERY)), _taps(spark, d), W, BIAS, p=QUERY)
 
 
 def _explained(spark, d) -> DataFrame:
@@ -206,27 +209,28 @@ def remembered_counts(spark, d):
 
 
 def _px(spark, d) -> DataFrame:
-    return src.pixel_grid(spark)
+    """An image drawn by formula for every photo of the table, measured."""
+    return pixel_arrays.measure(images.generated_images(spark, src.read(spark, d, "embeddings").select("vec_id")))
 
 
 def px_luma_stats(spark, d):
-    return pixels.luma_stats(_px(spark, d)).select("photo_id", *[r6(c).alias(c) for c in ("brightness", "contrast", "clipped_shadows", "clipped_highlights", "dynamic_range")])
+    return _px(spark, d).select("photo_id", *[r6(c).alias(c) for c in ("brightness", "contrast", "clipped_shadows", "clipped_highlights", "dynamic_range")])
 
 
 def px_focus_noise(spark, d):
-    return pixels.focus_metrics(_px(spark, d)).select("photo_id", *[F.round(c, 4).alias(c) for c in ("sharpness", "center_sharpness", "focus", "noise_ratio")])
+    return _px(spark, d).select("photo_id", *[F.round(c, 4).alias(c) for c in ("sharpness", "center_sharpness", "focus", "noise_ratio")])
 
 
 def px_colorfulness(spark, d):
-    return pixels.colorfulness(_px(spark, d)).select("photo_id", r6("colorfulness").alias("colorfulness"))
+    return _px(spark, d).select("photo_id", r6("colorfulness").alias("colorfulness"))
 
 
 def px_dhash(spark, d):
-    return pixels.difference_hash(_px(spark, d))
+    return _px(spark, d).select("photo_id", "hash")
 
 
 def px_chroma(spark, d):
-    return pixels.chroma_signature(_px(spark, d)).select("photo_id", F.posexplode("signature").alias("i", "v"))
+    return _px(spark, d).select("photo_id", F.posexplode("signature").alias("i", "v"))
 
 
 NAMES = (
@@ -239,4 +243,6 @@ NAMES = (
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in NAMES}
+    from . import intake_queries
+
+    return {n: globals()[n] for n in NAMES} | intake_queries.queries()

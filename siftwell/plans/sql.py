@@ -84,7 +84,7 @@ full_ as (select session_id, arg_max(chosen, step) as chosen from pk group by 1)
 
 
 _PX = """
-px as (select i // 1920 as photo_id, (i % 1920) % 48 as x, (i % 1920) // 48 as y from range(24 * 1920) t(i)),
+px as (select vec_id as photo_id, i % 48 as x, i // 48 as y from embeddings, range(1920) t(i)),
 c as (select photo_id, x::int as x, y::int as y, ((x * 7 + y * 3 + photo_id * 31 + (x * y) % 11) % 256)::double as r, ((x * 5 + y * 11 + photo_id * 17) % 256)::double as g, ((x * y + photo_id * 13) % 256)::double as b from px),
 l as (select *, (0.299::double * r + 0.587::double * g + 0.114::double * b)::float::double as luma from c),
 v as (select *, least(255, greatest(0, floor(luma + 0.5::double)))::int as level from l)"""
@@ -129,6 +129,12 @@ _K = "case when {n} <= 0 then 0 else least({n}, greatest(5, least(50, floor({n}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import intake_sql
+
+    return _selection_sql() | intake_sql.oracle_sql()
+
+
+def _selection_sql() -> dict[str, str]:
     pairs = _pairs()
     r6 = lambda *cs: ", ".join(f"round({c}, 6) as {c}" for c in cs)
     return {
@@ -142,10 +148,10 @@ def oracle_sql() -> dict[str, str]:
         "pair_distances": f"with {pairs} select session_id, a, b, bits, round(color, 6) as color from n where bits <= 48",
         "embedding_pairs": f"with {pairs} select session_id, a, b, round(cosine, 6) as cosine from n where round(cosine, 6) >= 0.3",
         "near_duplicate_pairs": f"with {pairs} select session_id, a, b from n where near",
-        "pair_similarity": f"with {pairs} select session_id, a as photo_id, round(max(sim), 6) as nearest, count(*) as later from n group by 1, 2",
+        "pair_similarity": f"with {pairs} select session_id, a as photo_id, round(max(sim), 9) as nearest, count(*) as later from n group by 1, 2",
         "content_scores": f"with {PHOTOS} select photo_id, round({_CONTENT}, 6) as content, null::double as other_length from p",
         "content_baseline": f"with {SCORED}, {_BASE} select session_id, {r6('median', 'standout')} from bl",
-        "exif_epoch_ms": "select event_id, case when event_id % 11 <> 0 then epoch_us(date_trunc('second', ts)) // 1000 + case event_id % 3 when 0 then 25200000 when 1 then -19800000 else 0 end end as ms from events",
+        "exif_epoch_ms": "select event_id, case when event_id % 11 <> 0 then epoch_us(date_trunc('second', ts)) // 1000 + case event_id % 5 when 0 then 25200000 when 1 then -19800000 else 0 end end as ms from events",
         "file_name_repair": "select p_partkey, case when p_partkey % 2 = 0 then p_name || '.JPeG' when regexp_matches(p_name, '(?i)\\.[a-z0-9]{3,4}$') then p_name else p_name || case when p_partkey % 3 = 0 then '.png' else '.jpg' end end as file_name from part",
         "duplicate_groups": f"with recursive {pairs}, {_LEADERS} select session_id, leader_id, photo_id, rank_in_group from grp",
         "group_alternates": f"with recursive {pairs}, {_LEADERS} select session_id, leader_id, count(*) - 1 as alternates from grp group by 1, 2 having count(*) > 1",

@@ -95,3 +95,39 @@ def test_steering_pins_and_drops(spark):
 def test_unknown_is_neutral(spark):
     x = spark.createDataFrame([(None, [1.0], 0.5)], "embedding array<double>, vector array<double>, confidence double")
     assert x.select(steer.taste_bias()).first()[0] == 0.0
+
+
+def test_mean_follows_the_first_vector(spark):
+    from siftwell.operators import steer
+
+    rows = [(1, 3, [1.0]), (1, 1, [3.0, 4.0]), (1, 2, [5.0]), (2, 1, [0.0, 0.0])]
+    got = dict(steer.mean_embedding(spark.createDataFrame(rows, "session_id long, photo_id long, embedding array<double>"), ["session_id"]).collect())
+    assert got == {1: [0.6, 0.8], 2: None}
+
+
+def test_store(spark, tmp_path):
+    from siftwell.operators import store
+
+    s = store.Store(spark, str(tmp_path / "store"))
+    assert s.read("sessions").isEmpty() and s.session_ids().isEmpty()
+    with pytest.raises(ValueError, match="unknown session"):
+        store.finalised(s.read("sessions"), 1)
+    files = spark.createDataFrame([(1, 0, "", None, 5), (1, 1, "x.png", "image/png", 6)], "session_id long, upload_idx int, name string, type string, size long")
+    s.write("photos", store.appended(s.read("photos"), files))
+    s.write("photos", store.appended(s.read("photos"), files))
+    rows = s.read("photos").orderBy("position").collect()
+    assert [r.position for r in rows] == [0, 1, 2, 3] and len({r.id for r in rows}) == 4
+    assert rows[0].name == f"{rows[0].id}.jpg" and rows[0].type == "image/jpeg" and rows[3].id.startswith("p0003_")
+    assert store.only(s.read("photos"), None).isEmpty()
+
+
+def test_two_passes_need_two_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.operators import intake
+    from siftwell.sources import photos
+
+    p = photos.derived_photos(spark, "/root/testdata/sf0.001").drop("embedding")
+    none = lambda x: x.select("session_id", "photo_id", F.lit(None).cast("array<double>").alias("embedding"), F.lit("no model").alias("error"))
+    w, b = photos.content_head()
+    assert intake.two_pass_selection(p, none, w, b).count() > 0
