@@ -1,7 +1,9 @@
 """Training-order materialisation of token ids.
 
-Documents are tokenised and packed, task by task, into sequences of ``length`` token ids
-(16-bit, little-endian), every document ended by the end token. Sequence number i of N gets
+Documents are tokenised and dealt by a keyed hash of id and text into bins; a bin is sorted by that hash and
+packed into sequences of ``length`` token ids (16-bit, little-endian), every document ended
+by the end token. So what stands in which sequence depends on the documents and the settings alone, not on
+partitions, files or the size of a cluster. Sequence number i of N gets
 the global slot P(i), where P is a keyed Feistel permutation of a power-of-four domain,
 walked along its cycle until it falls below N: a bijection on 0..N-1 that needs no table and
 no sort. Slots are range-partitioned into shards of ``shard`` sequences, one file each; the sequence
@@ -9,15 +11,17 @@ of slot s lies in shard s // shard at a byte offset of (s % shard) * stride, so
 any slot by arithmetic alone. A record is the 2 * length bytes of its token ids, ``n_tokens``, ``first_doc`` and
 ``n_docs`` as text of fixed width (a null is blank), and a line feed.
 
+There are at most ``max_bins`` bins, of ``bin_docs`` documents at least: their starts are a table of so many rows, the
+only thing that is broadcast. A bin streams through its task, so its size is no matter of memory.
+
 The vocabulary is a file of a public tokenizer, read on the driver and shipped to the tasks
 (``ranks_path`` is a parameter). Texts are cut at white space before the tokenizer's own
 pattern is applied, which never joins across such a cut; encodings of repeated words are
 remembered within a bound.
 
-Defined results: null and empty texts are one end token; a last sequence of a task that is not
+Defined results: null and empty texts are one end token; a last sequence of a bin that is not
 full is padded with the end token (``n_tokens`` tells the real count); repeated rows are
-tokenised like others; an empty table gives an empty result. The numbering i follows the
-input's partitions, so a run over the same files and settings gives the same order.
+tokenised like others; null ids are ids like others; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,9 @@ from .common import save, scratch_path
 class TokenParams:
     length: int = 1024
     shard: int = 8192
+    shards_per_task: int = 2
+    bin_docs: int = 4096
+    max_bins: int = 65_536
     key: str = "training-order"
     rounds: int = 6
     end: int = 50256
@@ -111,50 +117,74 @@ def feistel(index: np.ndarray, n: int, key: str, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, number, n_tokens, first_doc, n_docs, tokens): packed sequences, numbered within each task."""
+def tokenised(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(place, doc_id, n, ids): the token ids of each document, compressed, and its keyed place among all."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(ranks(p.ranks_path))
 
     def run(batches):
-        encoder, part = Encoder(vocabulary.value), TaskContext.get().partitionId()
+        encoder, end = Encoder(vocabulary.value), np.array([p.end], "<u2").tobytes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                ids = [encoder.of(t or "") + end for t in part.column(2).to_pylist()]
+                packed = [pa.compress(x, codec="zstd", asbytes=True) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["place", "doc_id", "n", "ids"])
+
+    doc, text = docs[id_col].cast("long"), docs[text_col]
+    slim = docs.select(F.xxhash64(F.lit(p.key), doc, text).alias("place"), doc.alias("doc_id"), text.alias("text"))
+    return slim.mapInArrow(run, "place long, doc_id long, n long, ids binary")
+
+
+def sequences(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bin, number, n_tokens, first_doc, n_docs, tokens): packed sequences, numbered within each bin."""
+    bins = max(1, min(p.max_bins, -(-docs.count() // p.bin_docs)))
+
+    def run(batches):
         end, width = np.array([p.end], "<u2").tobytes(), 2 * p.length
-        names = ["part", "number", "n_tokens", "first_doc", "n_docs", "tokens"]
+        names = ["bin", "number", "n_tokens", "first_doc", "n_docs", "tokens"]
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        number, buffer, first, docs_in, rows = 0, b"", None, 0, []
+        of, number, buffer, first, docs_in, rows = None, 0, b"", None, 0, []
+
+        def last():
+            if buffer:
+                n = len(buffer) // 2
+                rows.append((of, number, n, first, docs_in, buffer + end * (p.length - n)))
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != of:
+                    last()
+                    of, number, buffer, docs_in = key, 0, b"", 0
                 if not buffer:
                     first = doc
                 docs_in += 1
-                buffer += encoder.of(text or "") + end
+                buffer += pa.decompress(ids, decompressed_size=2 * n, codec="zstd", asbytes=True)
                 at = 0
                 while len(buffer) - at >= width:
-                    rows.append((part, number, p.length, first, docs_in, buffer[at : at + width]))
+                    rows.append((of, number, p.length, first, docs_in, buffer[at : at + width]))
                     number, at, first, docs_in = number + 1, at + width, doc, 1
                 buffer = buffer[at:]
                 docs_in = docs_in if buffer else 0
                 if len(rows) >= 1024:
                     yield flush()
                     rows = []
-        if buffer:
-            n = len(buffer) // 2
-            rows.append((part, number, n, first, docs_in, buffer + end * (p.length - n)))
+        last()
         yield flush()
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return slim.mapInArrow(run, "part int, number long, n_tokens int, first_doc long, n_docs int, tokens binary")
+    dealt = tokenised(docs, p, id_col, text_col).withColumn("bin", F.pmod("place", F.lit(bins)).cast("int")).repartitionById(bins, "bin")
+    ordered = dealt.sortWithinPartitions("bin", "place", "doc_id").select("bin", "doc_id", "n", "ids")
+    return ordered.mapInArrow(run, "bin int, number long, n_tokens int, first_doc long, n_docs int, tokens binary")
 
 
 def training_order(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences with their place: slot, shard, byte_offset, n_tokens, first_doc, n_docs, tokens; sorted within range partitions."""
     packed = save(sequences(docs, p, id_col, text_col), "sequences", zstd_level=9)
-    counts = packed.groupBy("part").agg(F.count("*").alias("k"))
+    counts = packed.groupBy("bin").agg(F.count("*").alias("k"))
     n = counts.agg(F.sum("k")).first()[0] or 0
-    starts = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    starts = counts.select("bin", F.coalesce(F.sum("k").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
 
     @F.pandas_udf("long")
     def slot(index):
@@ -168,9 +198,11 @@ def training_order(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str
     def restored(tokens):
         return tokens.map(lambda x: pa.decompress(x, decompressed_size=2 * p.length, codec="zstd", asbytes=True))
 
-    # The token ids cross the exchange compressed: disk is what this takes most of.
-    placed = packed.join(F.broadcast(starts), "part").select(slot(F.col("start") + F.col("number")).alias("slot"), "n_tokens", "first_doc", "n_docs", squeezed("tokens").alias("tokens"))
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / p.shard).cast("int")).repartitionByRange(max(1, -(-n // p.shard)), "shard")
+    # The token ids cross the exchange compressed: disk is what this takes most of. There are max_bins starts at most.
+    placed = packed.join(F.broadcast(starts), "bin").select(slot(F.col("start") + F.col("number")).alias("slot"), "n_tokens", "first_doc", "n_docs", squeezed("tokens").alias("tokens"))
+    shards = max(1, -(-n // p.shard))
+    dealt = placed.withColumn("shard", F.floor(F.col("slot") / p.shard).cast("int"))
+    dealt = dealt.repartitionById(-(-shards // p.shards_per_task), F.floor(F.col("shard") / p.shards_per_task).cast("int"))
     out = dealt.select("slot", "shard", (F.col("slot") % p.shard * p.stride).alias("byte_offset"), "n_tokens", "first_doc", "n_docs", restored("tokens").alias("tokens"))
     return out.sortWithinPartitions("shard", "slot")
 

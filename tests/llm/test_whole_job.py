@@ -54,3 +54,24 @@ def test_training_order_query_writes_its_shards(spark):
     r = op2_training_order(spark, "/root/testdata/sf0.001").where("slot = 5").first()
     data = open(r.file.removeprefix("file:"), "rb").read()
     assert data[r.byte_offset :][: len(r.tokens)] == bytes(r.tokens)
+
+
+def test_training_order_does_not_depend_on_partitions(spark):
+    p = tokens.TokenParams(length=16, shard=8, bin_docs=10)
+    texts = [" ".join(words(5 + i % 30, i)) for i in range(60)]
+    df = docs(spark, *texts, *texts[:3], None, "", ids=[*range(60), 0, 1, 2, 60, 61]).withColumn("tokens", F.lit("x")).withColumn("bin", F.lit("y"))
+    want = None
+    for n in (1, 2, 5):
+        rows = sorted(tuple(r) for r in tokens.training_order(df.repartition(n), p).collect())
+        assert rows and (want is None or rows == want)
+        want = rows
+    whole = b"".join(bytes(r[-1])[: 2 * r[3]] for r in rows)
+    plain = tokens.Encoder(tokens.ranks(p.ranks_path))
+    assert len(whole) == sum(len(plain.of(t or "")) + 2 for t in (*texts, *texts[:3], None, ""))
+
+
+def test_training_order_of_rows_without_ids(spark):
+    p = tokens.TokenParams(length=16, shard=8)
+    df = docs(spark, "some text", None, "some text").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = tokens.training_order(df, p).collect()
+    assert len(rows) == 1 and rows[0].first_doc is None and rows[0].n_docs == 3
