@@ -106,6 +106,11 @@ def _bands(pairs: Column, step: int, p: LicenseParams) -> Column:
     return F.flatten(F.array(*[band(k) for k in range(p.bands)]))
 
 
+def _missing(k: int, p: LicenseParams) -> int:
+    """How many of a template's k pairs may be missing."""
+    return max(k * (100 - p.containment_percent) // 100, 2 if k >= p.edit_pairs else 0)
+
+
 def templates(spark: SparkSession, p: LicenseParams = LicenseParams(), texts: dict[str, str] | None = None) -> DataFrame:
     """(license, value, wanted): the band values of all windows of every template, and its word pairs."""
     rows = spark.createDataFrame(sorted((texts or TEMPLATES).items()), "license string, text string")
@@ -119,17 +124,25 @@ def licenses(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str =
     """(doc_id, license, containment, n_windows, first_word): the license notices in each document."""
     known = save(templates(docs.sparkSession, p, texts), "templates")
     values = [r[0] for r in known.select("value").distinct().collect()]  # as many as the templates have words
+    wanted = known.select("license", "wanted").distinct()
+    sizes = wanted.select(F.size("wanted").alias("k"), F.explode("wanted").alias("pair")).collect()
+    pairs_of_any = sorted({r["pair"] for r in sizes})
+    least = min((r["k"] - _missing(r["k"], p) for r in sizes), default=1)
 
     def held(pairs):
-        return F.struct(pairs.alias("pairs"), F.filter(_bands(pairs, p.step, p), lambda w: w["value"].isin(values)).alias("met"))
+        # Of a text's pairs, those of any template are kept, with their places.
+        places = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x.alias("pair"))), lambda x: x["pair"].isin(pairs_of_any))
+        return F.struct(places.alias("places"), F.filter(_bands(pairs, p.step, p), lambda w: w["value"].isin(values)).alias("met"))
 
     read = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), let(_pairs(docs[text_col]), held).alias("h"))
-    met = save(read.where(F.size("h.met") > 0).select("doc_id", "version", "h.*").dropDuplicates(["doc_id", "version"]), "met")
+    # No template has fewer pairs that must stand.
+    enough = (F.size("h.met") > 0) & (F.size(F.array_distinct(F.transform("h.places", lambda x: x["pair"]))) >= least)
+    met = save(read.where(enough).select("doc_id", "version", "h.*").dropDuplicates(["doc_id", "version"]), "met")
     windows = met.select("doc_id", "version", F.explode("met").alias("w")).select("doc_id", "version", "w.*")
     found = windows.join(known.select("license", "value"), "value").groupBy("doc_id", "version", "license")
     found = found.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
-    wanted = known.select("license", "wanted").distinct().select("license", F.size("wanted").alias("k"), F.explode("wanted").alias("pair"))
-    placed = met.select("doc_id", "version", F.posexplode("pairs").alias("at", "pair")).join(wanted, "pair")
+    by_pair = wanted.select("license", F.size("wanted").alias("k"), F.explode("wanted").alias("pair"))
+    placed = met.select("doc_id", "version", F.explode("places").alias("x")).select("doc_id", "version", "x.*").join(by_pair, "pair")
     # Every stretch of two template lengths that holds the pair.
     at = F.floor(F.col("at") / F.col("k"))
     placed = placed.select("doc_id", "version", "license", "k", "pair", F.explode(F.array(at, at - 1)).alias("stretch")).distinct()
