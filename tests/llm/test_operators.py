@@ -1,5 +1,6 @@
 """Corpus operators on small fixtures: edge cases, and brute force where SQL has no say."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -154,6 +155,41 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_standard(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i % 3} " * 9000) for i in range(9)], "page_id long, url string, html string").withColumn("body", F.lit(1)).withColumn("digest", F.lit(2))
+    warc.write(pages, path, warc.WarcParams(segment=20_000, records_per_file=4))
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    for data in files:
+        whole = gzip.decompress(data)
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and data.count(b"\x1f\x8b\x08") >= whole.count(b"WARC/1.1\r\n")
+        assert len(list(warc.parse(warc.unpacked(data, 100)))) <= 4
+    fields = [f for data in files for f, _ in warc.parse(warc.unpacked(data))]
+    revisits = [f for f in fields if f["warc-type"] == "revisit"]
+    assert len(revisits) == 6 and all(f["warc-refers-to-target-uri"] == f"http://x/{f['refers-to-page-id']}" for f in revisits)
+    assert len({f["warc-record-id"] for f in fields}) == len(fields)
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert len(got) == 9 and all(got[i].payload.decode() == f"page {i} " * 9000 for i in range(3))
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    def record(kind, block, **more):
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{len(block)}>", *[f"{k.replace('_', '-')}: {v}" for k, v in more.items()], f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    framed = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n5;x=y\r\nhello\r\n0\r\n\r\n"
+    data = [record("warcinfo", b"software: other\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", plain, WARC_Target_URI="http://a"), record("response", framed, WARC_Target_URI="http://b", WARC_Payload_Digest="md5:abc")]
+    (tmp_path / "one.warc").write_bytes(b"".join(data))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(data)))
+    (tmp_path / "three.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.url, bytes(r.payload)) for r in rows) == sorted([("http://a", b"hello"), ("http://b", b"hello")] * 3)
+    assert all(r.page_id is None and r.payload_digest == warc.sha1_base32(b"hello") for r in rows)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(warc.unpacked(gzip.compress(data[2])[:-9])))
+
+
 def test_feistel_and_shards(spark, tmp_path):
     p = tokens.TokenParams(length=16, shard=8)
     texts = [" ".join(words(20 + i, i)) for i in range(40)]
