@@ -115,34 +115,54 @@ def test_quality(spark):
     assert quality.clean(df).columns == df.columns and quality.clean(df.limit(0)).count() == 0
 
 
-def test_mix(spark):
-    texts = ["w " * (10 + i % 50) for i in range(600)]
-    df = docs(spark, *texts, *EDGES).withColumn("source", F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("s"), F.col("doc_id") % 3)))
-    rows = mixing.mix(df, mixing.MixParams(block=16)).collect()
-    assert len(rows) == 600 + len(EDGES)
-    sizes = {}
-    for r in rows:
-        sizes.setdefault(r.source, []).append(r)
-    total = sum(r.size for r in rows)
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+def targets_of(own):
+    """Shares again and again until no source is above its cap."""
+    names = sorted(own, key=lambda s: (s is None, s or ""))
     weights, target = {s: [1, 2, 3][i % 3] for i, s in enumerate(names)}, {}
-    own, free, rest = {s: sum(r.size for r in sizes[s]) for s in names}, set(names), total
-    while free:  # shares again and again until none is above its cap
+    free, rest = set(names), sum(own.values())
+    while free:
         share = {s: rest * weights[s] / sum(weights[x] for x in free) for s in free}
         above = [s for s in free if share[s] > 3 * own[s]]
         if not above:
-            target |= share
-            break
+            return target | share
         for s in above:
             target[s] = 3 * own[s]
             rest -= 3 * own[s]
             free.discard(s)
-    for s in names:
-        assert abs(sizes[s][0].target - target[s]) < 1e-6 * max(1, total)
-        assert abs(sum(r.taken for r in sizes[s]) - target[s]) <= 0.02 * total
-    assert all(0 <= r.taken <= 3 * r.size for r in rows)
-    assert mixing.mix(df.limit(0)).count() == 0
-    assert mixing.mixed_documents(df).columns == df.columns
+    return target
+
+
+@pytest.mark.parametrize("sizes", [(6000, 3000, 3000, 12), (20, 100, 1000, 30_000), (5, 0, 50_000, 700), (1, 1, 1, 1)])
+def test_mix(spark, sizes):
+    r, rows = random.Random(sum(sizes)), []
+    for name, total in zip(("a", "b", "c", None), sizes, strict=True):
+        while total:
+            n = min(total, r.randint(1, 60))
+            rows.append((len(rows) if len(rows) % 7 else None, "w " * n, name))
+            total -= n
+    rows += [(1, None, "a"), (2, "", "b"), (2, "", "b"), (3, "w w", "a"), (3, "w w", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("mix_key", "mix_copies", "mix_copy", "order_key", "size", "taken", "start", "block"):
+        df = df.withColumn(c, F.lit(c))
+    p = mixing.MixParams(block=16, ranges=8)
+    got = mixing.mix(df, p).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, mixing.mix(df.repartition(3), p).collect()), key=str) == sorted(map(tuple, got), key=str)
+    own = {}
+    for _, t, s in rows:
+        own[s] = own.get(s, 0) + len((t or "").split())
+    target = targets_of(own)
+    for s in own:
+        mine = [x for x in got if x.source == s]
+        assert all(abs(x.target - target[s]) < 1e-6 * max(1, sum(own.values())) and x.source_size == own[s] for x in mine)
+        assert abs(sum(x.taken for x in mine) - target[s]) <= 16  # a block
+    assert all(0 <= x.taken <= 3 * x.size for x in got)
+    assert mixing.mix(df.limit(0), p).count() == 0
+    out = mixing.mixed_documents(df, p)
+    assert out.columns == df.columns and out.where("size = 'size' and mix_key = 'mix_key'").count() == out.count()
+    copies = {}
+    for x in out.collect():
+        copies[x.doc_id, x.text, x.source] = copies.get((x.doc_id, x.text, x.source), 0) + 1
+    assert copies[1, None, "a"] == 1 and copies[2, "", "b"] == 2
 
 
 def test_warc(spark):
