@@ -431,8 +431,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Deco
 def decontaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that match no benchmark item; the columns stay as they are.
 
-    Rows of one id are one document: they stay or go together; so do the rows without an id.
+    Each row is judged by its own text, with or without an id, whatever other rows have its id.
     """
-    gone = fresh("gone", docs.columns)
-    ids = contaminated(docs, benchmark, p, id_col, text_col).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col(gone)), "left_anti")
+    gone, key = fresh("gone", docs.columns), fresh("row_key", docs.columns)
+    hashed = F.xxhash64(docs[id_col], docs[text_col])
+    ids = contaminated(docs.select(hashed.alias("doc_id"), docs[text_col].alias("text")), benchmark, p).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.withColumn(key, hashed).join(ids, F.col(key) == F.col(gone), "left_anti").drop(key)
