@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, save
-from .neardup import mixed, shingle_hashes
+from .words import shingle_hashes, text_words
 
 MARKS = ".,;:!?\"'()[]{}<>"
 
@@ -56,30 +56,9 @@ class DecontamParams:
     seed: int = 5
 
 
-def _word_hashes(words: pa.StringArray) -> np.ndarray:
-    """A 64-bit hash of each word: the sum of random numbers drawn for its bytes and their places, finalised."""
-    table = np.random.default_rng(64).integers(0, 1 << 63, (64, 256), np.uint64)
-    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    length, data = np.diff(begin), np.frombuffer(words.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
-    place = np.arange(len(data)) - np.repeat(begin[:-1] - begin[0], length)
-    drawn = table[place & 63, data] * (2 * (place >> 6) + 1).astype(np.uint64)
-    out, full = np.zeros(len(words), np.uint64), length > 0
-    if full.any():
-        out[full] = np.add.reduceat(drawn, (begin[:-1] - begin[0])[full])
-    return mixed(out + length.astype(np.uint64))
-
-
-def hashed_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts in a row, how many each text has): lower case, outer punctuation stripped."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
-    flat = pc.list_flatten(lists)
-    words = flat.dictionary_encode()
-    plain = pc.utf8_trim(words.dictionary, MARKS)
-    plain = pc.if_else(pc.equal(plain, ""), words.dictionary, plain)
-    at = words.indices.to_numpy(zero_copy_only=False)
-    some = (pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0)[at]
-    counts = np.bincount(pc.list_parent_indices(lists).to_numpy()[some], minlength=len(texts))
-    return _word_hashes(plain)[at[some]], counts
+def item_words(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words: lower case, outer punctuation stripped."""
+    return text_words(texts, pc.utf8_lower, MARKS)
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,10 +68,7 @@ def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                hashes, counts = hashed_words(part.column(1))
-                ends = np.append(0, np.cumsum(counts) * 8)
-                data = memoryview(hashes.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.tobytes() for w in item_words(part.column(1))], pa.binary())], ["id", "words"])
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "id long, words binary")
 

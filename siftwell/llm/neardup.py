@@ -34,12 +34,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, save
 from .components import components
+from .words import mixed, shingle_hashes, text_words
 
 
 @dataclass(frozen=True)
@@ -62,38 +64,9 @@ class NearDupParams:
         return self.bands * self.rows
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, with a bound on what it remembers."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (public splitmix64 constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash for every run of k words; for fewer words, one for the whole run."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    k = min(k, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - k + 1 + i]
-    return mixed(out)
-
-
-def text_set(text: bytes | None, known: WordHashes, k: int) -> np.ndarray:
-    words = text.lower().split() if text else ()
-    return np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k))
+def text_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted set of k-word shingles of each text, A-Z in lower case."""
+    return [np.unique(shingle_hashes(w, k)) for w in text_words(texts, pc.ascii_lower)]
 
 
 def _multipliers(p: NearDupParams) -> np.ndarray:
@@ -160,11 +133,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: N
     """(doc_id, n_shingles, set_hash, regs): one row a document; the last two are null for an empty set."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [text_set(t, known, p.shingle) for t in part.column(1).to_pylist()]
+                sets = text_sets(part.column(1), p.shingle)
                 full = [s for s in sets if len(s)]
                 regs = iter(registers_of(full, p)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +149,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: N
                     ["doc_id", "n_shingles", "set_hash", "regs"],
                 )
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, regs binary")
 
 
@@ -185,12 +157,13 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) ->
     """(doc_id, set_hash, elements): the sorted 64-bit set of each document, as bytes."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            sets = [text_set(t, known, p.shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_hash", "elements"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [x.tobytes() for x in text_sets(part.column(1), p.shingle)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_hash", "elements"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, set_hash binary, elements binary")
 
 
@@ -243,8 +216,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
+                a, b = a.as_py(), b.as_py()
+                s = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 s.sort()
                 shared = int((s[1:] == s[:-1]).sum())
                 union = len(s) - shared

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .neardup import WordHashes, mixed, shingle_hashes
+from .words import mixed, shingle_hashes, text_words
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,8 @@ def _minima(x: np.ndarray, w: int) -> np.ndarray:
     return x if size == w else np.minimum(x[: len(x) - (w - size)], x[w - size :])
 
 
-def _windows(words: list[bytes], known: WordHashes, p: PhraseParams) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and hash of every window of a document."""
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _windows(w: np.ndarray, p: PhraseParams) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and hash of every window of a document's word hashes."""
     half = shingle_hashes(w, p.block)
     far = p.window - p.block
     return _minima(shingle_hashes(w, p.seed), p.window - p.seed + 1), mixed(half[: len(half) - far] * np.uint64(0x9E3779B97F4A7C15) + half[far:])
@@ -74,15 +73,14 @@ def fingerprints(docs: DataFrame, p: PhraseParams, id_col: str, text_col: str) -
     """(doc_id, n_words, sequence, words_sha256, prints): one row a document."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for text in part.column(1).to_pylist():
+                for text, hashes in zip(part.column(1).to_pylist(), text_words(part.column(1).cast(pa.string())), strict=True):
                     words = text.split() if text else []
                     joined = b" ".join(words)
-                    prints = np.unique(_windows(words, known, p)[0]).view(np.int64) if len(words) >= p.window else np.empty(0, np.int64)
+                    prints = np.unique(_windows(hashes, p)[0]).view(np.int64) if len(words) >= p.window else np.empty(0, np.int64)
                     rows.append((len(words), xxhash.xxh3_128_digest(joined), hashlib.sha256(joined).hexdigest(), prints))
                 lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32), np.concatenate([r[3] for r in rows]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows]), lists], ["doc_id", "n_words", "sequence", "words_sha256", "prints"])
@@ -98,15 +96,15 @@ def _confirming(candidates: DataFrame, p: PhraseParams) -> DataFrame:
     """(window, doc_id, at) of every window with a recurring fingerprint."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            for doc, text, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = text.split()
-                if len(words) < p.window:
-                    continue
-                marks, hashes = _windows(words, known, p)
-                at = np.flatnonzero(np.isin(marks.view(np.int64), prints.values.to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "doc_id", "at"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                for doc, hashes, prints in zip(part.column(0).to_pylist(), text_words(part.column(1).cast(pa.string())), part.column(2), strict=True):
+                    if len(hashes) < p.window:
+                        continue
+                    marks, windows = _windows(hashes, p)
+                    at = np.flatnonzero(np.isin(marks.view(np.int64), prints.values.to_numpy()))
+                    yield pa.RecordBatch.from_arrays([pa.array(windows[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "doc_id", "at"])
 
     return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, doc_id long, at int")
 

@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import common, decontam, neardup, phrases, quality
+from siftwell.llm.words import text_words
 
 from .test_operators import brute_passages, docs, words
 
@@ -116,7 +118,7 @@ def test_contamination_against_every_pair(spark):
         rows.append((1_000_000 + k, " ".join(w[:at] + item + w[at:])))
     both = table.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     p = decontam.DecontamParams()
-    hashed = lambda t: decontam.hashed_words(pa.array([t]))[0]
+    hashed = lambda t: decontam.item_words(pa.array([t], pa.string()))[0]
     known, want = np.zeros(0x10000, bool), set()
     item_words = [(i.item_id, hashed(i.text)) for i in items]
     for row in both.collect():
@@ -150,3 +152,15 @@ def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     Session.sparkContext.master = "yarn"
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         common.shared_folder(Session)
+
+
+def test_words_are_split_and_hashed(spark):
+    texts = ["a b", "", None, " \t\n", "a\x0b\x0cb\rA", "é\x1cx\x85y\u00a0z  b", "x" * 200 + " " + "x" * 136 + "y" + "x" * 63, "\x00 \x1f"]
+    got = text_words(pa.array(texts), pc.ascii_lower)
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    pairs = {(w, int(h)) for ws, hs in zip(plain, got, strict=True) for w, h in zip(ws, hs, strict=True)}
+    assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+    assert [len(x) for x in text_words(pa.array(texts).slice(4, 2))] == [3, 2] and text_words(pa.array([], pa.string())) == []
+    many = [f"{i:x}{'q' * (i % 90)}" for i in range(100_000)]
+    assert len(np.unique(text_words(pa.array([" ".join(many)]))[0])) == 100_000
