@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets few rows at a time cross to Python: texts and sets are long, and a batch of them is held in both processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/siftwell/{tag}-{uuid.uuid4().hex}"
 

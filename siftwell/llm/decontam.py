@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, save
+from .common import fresh, save, small_batches
 from .words import shingle_hashes, text_words
 
 MARKS = ".,;:!?\"'()[]{}<>"
@@ -379,6 +379,7 @@ def _short(rows: DataFrame, items: list) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, lcs_percent, cosine, first_word, answer) of every match."""
+    small_batches(docs.sparkSession)
     rows = save(word_rows(docs, id_col, text_col), "word-rows")
     items = save(word_rows(benchmark, item_col, item_text).where("octet_length(words) > 0").withColumn("block", F.lit(0)), "items")
     n_items = items.count()

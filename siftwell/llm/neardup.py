@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, save
+from .common import fresh, save, small_batches
 from .components import components
 from .words import mixed, shingle_hashes, text_words
 
@@ -352,6 +352,7 @@ def _candidates(members: DataFrame, held: DataFrame, comps: DataFrame, p: NearDu
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     known = save(sketch(docs, id_col, text_col, p), "sketches")
     usable = known.where("doc_id is not null and set_hash is not null")
     # An id that is repeated with different sets stands for all of them in links.

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 from .words import mixed, shingle_hashes, text_words
 
 
@@ -212,6 +212,7 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, p: PhraseParams = PhraseParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, words_sha256, and kept_text (the kept words joined by blanks) where words were removed."""
+    small_batches(docs.sparkSession)
     known = save(fingerprints(docs, p, id_col, text_col), "prints")
     usable = known.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= p.window))
     classes = save(usable.groupBy("sequence").agg(F.min("doc_id").alias("rep")), "classes")

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 
 #: Fixed patterns of the base rules, and their least lengths.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -91,6 +91,7 @@ class Ledger:
                 found = [[dict(zip(("start", "kind", "end"), f, strict=True)) for f in scanner(t)] for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["blob", "findings"])
 
+        small_batches(self.spark)
         new = save(self.unseen(versions, content, rules), "unseen")
         n = new.count()
         if n:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, scratch_path
+from .common import save, scratch_path, small_batches
 
 
 @dataclass(frozen=True)
@@ -137,6 +137,7 @@ def tokenised(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "do
 
 def sequences(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bin, number, n_tokens, first_doc, n_docs, tokens): packed sequences, numbered within each bin."""
+    small_batches(docs.sparkSession)
     bins = max(1, min(p.max_bins, -(-docs.count() // p.bin_docs)))
 
     def run(batches):

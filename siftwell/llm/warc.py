@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, scratch_path
+from .common import save, scratch_path, small_batches
 
 
 @dataclass(frozen=True)
@@ -84,6 +84,7 @@ def _name(*parts: object) -> str:
 
 
 def write(pages: DataFrame, path: str, p: WarcParams = WarcParams(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    small_batches(pages.sparkSession)
     body = F.coalesce(pages[html_col], F.lit("")).cast("binary")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
     large = F.octet_length("body") >= p.min_revisit
