@@ -293,10 +293,3 @@ def test_against_sql(spark, name):
     from ..compare import compare
 
     compare(spark, name, "/root/testdata/sf0.001")
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.select("slot").distinct().count() == out.count() > 0
