@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,60 @@ def session_pairs(ranked: DataFrame, near_only: bool = False, p: Params = DEFAUL
     a, b = ranked.select("session_id", side.alias("a")), ranked.select("session_id", side.alias("b"))
     pairs = a.join(b, "session_id").where("a.rank < b.rank")
     return pairs.where(near_duplicate(p=p)) if near_only else pairs
+
+
+def _near_matrix(a: dict, b: dict, p: Params) -> np.ndarray:
+    """``near_duplicate`` for every photo of a with every photo of b, as arrays."""
+    far = float((1 << 53) - 1)
+    bits = np.bitwise_count(a["hash"][:, None] ^ b["hash"][None]).sum(2, dtype=np.int64).astype(float)
+    bits[~(a["hashed"][:, None] & b["hashed"][None])] = far
+    color = np.full(bits.shape, 255.0)
+    for n in set(a["sizes"].tolist()) & set(b["sizes"].tolist()) - {0}:
+        i, j = np.flatnonzero(a["sizes"] == n), np.flatnonzero(b["sizes"] == n)
+        color[np.ix_(i, j)] = sum(np.abs(a["colors"][i, c][:, None] - b["colors"][j, c][None]) for c in range(n)) / n
+    gap = np.abs(a["times"][:, None] - b["times"][None])  # not a number where one is unknown
+    near = a["structured"][:, None] & b["structured"][None] & (bits <= p.duplicate_strict) & (color <= p.color_tight)
+    near |= (gap <= p.burst_window_ms) & (color <= p.color_loose)
+    near &= bits <= p.duplicate_loose
+    both = (a["dims"][:, None] > 0) & (b["dims"][None] > 0)
+    same = np.where(a["dims"][:, None] == b["dims"][None], a["vectors"] @ b["vectors"].T, 0.0) >= p.same_subject
+    return np.where(both, same, near)
+
+
+def _side(pdf: pd.DataFrame, dims: int, colors: int, p: Params) -> dict:
+    known = [v if v is not None else [] for v in pdf["embedding"]]
+    hashed = np.array([h is not None and len(h) == 64 for h in pdf["hash"]], bool)
+    words = np.array([[int(h[i : i + 16], 16) for i in range(0, 64, 16)] if k else [0] * 4 for h, k in zip(pdf["hash"], hashed, strict=True)], np.uint64).reshape(-1, 4)
+    ones = np.bitwise_count(words).sum(1)
+    signatures = [c if c is not None else [] for c in pdf["color_signature"]]
+    return {
+        "hash": words, "hashed": hashed, "structured": (ones >= 0.1 * p.hash_bits) & (ones <= 0.9 * p.hash_bits), "times": pdf["taken_at_ms"].astype(float).to_numpy(),
+        "sizes": np.array([len(c) for c in signatures]), "colors": np.array([np.pad(np.asarray(c, float), (0, colors - len(c))) for c in signatures]).reshape(-1, colors),
+        "dims": np.array([len(v) for v in known]), "vectors": np.array([np.pad(np.asarray(v, float), (0, dims - len(v))) for v in known]).reshape(-1, dims),
+    }
+
+
+def near_edges(ranked: DataFrame, p: Params = DEFAULT, block: int = 1000) -> DataFrame:
+    """(session_id, lo, hi): ranks of all near-duplicate pairs of a session.
+
+    A session of n photos is n / block blocks, and every pair of blocks a group of its own, so a session of any size is
+    spread over tasks of bounded size; what a group returns are near-duplicates only.
+    """
+    names = ["rank", "hash", "color_signature", "taken_at_ms", "embedding"]
+    sizes = ranked.groupBy("session_id").agg(F.ceil(F.count("*") / block).alias("parts"))
+    own = ranked.select("session_id", *names).join(sizes, "session_id").withColumn("own", F.pmod(F.col("rank"), F.col("parts")))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    spread = spread.select("session_id", *names, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        session, x, y = key
+        dims = max((len(v) for v in pdf["embedding"] if v is not None), default=0)
+        colors = max((len(c) for c in pdf["color_signature"] if c is not None), default=0)
+        a, b = pdf[pdf["own"] == x].sort_values("rank"), pdf[pdf["own"] == y].sort_values("rank")
+        near = _near_matrix(_side(a, dims, colors, p), _side(b, dims, colors, p), p)
+        i, j = np.nonzero(near)
+        left, right = a["rank"].to_numpy()[i], b["rank"].to_numpy()[j]
+        keep = left < right if x == y else np.ones(len(left), bool)
+        return pd.DataFrame({"session_id": session, "lo": np.minimum(left, right)[keep], "hi": np.maximum(left, right)[keep]})
+
+    return spread.groupBy("session_id", "x", "y").applyInPandas(run, "session_id long, lo int, hi int")

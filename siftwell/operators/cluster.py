@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import session_pairs
+from ..functions.pairs import near_edges
 from ..params import DEFAULT, Params
 
 
@@ -38,7 +38,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def leader_groups(ranked: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(session_id, leader_id, photo_id, rank, rank_in_group); a leader is in its own group at 0."""
-    edges = materialise(session_pairs(ranked, near_only=True, p=p).select("session_id", F.col("a.rank").alias("lo"), F.col("b.rank").alias("hi")))
+    edges = materialise(near_edges(ranked, p))
     ids = ranked.select("session_id", "rank", "photo_id")
     state = materialise(ids.join(edges.select("session_id", F.col("hi").alias("rank")).distinct(), ["session_id", "rank"], "left_semi").select("session_id", "rank", F.lit(None).cast("int").alias("leader")))
     # Whoever has no earlier neighbour leads; state holds the others, with a leader's rank once known (0: leads itself).

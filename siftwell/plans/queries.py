@@ -70,8 +70,9 @@ def embedding_pairs(spark, d):
 
 
 def near_duplicate_pairs(spark, d):
-    x = P.session_pairs(ranked(spark, d), near_only=True, p=QUERY)
-    return x.select("session_id", F.col("a.photo_id").alias("a"), F.col("b.photo_id").alias("b"))
+    r = ranked(spark, d)
+    side = lambda rank, into: r.select("session_id", F.col("rank").alias(rank), F.col("photo_id").alias(into))
+    return P.near_edges(r, QUERY, block=200).join(side("lo", "a"), ["session_id", "lo"]).join(side("hi", "b"), ["session_id", "hi"]).select("session_id", "a", "b")
 
 
 def pair_similarity(spark, d):
