@@ -15,9 +15,7 @@ There are at most ``max_bins`` bins, of ``bin_docs`` documents at least: their s
 only thing that is broadcast. A bin streams through its task, so its size is no matter of memory.
 
 The vocabulary is a file of a public tokenizer, read on the driver and shipped to the tasks
-(``ranks_path`` is a parameter). Texts are cut at white space before the tokenizer's own
-pattern is applied, which never joins across such a cut; encodings of repeated words are
-remembered within a bound.
+(``ranks_path`` is a parameter).
 
 Defined results: null and empty texts are one end token; a last sequence of a bin that is not
 full is padded with the end token (``n_tokens`` tells the real count); repeated rows are
@@ -60,11 +58,6 @@ class TokenParams:
 #: Bytes of the numbers behind the token ids.
 WIDTHS = {"n_tokens": 10, "first_doc": 20, "n_docs": 10}
 
-#: White space as the tokenizer's pattern sees it.
-_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CUT = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-
-
 def ranks(path: str) -> bytes:
     """The vocabulary file's bytes; a bare name is looked up among the installed public tokenizers."""
     if "/" not in path:
@@ -75,26 +68,18 @@ def ranks(path: str) -> bytes:
         return f.read()
 
 
-class Encoder(dict):
-    """Piece of text -> its token ids as 16-bit bytes."""
+class Encoder:
+    """Text -> its token ids as 16-bit bytes."""
 
     def __init__(self, vocabulary: bytes):
         import public_tokenizers
         import tiktoken
 
         pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={}).encode_ordinary
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u2").tobytes()
-        if len(piece) <= 48:
-            if len(self) > 300_000:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, CUT.findall(text)))
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 def feistel(index: np.ndarray, n: int, key: str, rounds: int = 6) -> np.ndarray:
@@ -182,7 +167,7 @@ def sequences(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "do
 
 def training_order(docs: DataFrame, p: TokenParams = TokenParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences with their place: slot, shard, byte_offset, n_tokens, first_doc, n_docs, tokens; sorted within range partitions."""
-    packed = save(sequences(docs, p, id_col, text_col), "sequences", zstd_level=9)
+    packed = save(sequences(docs, p, id_col, text_col), "sequences", zstd_level=6)
     counts = packed.groupBy("bin").agg(F.count("*").alias("k"))
     n = counts.agg(F.sum("k")).first()[0] or 0
     starts = counts.select("bin", F.coalesce(F.sum("k").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
