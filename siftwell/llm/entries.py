@@ -74,5 +74,11 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeated_passages(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decoded, digest, encoded
+
+    return digest(decoded(encoded(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
