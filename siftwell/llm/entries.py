@@ -74,6 +74,12 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeated_passages(table(spark, sf_dir, "documents")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import decoded, digest, encoded
 

@@ -68,5 +68,24 @@ from w left join rest on rest.doc_id = w.doc_id
 """
 
 
+#: The checksum's table follows from its polynomial; near words share what a deleted code point leaves.
+OP12 = r"""
+with recursive t as (select list(list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) as tab from range(256) z(b)),
+run as (select doc_id, w, count(*) as k from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as w from documents) group by all),
+hexed as (select *, hex(encode(doc_id || ':' || w)) as x from run),
+summed as (select w, k, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::int, 2))::bigint), lambda c, y: xor(c // 256, tab[(xor(c, y) % 256 + 1)::int]), 4294967295::bigint), 4294967295) as h from hexed, t),
+cut as (select case when h % 97 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, k from summed),
+v as materialized (select word, sum(k)::bigint as n from cut where length(word) >= 5 group by 1 having sum(k) >= 3),
+del as materialized (select word, n, i, left(word, (i - 1)::int) || substr(word, (i + 1)::int) as rest from v, unnest(range(1, length(word) + 1)) u(i)),
+near as (select distinct word, other, other_n from (
+  select a.word, b.word as other, b.n as other_n from del a join del b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union all select d.word, v.word, v.n from del d join v on d.rest = v.word union all select v.word, d.word, d.n from del d join v on d.rest = v.word)),
+best as (select word, count(*) as n_near, min({'m': -other_n, 'o': other}) as b from near group by 1),
+f as materialized (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when -b.m >= 2 * v.n then b.o end as form, case when -b.m >= 2 * v.n then -b.m end as form_n from v left join best using (word)),
+r as (select word, word as at, 0 as step from f union all select r.word, f.form, step + 1 from r join f on f.word = r.at where f.form is not null)
+select f.word, f.form, arg_max(r.at, r.step) as root, f.n, f.n_near, f.form_n::bigint as form_n from f join r on r.word = f.word group by all
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_setsketch_neardup": OP3, "op5_line_first_quality": OP5, "op7_warc_segments": OP7, "op10_phrase_automata": OP10}
+    return {"op3_setsketch_neardup": OP3, "op5_line_first_quality": OP5, "op7_warc_segments": OP7, "op10_phrase_automata": OP10, "op12_spelling_variants": OP12}
