@@ -74,6 +74,12 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeated_passages(table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import variants
 

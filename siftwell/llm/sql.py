@@ -68,6 +68,19 @@ from w left join rest on rest.doc_id = w.doc_id
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+with d as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS}) as term from documents) group by all),
+sizes as (select doc_id, sum(tf)::bigint as n from d group by 1),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as terms from sizes),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from d, corpus group by term, docs),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+scored as (select q.item_id, d.doc_id, sum(q.times * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * sizes.n * docs) // terms))))::bigint as score
+  from q join weights using (term) join d using (term) join sizes on sizes.doc_id = d.doc_id, corpus group by 1, 2)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0) where rank <= 10
+"""
+
 #: The checksum's table follows from its polynomial; near words share what a deleted code point leaves.
 OP12 = r"""
 with recursive t as (select list(list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) as tab from range(256) z(b)),
@@ -88,4 +101,4 @@ select f.word, f.form, arg_max(r.at, r.step) as root, f.n, f.n_near, f.form_n::b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_setsketch_neardup": OP3, "op5_line_first_quality": OP5, "op7_warc_segments": OP7, "op10_phrase_automata": OP10, "op12_spelling_variants": OP12}
+    return {"op3_setsketch_neardup": OP3, "op5_line_first_quality": OP5, "op7_warc_segments": OP7, "op10_phrase_automata": OP10, "op11_ranked_search": OP11, "op12_spelling_variants": OP12}
