@@ -1,4 +1,4 @@
-"""Predicates and similarities of two photos, as Columns over prefixed column sets."""
+"""Predicates and similarities of two photos: as Columns over prefixed column sets, and as arrays over blocks of photos."""
 
 from __future__ import annotations
 
@@ -8,19 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from .scalars import clamp, color_distance, degenerate, dot, hamming, num, remapped
+from .scalars import color_distance, degenerate, dot, hamming, num, remapped
 
 SIDE = ("photo_id", "rank", "hash", "color_signature", "taken_at_ms", "embedding")
 
 
-def near_duplicate(a: str = "a", b: str = "b", p: Params = DEFAULT) -> Column:
-    """Whether two photos show the same: by embeddings if both have one, else hash, colour and time. Cheap tests come first."""
+def look_alike(a: str = "a", b: str = "b", p: Params = DEFAULT) -> Column:
+    """Whether two photos show the same by hash, colour and time. Cheap tests come first."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     bits, color = hamming(x("hash"), y("hash")), color_distance(x("color_signature"), y("color_signature"))
     structured = ~degenerate(x("hash"), p) & ~degenerate(y("hash"), p)
     return (
-        F.when(x("embedding").isNotNull() & y("embedding").isNotNull(), dot(x("embedding"), y("embedding")) >= p.same_subject)
-        .when(bits > p.duplicate_loose, False)
+        F.when(bits > p.duplicate_loose, False)
         .when(structured & (bits <= p.duplicate_strict) & (color <= p.color_tight), True)
         .when(x("taken_at_ms").isNull() | y("taken_at_ms").isNull(), False)
         .when(F.abs(x("taken_at_ms") - y("taken_at_ms")) > p.burst_window_ms, False)
@@ -28,6 +27,12 @@ def near_duplicate(a: str = "a", b: str = "b", p: Params = DEFAULT) -> Column:
     )
 
 
+def near_duplicate(a: str = "a", b: str = "b", p: Params = DEFAULT) -> Column:
+    """Whether two photos show the same: by embeddings if both have one, else hash, colour and time."""
+    x, y = F.col(f"{a}.embedding"), F.col(f"{b}.embedding")
+    return F.when(x.isNotNull() & y.isNotNull(), dot(x, y) >= p.same_subject).otherwise(look_alike(a, b, p))
+
+
 def similarity(a: str = "a", b: str = "b", p: Params = DEFAULT) -> Column:
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     near = lambda d, spread: num(1) - F.least(num(1), d / num(spread))
@@ -44,58 +49,41 @@ def session_pairs(ranked: DataFrame, near_only: bool = False, p: Params = DEFAUL
     return pairs.where(near_duplicate(p=p)) if near_only else pairs
 
 
-def _near_matrix(a: dict, b: dict, p: Params) -> np.ndarray:
-    """``near_duplicate`` for every photo of a with every photo of b, as arrays."""
-    far = float((1 << 53) - 1)
-    bits = np.bitwise_count(a["hash"][:, None] ^ b["hash"][None]).sum(2, dtype=np.int64).astype(float)
-    bits[~(a["hashed"][:, None] & b["hashed"][None])] = far
-    color = np.full(bits.shape, 255.0)
-    for n in set(a["sizes"].tolist()) & set(b["sizes"].tolist()) - {0}:
-        i, j = np.flatnonzero(a["sizes"] == n), np.flatnonzero(b["sizes"] == n)
-        color[np.ix_(i, j)] = sum(np.abs(a["colors"][i, c][:, None] - b["colors"][j, c][None]) for c in range(n)) / n
-    gap = np.abs(a["times"][:, None] - b["times"][None])  # not a number where one is unknown
-    near = a["structured"][:, None] & b["structured"][None] & (bits <= p.duplicate_strict) & (color <= p.color_tight)
-    near |= (gap <= p.burst_window_ms) & (color <= p.color_loose)
-    near &= bits <= p.duplicate_loose
-    both = (a["dims"][:, None] > 0) & (b["dims"][None] > 0)
-    same = np.where(a["dims"][:, None] == b["dims"][None], a["vectors"] @ b["vectors"].T, 0.0) >= p.same_subject
-    return np.where(both, same, near)
-
-
-def _side(pdf: pd.DataFrame, dims: int, colors: int, p: Params) -> dict:
-    known = [v if v is not None else [] for v in pdf["embedding"]]
+def vectors(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of the vectors, padded with zeros, and the length of each; -1 where there is none."""
+    dims = np.array([-1 if v is None else len(v) for v in rows], int)
+    matrix = np.zeros((len(rows), max([0, *dims])))
+    for i, v in enumerate(rows):
+        if v is not None:
+            matrix[i, : len(v)] = v
+    return matrix, dims
+
+
+def features(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """What similarities are counted from, as arrays: unknown hashes, colours, times and vectors are marked as such."""
     hashed = np.array([h is not None and len(h) == 64 for h in pdf["hash"]], bool)
     words = np.array([[int(h[i : i + 16], 16) for i in range(0, 64, 16)] if k else [0] * 4 for h, k in zip(pdf["hash"], hashed, strict=True)], np.uint64).reshape(-1, 4)
-    ones = np.bitwise_count(words).sum(1)
-    signatures = [c if c is not None else [] for c in pdf["color_signature"]]
-    return {
-        "hash": words, "hashed": hashed, "structured": (ones >= 0.1 * p.hash_bits) & (ones <= 0.9 * p.hash_bits), "times": pdf["taken_at_ms"].astype(float).to_numpy(),
-        "sizes": np.array([len(c) for c in signatures]), "colors": np.array([np.pad(np.asarray(c, float), (0, colors - len(c))) for c in signatures]).reshape(-1, colors),
-        "dims": np.array([len(v) for v in known]), "vectors": np.array([np.pad(np.asarray(v, float), (0, dims - len(v))) for v in known]).reshape(-1, dims),
-    }
-
-
-def near_edges(ranked: DataFrame, p: Params = DEFAULT, block: int = 1000) -> DataFrame:
-    """(session_id, lo, hi): ranks of all near-duplicate pairs of a session.
-
-    A session of n photos is n / block blocks, and every pair of blocks a group of its own, so a session of any size is
-    spread over tasks of bounded size; what a group returns are near-duplicates only.
-    """
-    names = ["rank", "hash", "color_signature", "taken_at_ms", "embedding"]
-    sizes = ranked.groupBy("session_id").agg(F.ceil(F.count("*") / block).alias("parts"))
-    own = ranked.select("session_id", *names).join(sizes, "session_id").withColumn("own", F.pmod(F.col("rank"), F.col("parts")))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spread = spread.select("session_id", *names, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        session, x, y = key
-        dims = max((len(v) for v in pdf["embedding"] if v is not None), default=0)
-        colors = max((len(c) for c in pdf["color_signature"] if c is not None), default=0)
-        a, b = pdf[pdf["own"] == x].sort_values("rank"), pdf[pdf["own"] == y].sort_values("rank")
-        near = _near_matrix(_side(a, dims, colors, p), _side(b, dims, colors, p), p)
-        i, j = np.nonzero(near)
-        left, right = a["rank"].to_numpy()[i], b["rank"].to_numpy()[j]
-        keep = left < right if x == y else np.ones(len(left), bool)
-        return pd.DataFrame({"session_id": session, "lo": np.minimum(left, right)[keep], "hi": np.maximum(left, right)[keep]})
-
-    return spread.groupBy("session_id", "x", "y").applyInPandas(run, "session_id long, lo int, hi int")
+    colors, sizes = vectors(pdf["color_signature"])
+    matrix, dims = vectors(pdf["embedding"])
+    return {"hash": words, "hashed": hashed, "colors": colors, "sizes": sizes, "times": pdf["taken_at_ms"].astype(float).to_numpy(), "vectors": matrix, "dims": dims}
+
+
+def similarities(one: dict[str, np.ndarray], i: int, others: dict[str, np.ndarray], p: Params = DEFAULT) -> np.ndarray:
+    """``similarity`` of photo i of one set to every photo of others."""
+
+    def fitted(x: np.ndarray, width: int) -> np.ndarray:
+        return np.pad(x, (0, max(0, width - len(x))))[:width]
+
+    near = lambda d, spread: 1 - np.minimum(1, d / spread)
+    size = one["sizes"][i]
+    alike = (others["sizes"] == size) & (size > 0)
+    color = np.where(alike, np.abs(others["colors"] - fitted(one["colors"][i], others["colors"].shape[1])).sum(1) / max(size, 1), 255.0)
+    bits = np.bitwise_count(others["hash"] ^ one["hash"][i]).sum(1, dtype=np.int64).astype(float)
+    bits[~(others["hashed"] & one["hashed"][i])] = float((1 << 53) - 1)
+    gap = np.abs(others["times"] - one["times"][i])
+    out = 0.5 * near(color, p.color_spread) + 0.3 * near(bits, p.hash_bits / 2) + 0.2 * np.where(np.isnan(gap), 0.0, near(np.nan_to_num(gap), p.time_spread_ms))
+    if one["dims"][i] >= 0:
+        # Vectors of another length are unlike: a cosine of 0.
+        cos = np.where(others["dims"] == one["dims"][i], others["vectors"] @ fitted(one["vectors"][i], others["vectors"].shape[1]), 0.0)
+        out = np.where(others["dims"] >= 0, np.clip((cos - p.cosine_floor) / p.cosine_range, 0, 1), out)
+    return out

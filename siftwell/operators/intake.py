@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from .cluster import materialise
+from ..sources.tables import materialise
 from .rank import rank, score, shortlist
 from .select import best_photos
 

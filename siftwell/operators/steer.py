@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.pairs import vectors
 from ..params import DEFAULT, Params
+from ..sources.tables import materialise
 from .select import content_baseline, diverse_top_k
 
 
@@ -22,14 +28,14 @@ def steering_state(taps: DataFrame) -> DataFrame:
     return ends.where((F.col("n") - F.coalesce("other", F.lit(0))) % 2 == 1).select("session_id", "photo_id", F.col("last").alias("action"))
 
 
-def mean_embedding(vectors: DataFrame, keys: list[str], order: str = "photo_id") -> DataFrame:
+def mean_embedding(rows: DataFrame, keys: list[str], order: str = "photo_id") -> DataFrame:
     """keys -> unit vector of the mean of embeddings (those as long as the first in order), null if it is zero."""
-    some = vectors.where("embedding is not null")
+    some = rows.where("embedding is not null")
     first = some.groupBy(*keys).agg(F.min_by(F.size("embedding"), order).alias("dims"))
-    each = some.join(first, keys).where(F.size("embedding") == F.col("dims")).select(*keys, F.posexplode("embedding").alias("i", "x"))
-    means = each.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    lists = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-    return lists.select(*keys, S.unit(F.transform("v", lambda x: x["m"])).alias("mean"))
+    alike = some.join(first, keys).where(F.size("embedding") == F.col("dims"))
+    # A task adds up its vectors; one vector for each task and key is shuffled.
+    means = alike.groupBy(*keys).agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    return means.select(*keys, S.unit(vector_to_array("m")).alias("mean"))
 
 
 def labelled(photos: DataFrame, state: DataFrame) -> DataFrame:
@@ -55,10 +61,32 @@ def taste_bias(p: Params = DEFAULT):
     return F.coalesce(S.num(p.taste_weight) * F.col("confidence") * strength, S.num(0))
 
 
-def nearest_affinity(photos: DataFrame, references: DataFrame, into: str, p: Params = DEFAULT) -> DataFrame:
-    """Adds the largest remapped cosine to the session's references (session_id, reference), 0 without any."""
-    pairs = photos.where("embedding is not null").select("session_id", "photo_id", "embedding").join(references, "session_id")
-    best = pairs.groupBy("session_id", "photo_id").agg(F.max(S.remapped(S.dot(F.col("embedding"), F.col("reference")), p)).alias(into))
+def nearest_affinity(photos: DataFrame, references: DataFrame, into: str, p: Params = DEFAULT, block: int = 1000) -> DataFrame:
+    """Adds the largest remapped cosine to the session's references (session_id, reference), 0 without any.
+
+    Blocks of photos meet blocks of references as matrix products; equal references count once.
+    """
+    refs = references.where("reference is not null").select("session_id", "reference").distinct()
+    own = photos.where("embedding is not null").select("session_id", "photo_id", "embedding")
+    chunks = lambda x, name: x.groupBy("session_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = materialise(chunks(refs, "theirs").join(chunks(own, "ours"), "session_id"))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    left = own.join(sizes, "session_id").select("session_id", "photo_id", "embedding", F.pmod(F.xxhash64("photo_id"), "ours").cast("int").alias("a"), spread("theirs", "b"))
+    # Both sides may come from one table; so the keys are named anew.
+    right = refs.join(sizes, "session_id").select(F.col("session_id").alias("session_id"), "reference", F.pmod(F.xxhash64("reference"), "theirs").cast("int").alias("b"), spread("ours", "a"))
+
+    def run(rows: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(against):
+            return pd.DataFrame({"session_id": [], "photo_id": [], "cosine": []})
+        (x, n), (y, m) = vectors(rows["embedding"]), vectors(against["reference"])
+        width = max(x.shape[1], y.shape[1])
+        product = np.pad(x, ((0, 0), (0, width - x.shape[1]))) @ np.pad(y, ((0, 0), (0, width - y.shape[1]))).T
+        # Vectors of another length are unlike: a cosine of 0.
+        return pd.DataFrame({"session_id": rows["session_id"], "photo_id": rows["photo_id"], "cosine": np.where(n[:, None] == m, product, 0.0).max(1)})
+
+    keys = ["session_id", "a", "b"]
+    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "session_id long, photo_id long, cosine double")
+    best = each.groupBy("session_id", "photo_id").agg(S.remapped(F.max("cosine"), p).alias(into))
     return photos.join(best, ["session_id", "photo_id"], "left").withColumn(into, F.coalesce(into, S.num(0)))
 
 
@@ -69,7 +97,7 @@ def steered_selection(ranked: DataFrame, state: DataFrame, weights: list[float],
     """
     spark = ranked.sparkSession
     remembered = remembered if remembered is not None else spark.createDataFrame([], "session_id long, place long, action string, embedding array<float>")
-    acted = ranked.join(state, ["session_id", "photo_id"], "left")
+    acted = materialise(ranked.join(state, ["session_id", "photo_id"], "left"))
     refs = lambda df, a: df.where((F.col("action") == a) & F.col("embedding").isNotNull()).select("session_id", F.col("embedding").alias("reference"))
     pool = acted.where("action is null or action = 'like'")
     labels = acted.where("action is not null").select("session_id", "photo_id", "action", "embedding").where("embedding is not null")
@@ -87,10 +115,9 @@ def steered_selection(ranked: DataFrame, state: DataFrame, weights: list[float],
     value = F.col("score") - S.num(p.reject_weight) * F.col("unwanted") - S.num(p.remembered_reject_weight) * F.col("remembers_no") + taste_bias(p) + prior
     asked = F.coalesce(S.remapped(S.dot(F.col("embedding"), F.col("mean")), p), S.num(0))
     discount = S.num(1) - F.greatest(S.num(p.like_relief) * asked, S.num(p.remembered_like_relief) * F.col("remembers_yes"))
-    w = Window.partitionBy("session_id")
-    seed = F.coalesce(F.col("action") == "like", F.lit(False))
-    k = F.greatest(S.selection_size(F.count("*").over(w), p), F.sum(seed.cast("long")).over(w))
-    x = x.withColumn("seed", seed).withColumn("k", k).withColumn("value", value).withColumn("discount", discount)
+    x = x.withColumn("seed", F.coalesce(F.col("action") == "like", F.lit(False)))
+    sizes = x.groupBy("session_id").agg(F.greatest(S.selection_size(F.count("*"), p), F.count_if("seed")).alias("k"))
+    x = x.join(sizes, "session_id").withColumn("value", value).withColumn("discount", discount)
     return diverse_top_k(x, F.col("k"), F.col("value"), F.col("discount"), seeds=x, p=p)
 
 
@@ -98,7 +125,8 @@ def review_pool(ranked: DataFrame, groups: DataFrame) -> DataFrame:
     """The photos that steering chooses from: representatives that pass, or all photos of a session without any."""
     leaders = groups.where("rank_in_group = 0").select("session_id", "photo_id", F.lit(True).alias("leads"))
     x = ranked.join(leaders, ["session_id", "photo_id"], "left").withColumn("leads", F.col("leads").isNotNull() & F.col("rejected_for").isNull())
-    return x.withColumn("any", F.max("leads").over(Window.partitionBy("session_id"))).where("leads or not any").drop("leads", "any")
+    some = x.where("leads").select("session_id", F.lit(True).alias("any")).distinct()
+    return x.join(some, "session_id", "left").where("leads or any is null").drop("leads", "any")
 
 
 def remembered_for(session_id: int, preferences: DataFrame) -> DataFrame:

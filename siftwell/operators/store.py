@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .cluster import materialise
+from ..sources.tables import materialise
 
 TABLES = {
     "sessions": "session_id long, created_at long, finalized boolean, liked array<long>, rejected array<long>, selected array<long>",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as P
 from ..functions import scalars as S
-from ..operators import cluster, explain, pixel_arrays, rank, select, state, steer
+from ..operators import cluster, duplicates, explain, pixel_arrays, rank, select, state, steer
 from ..params import Params
 from ..sources import images
 from ..sources import photos as src
@@ -72,7 +72,7 @@ def embedding_pairs(spark, d):
 def near_duplicate_pairs(spark, d):
     r = ranked(spark, d)
     side = lambda rank, into: r.select("session_id", F.col("rank").alias(rank), F.col("photo_id").alias(into))
-    return P.near_edges(r, QUERY, block=200).join(side("lo", "a"), ["session_id", "lo"]).join(side("hi", "b"), ["session_id", "hi"]).select("session_id", "a", "b")
+    return duplicates.near_edges(r, QUERY, block=200).join(side("lo", "a"), ["session_id", "lo"]).join(side("hi", "b"), ["session_id", "hi"]).select("session_id", "a", "b")
 
 
 def pair_similarity(spark, d):

@@ -131,28 +131,3 @@ def test_two_passes_need_two_vectors(spark):
     none = lambda x: x.select("session_id", "photo_id", F.lit(None).cast("array<double>").alias("embedding"), F.lit("no model").alias("error"))
     w, b = photos.content_head()
     assert intake.two_pass_selection(p, none, w, b).count() > 0
-
-
-def test_blocked_pairs_equal_joined_pairs(spark):
-    import random
-
-    from siftwell.functions import pairs
-    from siftwell.sources import photos
-
-    r = random.Random(3)
-    rows = [row.asDict() for row in rank.rank(rank.score(photos.derived_photos(spark, "/root/testdata/sf0.001"))).collect()]
-    for x in rows:
-        if x["embedding"] and r.random() < 0.3:
-            x["embedding"] = x["embedding"][:32]
-        if r.random() < 0.1:
-            x["hash"] = r.choice((None, "0f", "0" * 64, "f" * 64))
-        if r.random() < 0.1:
-            x["color_signature"] = r.choice((None, [], [60, 60]))
-        if r.random() < 0.5:
-            x["taken_at_ms"] = 1704067200000 + r.randint(0, 90_000)
-    names = ("session_id", "rank", "photo_id", "hash", "color_signature", "taken_at_ms", "embedding")
-    df = spark.createDataFrame([tuple(x[n] for n in names) for x in rows], "session_id long, rank int, photo_id long, hash string, color_signature array<int>, taken_at_ms long, embedding array<double>")
-    want = {(x.session_id, x.a.rank, x.b.rank) for x in pairs.session_pairs(df, near_only=True).collect()}
-    for block in (7, 1000):
-        assert {tuple(x) for x in pairs.near_edges(df, block=block).collect()} == want
-    assert want and pairs.near_edges(df.limit(0)).count() == 0
