@@ -156,13 +156,15 @@ def _store(spark) -> store.Store:
 
 
 def session_upsert(spark, d):
-    """Written, replaced in part, finalised, steered, and read back."""
+    """Written, replaced in part, finalised, dropped in part, steered, and read back; each change writes the buckets it touches."""
     s = _store(spark)
+    key = lambda k: spark.createDataFrame([(k,)], "session_id long")
     s.write("sessions", _sessions(spark, d))
-    s.write("sessions", store.upserted(s.read("sessions"), s.session(3).withColumn("created_at", F.lit(7).cast("long"))))
-    s.write("sessions", store.finalised(s.read("sessions"), 5))
+    s.upsert("sessions", s.session(3).withColumn("created_at", F.lit(7).cast("long")))
+    s.update("sessions", key(5), lambda old: store.finalised(old, 5))
+    s.update("sessions", key(6), lambda old: store.without(old, 6))
     changes = spark.createDataFrame([(4, [1, 2], [3], [9]), (99, [1], [], [])], "session_id long, liked array<long>, rejected array<long>, selected array<long>")
-    s.write("sessions", store.steered(store.without(s.read("sessions"), 6), changes))
+    s.update("sessions", changes.select("session_id"), lambda old: store.steered(old, changes))
     size = lambda c: F.size(c).alias(c)
     return s.read("sessions").join(s.session_ids(), "session_id").select("session_id", "created_at", "finalized", size("liked"), size("rejected"), F.element_at("selected", 1).alias("first_selected"))
 
