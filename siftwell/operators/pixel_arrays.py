@@ -71,7 +71,8 @@ def measure_one(rgb: np.ndarray) -> tuple:
 
 
 def measure(images: DataFrame) -> DataFrame:
-    """photo_id with all metrics, or with an error."""
+    """photo_id with all metrics, or with an error. Other columns of images than width, height and data stay beside them."""
+    kept = [f for f in images.schema if f.name not in ("photo_id", "width", "height", "data")]
 
     def run(batches):
         types = [pa.int64(), *[pa.float64()] * len(NUMBERS), pa.string(), pa.list_(pa.int32()), pa.string()]
@@ -83,9 +84,10 @@ def measure(images: DataFrame) -> DataFrame:
                     out.append((photo, *measure_one(pixels_of(width, height, data)), None))
                 except (TypeError, ValueError) as e:
                     out.append((photo, *[None] * (len(NUMBERS) + 2), str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(types)), *batch.columns[4:]], [*names, *(f.name for f in kept)])
 
-    return images.select(F.col("photo_id").cast("long"), "width", "height", "data").mapInArrow(run, MEASURED)
+    schema = ", ".join([MEASURED, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    return images.select(F.col("photo_id").cast("long"), "width", "height", "data", *[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
 def model_input(rgb: np.ndarray, side: int = 256) -> np.ndarray:
@@ -97,22 +99,41 @@ def model_input(rgb: np.ndarray, side: int = 256) -> np.ndarray:
     return (rgb[rows][:, columns].transpose(2, 0, 1) / 255).astype(np.float32)
 
 
-def embed(images: DataFrame, load_model: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = 256) -> DataFrame:
+def embed(images: DataFrame, load_model: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = 256, batch_mb: float = 32.0) -> DataFrame:
     """(photo_id, embedding, error): a model's vector of every image, at length 1 (a zero vector stays).
 
-    load_model runs once in each Python worker and returns a function from planes to a vector.
+    load_model runs once in each Python worker and returns a function from a stack of planes (n, 3, side, side) to n vectors. A
+    stack holds up to ``batch_mb`` MB. Where the model fails on a stack, its images are tried one by one, so an error is that of its own photo.
     """
+    most = max(1, int(batch_mb * (1 << 20) // (12 * side * side)))
+
+    def vectors_of(model, stack: list[np.ndarray]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            raw = np.asarray(model(np.stack(stack)), np.float64)
+            if raw.ndim != 2 or len(raw) != len(stack):
+                raise ValueError(f"the model gave shape {raw.shape} for {len(stack)} images")
+            norms = np.sqrt((raw * raw).sum(1))
+            return [((v / (n or 1.0)).tolist(), None) for v, n in zip(raw, norms, strict=True)]
+        except Exception as e:  # whatever a model raises
+            if len(stack) == 1:
+                return [(None, str(e) or type(e).__name__)]
+        return [x for one in stack for x in vectors_of(model, [one])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            model, out = model or load_model(), []
-            for photo, width, height, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                try:
-                    raw = np.asarray(model(model_input(pixels_of(width, height, data), side)), np.float64)
-                    out.append((photo, (raw / (np.sqrt((raw * raw).sum()) or 1.0)).tolist(), None))
-                except Exception as e:  # whatever a model raises is that photo's error
-                    out.append((photo, None, str(e) or type(e).__name__))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.float64()), pa.string()))], ["photo_id", "embedding", "error"])
+            model = model or load_model()
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                photos, found, stack, at = part.column(0).to_pylist(), [(None, None)] * part.num_rows, [], []
+                for i, (width, height, data) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                    try:
+                        stack.append(model_input(pixels_of(width, height, data), side))
+                        at.append(i)
+                    except (TypeError, ValueError) as e:
+                        found[i] = (None, str(e))
+                for i, x in zip(at, vectors_of(model, stack) if stack else [], strict=True):
+                    found[i] = x
+                yield pa.RecordBatch.from_arrays([pa.array(photos, pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], pa.string())], ["photo_id", "embedding", "error"])
 
     return images.select(F.col("photo_id").cast("long"), "width", "height", "data").mapInArrow(run, "photo_id long, embedding array<double>, error string")

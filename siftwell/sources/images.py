@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .headers import EXIF_BYTES, PhotoHeaders, exif_time
 
-#: Bytes of a file that may hold its capture time, and the tags that lead to it.
-EXIF_BYTES, EXIF_TAG, TIME_TAG, ZONE_TAG = 256 * 1024, 0x8769, 0x9003, 0x9011
-
-
-def photo_files(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, upload_idx, id, name, type, size, path): the files below path, a session for each folder, in order of their names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+def _relation(files: DataFrame, *more: str) -> DataFrame:
+    """(session_id, upload_idx, id, name, type, size, path, more) of files (path, size, more): a session for each folder, in order of their names."""
     name, ending = F.element_at(F.split("path", "/"), -1), F.lower(F.element_at(F.split("path", r"\."), -1))
     kind = F.when(ending.isin("png", "gif", "bmp", "webp"), F.concat(F.lit("image/"), ending))
     w = Window.partitionBy("session_id").orderBy("path")
     x = files.withColumn("session_id", F.element_at(F.split("path", "/"), -2)).withColumn("upload_idx", F.row_number().over(w) - 1)
-    return x.select("session_id", "upload_idx", F.format_string("p%04d", "upload_idx").alias("id"), S.default_name(name, F.col("upload_idx")).alias("name"), S.default_type(kind).alias("type"), "size", "path")
+    return x.select("session_id", "upload_idx", F.format_string("p%04d", "upload_idx").alias("id"), S.default_name(name, F.col("upload_idx")).alias("name"), S.default_type(kind).alias("type"), "size", "path", *more)
+
+
+def photo_files(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, upload_idx, id, name, type, size, path): the files below path, none of which is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _relation(files.select("path", F.col("length").alias("size")))
+
+
+def header_files(spark: SparkSession, path: str, partition_mb: float = 64.0) -> DataFrame:
+    """photo_files with taken_at_ms, null without one, and the error of a file that could not be opened. Reads no more than the head of a file."""
+    spark.dataSource.register(PhotoHeaders)
+    heads = spark.read.format(PhotoHeaders.name()).option("partition_mb", str(partition_mb)).load(path)
+    return _relation(heads.withColumn("taken_at_ms", S.exif_epoch_ms(F.col("time"), F.col("zone"))), "taken_at_ms", "error")
 
 
 def pixels(spark: SparkSession, path: str, edge: int = 512) -> DataFrame:
@@ -61,48 +68,6 @@ def _shrunk(rgb: np.ndarray, edge: int) -> np.ndarray:
     return np.floor(rgb + 0.5).astype(np.uint8)
 
 
-def exif_time(content: bytes) -> tuple[str | None, str | None]:
-    """(date and time, zone) as a JPEG file's EXIF block has them; None where it has none."""
-    data, at = content[:EXIF_BYTES], 2
-    if data[:2] != b"\xff\xd8":
-        return None, None
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if size < 2:
-            break
-        if data[at + 1] == 0xE1 and data[at + 4 : at + 8] == b"Exif":
-            try:
-                return _tiff_time(data[at + 10 :])
-            except (struct.error, UnicodeDecodeError):
-                break
-        at += 2 + size
-    return None, None
-
-
-def _tiff_time(tiff: bytes) -> tuple[str | None, str | None]:
-    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if order is None or struct.unpack_from(order + "H", tiff, 2)[0] != 42:
-        return None, None
-
-    def entry(directory: int, tag: int):
-        for i in range(struct.unpack_from(order + "H", tiff, directory)[0]):
-            found, _, count, value = struct.unpack_from(order + "HHII", tiff, directory + 2 + 12 * i)
-            if found == tag:
-                return count, value, directory + 2 + 12 * i + 8
-        return None
-
-    def text(directory: int, tag: int) -> str | None:
-        found = entry(directory, tag)
-        if found is None:
-            return None
-        count, value, inline = found
-        start = inline if count <= 4 else value
-        return tiff[start : start + count].split(b"\0")[0].decode("ascii") if start + count <= len(tiff) else None
-
-    exif = entry(struct.unpack_from(order + "I", tiff, 4)[0], EXIF_TAG)
-    return (text(exif[1], TIME_TAG), text(exif[1], ZONE_TAG)) if exif else (None, None)
-
-
 def capture_times(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, taken_at_ms) of files' bytes; null without a time."""
 
@@ -117,14 +82,16 @@ def capture_times(files: DataFrame, key: str = "path", content: str = "content")
 
 
 def analyse(spark: SparkSession, path: str, edge: int = 512) -> DataFrame:
-    """The files' relation with their metrics, capture times and errors (null: measured)."""
+    """The files' relation with their metrics, capture times and errors (null: measured).
+
+    Names, sizes and capture times come from the files' headers, read as ranges; every image is decoded once, and measured where it was decoded.
+    """
     from ..operators.pixel_arrays import measure
 
-    files = photo_files(spark, path)
-    numbered = pixels(spark, path, edge).withColumn("photo_id", F.xxhash64("path"))
-    measured = measure(numbered).join(numbered.select("photo_id", "path"), "photo_id").drop("photo_id")
-    times = capture_times(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-    return files.join(measured, "path", "left").join(times, "path", "left").withColumn("error", F.when(F.col("brightness").isNull(), F.coalesce("error", F.lit("not an image"))))
+    files = header_files(spark, path)
+    measured = measure(pixels(spark, path, edge).select(F.xxhash64("path").alias("photo_id"), "path", "width", "height", "data")).drop("photo_id")
+    error = F.when(F.col("brightness").isNull(), F.coalesce("error", "unread", F.lit("not an image")))
+    return files.withColumnRenamed("error", "unread").join(measured, "path", "left").withColumn("error", error).drop("unread")
 
 
 def generated_images(spark: SparkSession, ids: DataFrame, width: int = 48, height: int = 40) -> DataFrame:

@@ -73,22 +73,60 @@ def test_array_form_equals_relational_form(spark, width, height):
 
 
 def test_embedding_with_an_injected_model(spark):
-    pics = spark.createDataFrame([(1, 40, 30, drawn(40, 30, 1).tobytes()), (2, 40, 30, b"short"), (3, 8, 8, bytes(192))], "photo_id long, width int, height int, data binary")
+    pics = spark.createDataFrame([(1, 40, 30, drawn(40, 30, 1).tobytes()), (2, 40, 30, b"short"), (3, 8, 8, bytes(192)), *((k, 20, 20, drawn(20, 20, k).tobytes()) for k in range(4, 12))], "photo_id long, width int, height int, data binary").coalesce(1)
 
     def load():
-        def model(planes):
-            if planes.shape != (3, 16, 16):
+        def model(stack):
+            if stack.shape[1:] != (3, 16, 16):
                 raise ValueError("shape")
-            return planes.mean(axis=(1, 2))
+            if any(abs(x.mean() - mean7) < 1e-9 for x in stack):
+                raise RuntimeError("seven")
+            return stack.mean(axis=(2, 3))
 
+        mean7 = pixel_arrays.model_input(drawn(20, 20, 7).astype(float), 16).mean()
         return model
 
-    got = {r.photo_id: r for r in pixel_arrays.embed(pics, load, side=16).collect()}
-    assert abs(sum(x * x for x in got[1].embedding) - 1) < 1e-9 and got[1].error is None
-    assert got[2].embedding is None and got[2].error and got[3].embedding == [0, 0, 0]
+    for batch_mb in (32, 0.01, 0.03):
+        got = {r.photo_id: r for r in pixel_arrays.embed(pics, load, side=16, batch_mb=batch_mb).collect()}
+        assert len(got) == 11 and abs(sum(x * x for x in got[1].embedding) - 1) < 1e-9 and got[1].error is None
+        assert got[2].embedding is None and got[2].error and got[3].embedding == [0, 0, 0]
+        assert got[7].error == "seven" and all(got[k].error is None for k in got if k not in (2, 7))
+        want = pixel_arrays.model_input(drawn(20, 20, 5).astype(float), 16).mean(axis=(1, 2)).astype(float)
+        assert np.allclose(got[5].embedding, want / np.sqrt((want * want).sum()))
     assert all("shape" in r.error for r in pixel_arrays.embed(pics.where("photo_id <> 2"), load, side=8).collect())
 
 
+def test_models_of_another_shape_are_errors(spark):
+    pics = spark.createDataFrame([(1, 8, 8, bytes(192)), (2, 8, 8, bytes(192))], "photo_id long, width int, height int, data binary")
+    got = pixel_arrays.embed(pics, lambda: lambda stack: stack.mean(), side=8).collect()
+    assert all(r.embedding is None and "shape" in r.error for r in got)
+
+
+def test_heads_are_read_as_ranges(spark, tmp_path):
+    """Partitions by bytes of heads; a file beyond the head is not read whole; a file that goes away is an error."""
+    from siftwell.sources.headers import EXIF_BYTES, Files, PhotoHeaders
+
+    (tmp_path / "trip").mkdir()
+    (tmp_path / "trip" / "a.jpg").write_bytes(exif())
+    (tmp_path / "trip" / "b.jpg").write_bytes(exif(before=b"\xff\xe2" + struct.pack(">H", 60000) + bytes(59998)) + bytes(3 * EXIF_BYTES))
+    (tmp_path / "trip" / "_hidden").write_bytes(b"x")
+    reader = PhotoHeaders({"path": str(tmp_path), "partition_mb": "0.00001"}).reader(None)
+    parts = reader.partitions()
+    assert [len(p.files) for p in parts] == [1, 1]
+    assert [r[4] is not None for r in reader.read(Files([(str(tmp_path / "none.jpg"), 5)]))] == [True]
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        got = {r.name: r for r in images.header_files(spark, path, 0.00001).collect()}
+        assert got.keys() == {"a.jpg", "b.jpg"} and all(r.taken_at_ms == 1714972089000 and r.session_id == "trip" and r.error is None for r in got.values())
+        assert {r.path for r in got.values()} == {r.path for r in images.photo_files(spark, path).collect()}
+
+
+def test_every_image_is_decoded_once(spark, tmp_path):
+    (tmp_path / "trip").mkdir()
+    (tmp_path / "trip" / "a.bmp").write_bytes(bmp(drawn(40, 30, 1)))
+    plan = images.analyse(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan image") == 1 and "FileScan binaryFile" not in plan
+
+
 def test_nothing_to_measure(spark):
     none = spark.createDataFrame([], "photo_id long, width int, height int, data binary")
     assert pixel_arrays.measure(none).count() == 0
