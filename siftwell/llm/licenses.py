@@ -1,16 +1,17 @@
 """License scans in DataFrame expressions only.
 
-Texts are cut into overlapping windows of 8 words, one every 4. A window's band value is the
-least of its word-pair hashes under one of ``bands`` keys (a min-hash band of one row); a
+A text is first reduced to its word pairs that are pairs of any template. Around these, it is cut into overlapping windows of 8
+words, one every 4; windows without such a pair share no band with any template, so no bands are counted for them, nor for documents with fewer distinct ones than any
+template needs. A window's band value is the least of its word-pair hashes under one of ``bands`` keys (a min-hash band of one row); a
 window is a candidate when a band value is that of a window of a license template. A notice
 of five words or more shares at least 4 of the 7 pairs of some window, so that at least one of 10 bands
 meets with a probability over 0.999; where a whole window lies inside the template, all bands meet.
 
-Candidates are verified by exact containment, whatever the template's length: the word pairs of
-a candidate document that are pairs of the template are counted, each once, inside stretches of
-two template lengths (one begins at every template length, so each passage of a template's
-length lies in one whole). ``containment_percent`` of the template's pairs must stand there; from ``edit_pairs`` pairs on, two may
-always be missing, so one changed word does no harm.
+Candidates are verified by exact, ordered containment, whatever the template's length: a word pair of the document that is one of the template tells by how
+much the one is shifted against the other. The template's pairs are counted, each once, among hits whose shifts differ by
+less than a quarter of its pairs (two at least): so they stand in the template's order, but for that drift. ``containment_percent`` of the
+pairs must stand there, rounded in the document's favour; the same rule holds at every length. ``first_word`` is where the verified hits begin. Of licenses that
+are found from the same word on, those with the highest containment count.
 
 The templates are a fixed, small table; its band values are literals in the plan.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, save
@@ -82,8 +83,7 @@ class LicenseParams:
     window: int = 8
     step: int = 4
     bands: int = 10
-    containment_percent: int = 90
-    edit_pairs: int = 8
+    containment_percent: int = 75
 
 
 def _pairs(text: Column) -> Column:
@@ -93,62 +93,74 @@ def _pairs(text: Column) -> Column:
     return let(hashed, lambda h: F.when(F.size(h) < 2, F.array().cast("array<bigint>")).otherwise(F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))))
 
 
-def _bands(pairs: Column, step: int, p: LicenseParams) -> Column:
-    """Array of (window's first word, band value) of all windows."""
-    starts = F.when(F.size(pairs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(pairs) - p.window + step, F.lit(0)), F.lit(step)))
+def _bands(pairs: Column, starts: Column, p: LicenseParams) -> Column:
+    """Array of (window's first word, band value) of the windows with these starts."""
 
-    def band(k):
-        key = F.xxhash64(F.lit(f"license band {k}"))
-        keyed = F.transform(pairs, lambda x: x.bitwiseXOR(key))
+    def of_window(at):
         # Told apart by the band: a value of one band is none of another.
-        return let(keyed, lambda xs: F.transform(starts, lambda s: F.struct(s.alias("at"), F.xxhash64(F.lit(k), F.array_min(F.slice(xs, s + 1, p.window - 1))).alias("value"))))
+        return let(F.slice(pairs, at + 1, p.window - 1), lambda own: F.array(*[
+            F.struct(at.alias("at"), F.xxhash64(F.lit(k), F.array_min(F.transform(own, lambda x: x.bitwiseXOR(F.xxhash64(F.lit(f"license band {k}")))))).alias("value")) for k in range(p.bands)
+        ]))
 
-    return F.flatten(F.array(*[band(k) for k in range(p.bands)]))
+    return F.flatten(F.transform(starts, of_window))
+
+
+def _all_starts(pairs: Column, p: LicenseParams) -> Column:
+    return F.when(F.size(pairs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(pairs) - p.window + 1, F.lit(0))))
+
+
+def _starts_around(places: Column, p: LicenseParams) -> Column:
+    """The window starts, multiples of the step, whose windows hold one of the places."""
+    reach = -(-(p.window - 1) // p.step)
+    return F.array_distinct(F.flatten(F.transform(places, lambda x: F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda back: (F.floor(x["at"] / p.step).cast("int") - back) * p.step), lambda s: (s >= 0) & (s + p.window - 1 > x["at"])
+    ))))
 
 
 def _missing(k: int, p: LicenseParams) -> int:
     """How many of a template's k pairs may be missing."""
-    return max(k * (100 - p.containment_percent) // 100, 2 if k >= p.edit_pairs else 0)
+    return k * (100 - p.containment_percent) // 100
 
 
 def templates(spark: SparkSession, p: LicenseParams = LicenseParams(), texts: dict[str, str] | None = None) -> DataFrame:
     """(license, value, wanted): the band values of all windows of every template, and its word pairs."""
     rows = spark.createDataFrame(sorted((texts or TEMPLATES).items()), "license string, text string")
     paired = rows.withColumn("pairs", _pairs(F.col("text")))
-    # Every shorter run that a text window can hold at a template's ends counts as a window too.
-    windows = let(F.col("pairs"), lambda x: _bands(x, 1, p))
-    return paired.select("license", F.array_distinct("pairs").alias("wanted"), F.explode(windows).alias("w")).select("license", "w.value", "wanted").distinct()
+    windows = let(F.col("pairs"), lambda x: _bands(x, _all_starts(x, p), p))
+    return paired.select("license", "pairs", F.explode(windows).alias("w")).select("license", "w.value", "pairs").distinct()
 
 
 def licenses(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, n_windows, first_word): the license notices in each document."""
     known = save(templates(docs.sparkSession, p, texts), "templates")
     values = [r[0] for r in known.select("value").distinct().collect()]  # as many as the templates have words
-    wanted = known.select("license", "wanted").distinct()
-    sizes = wanted.select(F.size("wanted").alias("k"), F.explode("wanted").alias("pair")).collect()
+    wanted = known.select("license", "pairs").distinct()
+    sizes = wanted.select(F.size(F.array_distinct("pairs")).alias("k"), F.explode("pairs").alias("pair")).collect()
     pairs_of_any = sorted({r["pair"] for r in sizes})
     least = min((r["k"] - _missing(r["k"], p) for r in sizes), default=1)
 
     def held(pairs):
-        # Of a text's pairs, those of any template are kept, with their places.
+        # Of a text's pairs, those of any template are kept, with their places. No template has fewer that must stand than the least.
         places = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x.alias("pair"))), lambda x: x["pair"].isin(pairs_of_any))
-        return F.struct(places.alias("places"), F.filter(_bands(pairs, p.step, p), lambda w: w["value"].isin(values)).alias("met"))
+        some = lambda x: F.when(F.size(F.array_distinct(F.transform(x, lambda e: e["pair"]))) >= least, F.filter(_bands(pairs, _starts_around(x, p), p), lambda w: w["value"].isin(values)))
+        return let(places, lambda x: F.struct(x.alias("places"), some(x).alias("met")))
 
     read = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), let(_pairs(docs[text_col]), held).alias("h"))
-    # No template has fewer pairs that must stand.
-    enough = (F.size("h.met") > 0) & (F.size(F.array_distinct(F.transform("h.places", lambda x: x["pair"]))) >= least)
-    met = save(read.where(enough).select("doc_id", "version", "h.*").dropDuplicates(["doc_id", "version"]), "met")
+    met = save(read.where(F.size("h.met") > 0).select("doc_id", "version", "h.*").dropDuplicates(["doc_id", "version"]), "met")
     windows = met.select("doc_id", "version", F.explode("met").alias("w")).select("doc_id", "version", "w.*")
-    found = windows.join(known.select("license", "value"), "value").groupBy("doc_id", "version", "license")
-    found = found.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
-    by_pair = wanted.select("license", F.size("wanted").alias("k"), F.explode("wanted").alias("pair"))
+    found = windows.join(known.select("license", "value"), "value").groupBy("doc_id", "version", "license").agg(F.countDistinct("at").alias("n_windows"))
+    by_pair = wanted.select("license", F.size(F.array_distinct("pairs")).alias("k"), F.posexplode("pairs").alias("pos", "pair"))
     placed = met.select("doc_id", "version", F.explode("places").alias("x")).select("doc_id", "version", "x.*").join(by_pair, "pair")
-    # Every stretch of two template lengths that holds the pair.
-    at = F.floor(F.col("at") / F.col("k"))
-    placed = placed.select("doc_id", "version", "license", "k", "pair", F.explode(F.array(at, at - 1)).alias("stretch")).distinct()
-    held_pairs = placed.groupBy("doc_id", "version", "license", "k", "stretch").agg(F.count("*").alias("n"))
-    missing = F.greatest(F.floor(F.col("k") * (100 - p.containment_percent) / 100), F.when(F.col("k") >= p.edit_pairs, 2).otherwise(0))
-    sure = held_pairs.where(F.col("n") >= F.col("k") - missing).groupBy("doc_id", "version", "license").agg(F.max(F.col("n") / F.col("k")).alias("containment")).alias("s")
+    # Hits whose shifts differ by less than the drift lie together in one of two neighbouring groups.
+    shift = F.floor((F.col("at") - F.col("pos")) / F.greatest(F.floor(F.col("k") / 4), F.lit(2)))
+    placed = placed.withColumn("shift", F.explode(F.array(shift, shift - 1)))
+    first_seen = placed.groupBy("doc_id", "version", "license", "k", "shift", "pair").agg(F.min("at").alias("at"))
+    held_pairs = first_seen.groupBy("doc_id", "version", "license", "k", "shift").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first_word"))
+    enough = held_pairs.where(F.col("n") >= F.col("k") - F.floor(F.col("k") * (100 - p.containment_percent) / 100))
+    best = F.max(F.struct(F.col("n").alias("n"), (-F.col("first_word")).alias("back"))).alias("best")
+    sure = enough.groupBy("doc_id", "version", "license", "k").agg(best).alias("s")
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "version", "license")]
-    both = sure.join(found.alias("f"), same[0] & same[1] & same[2]).select("s.*", "f.n_windows", "f.first_word")
+    both = sure.join(found.alias("f"), same[0] & same[1] & same[2]).select("s.doc_id", "s.version", "s.license", (F.col("s.best.n") / F.col("s.k")).alias("containment"), "f.n_windows", (-F.col("s.best.back")).alias("first_word"))
+    top = F.max("containment").over(Window.partitionBy("doc_id", "version", "first_word"))
+    both = both.withColumn("top", top).where("containment = top")
     return both.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"))
