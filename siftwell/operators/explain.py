@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.pairs import similarity
 from ..params import DEFAULT, Params
-from .steer import taste_bias
+from ..sources.tables import materialise
+from .cluster import alternates
+from .select import content_baseline
+from .steer import nearest_affinity, nothing_remembered, references_of, steered_taste, taste_bias
 
 #: The labels shown for reasons.
 REASON_LABELS = {
@@ -38,6 +41,22 @@ def explain(picks: DataFrame, weights: list[float], bias: float, p: Params = DEF
     return x.withColumn("reason", reason)
 
 
+def explain_selection(pool: DataFrame, picks: DataFrame, state: DataFrame, groups: DataFrame, weights: list[float], bias: float, remembered: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
+    """Novelty and reason of the picks (session_id, photo_id, pick) that a review shows.
+
+    pool: the photos chosen from, dropped ones included; taste and content baseline count over all of them. state: (session_id, photo_id,
+    action); groups: of near-duplicates; remembered: as in steered_selection.
+    """
+    remembered = remembered if remembered is not None else nothing_remembered(pool.sparkSession)
+    acted = materialise(pool.join(state, ["session_id", "photo_id"], "left"))
+    labels = acted.where("action is not null and embedding is not null").select("session_id", "photo_id", "action", "embedding")
+    shown = materialise(picks.select("session_id", "photo_id", "pick").join(acted, ["session_id", "photo_id"]))
+    x = nearest_affinity(shown, references_of(remembered, "like"), "remembers_yes", p)
+    x = x.join(alternates(groups).withColumnRenamed("leader_id", "photo_id"), ["session_id", "photo_id"], "left").withColumn("alternates", F.coalesce("alternates", F.lit(0)))
+    x = x.join(steered_taste(labels, remembered, p), "session_id", "left").join(content_baseline(pool, weights, bias, p), "session_id", "left")
+    return explain(materialise(x.withColumn("liked", F.coalesce(F.col("action") == "like", F.lit(False)))), weights, bias, p)
+
+
 def reason_label(reason: Column, alternates: Column) -> Column:
     plain = F.create_map(*[F.lit(x) for kv in REASON_LABELS.items() for x in kv])[reason]
     return F.when((reason == "best-of-similar") & (alternates > 0), F.concat(F.lit("best of "), (alternates + 1).cast("string"))).otherwise(plain)

@@ -62,6 +62,16 @@ def kept(leaders: DataFrame, selected: DataFrame, unanalysed: DataFrame) -> Data
     return leaders.select(*KEYS).union(selected.select(*KEYS)).union(unanalysed.select(*KEYS)).distinct()
 
 
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose photo is among ids: what is stored of kept photos, their scores, a selection's scores."""
+    return rows.join(ids.select(*KEYS), KEYS, "left_semi")
+
+
+def files_to_embed(shortlisted: DataFrame, files: DataFrame) -> DataFrame:
+    """The shortlisted photos whose file is at hand, with that file's columns."""
+    return shortlisted.join(files, KEYS)
+
+
 def two_pass_selection(photos: DataFrame, embedder: Callable[[DataFrame], DataFrame], weights: list[float], bias: float, p: Params = DEFAULT) -> DataFrame:
     """Selects by what is cheap, embeds the shortlist, and selects again where a session has more than one vector.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -90,25 +90,36 @@ def nearest_affinity(photos: DataFrame, references: DataFrame, into: str, p: Par
     return photos.join(best, ["session_id", "photo_id"], "left").withColumn(into, F.coalesce(into, S.num(0)))
 
 
+def steered_taste(labels: DataFrame, remembered: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """taste_direction of a session's labels (session_id, photo_id, action, embedding) and what it remembers (session_id, place, action, embedding)."""
+    # A session's own labels stand before what is remembered.
+    order = lambda df, own, at: df.select("session_id", "action", "embedding", F.struct(F.lit(own).alias("own"), F.col(at).cast("long").alias("at")).alias("photo_id"))
+    return taste_direction(order(labels, 0, "photo_id").unionByName(order(remembered, 1, "place")), p)
+
+
+def nothing_remembered(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "session_id long, place long, action string, embedding array<float>")
+
+
+def references_of(labels: DataFrame, action: str) -> DataFrame:
+    return labels.where((F.col("action") == action) & F.col("embedding").isNotNull()).select("session_id", F.col("embedding").alias("reference"))
+
+
 def steered_selection(ranked: DataFrame, state: DataFrame, weights: list[float], bias: float, remembered: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """(session_id, photo_id, pick): liked photos first, then diverse picks under likes, rejects and taste.
 
     remembered: (session_id, place, action, embedding) of other sessions' exemplars that count for a session.
     """
-    spark = ranked.sparkSession
-    remembered = remembered if remembered is not None else spark.createDataFrame([], "session_id long, place long, action string, embedding array<float>")
+    remembered = remembered if remembered is not None else nothing_remembered(ranked.sparkSession)
     acted = materialise(ranked.join(state, ["session_id", "photo_id"], "left"))
-    refs = lambda df, a: df.where((F.col("action") == a) & F.col("embedding").isNotNull()).select("session_id", F.col("embedding").alias("reference"))
     pool = acted.where("action is null or action = 'like'")
     labels = acted.where("action is not null").select("session_id", "photo_id", "action", "embedding").where("embedding is not null")
-    # A session's own labels stand before what is remembered.
-    order = lambda df, own, at: df.select("session_id", "action", "embedding", F.struct(F.lit(own).alias("own"), F.col(at).cast("long").alias("at")).alias("photo_id"))
-    taste = taste_direction(order(labels, 0, "photo_id").unionByName(order(remembered, 1, "place")), p)
+    taste = steered_taste(labels, remembered, p)
     base = content_baseline(pool, weights, bias, p)
     liked = mean_embedding(labels.where("action = 'like'"), ["session_id"])
-    x = nearest_affinity(pool, refs(labels, "reject"), "unwanted", p)
-    x = nearest_affinity(x, refs(remembered, "reject"), "remembers_no", p)
-    x = nearest_affinity(x, refs(remembered, "like"), "remembers_yes", p)
+    x = nearest_affinity(pool, references_of(labels, "reject"), "unwanted", p)
+    x = nearest_affinity(x, references_of(remembered, "reject"), "remembers_no", p)
+    x = nearest_affinity(x, references_of(remembered, "like"), "remembers_yes", p)
     x = x.join(taste, "session_id", "left").join(base, "session_id", "left").join(liked, "session_id", "left")
     damping = F.least(S.num(1), F.greatest(S.num(p.personal_displaces) * F.coalesce("confidence", S.num(0)), F.col("remembers_yes"), F.col("remembers_no")))
     prior = S.content_bias(S.content_score(F.col("embedding"), weights, bias), F.col("median"), damping, p)
@@ -135,3 +146,16 @@ def remembered_for(session_id: int, preferences: DataFrame) -> DataFrame:
     sides = [others.select("updated_at", F.col("session_id").alias("owner"), F.lit(a).alias("action"), F.posexplode(c).alias("i", "embedding")) for a, c in (("like", "liked"), ("reject", "rejected"))]
     order = Window.partitionBy("action").orderBy(F.col("updated_at").desc(), "owner", "i")
     return sides[0].unionByName(sides[1]).select(F.lit(session_id).cast("long").alias("session_id"), F.row_number().over(order).cast("long").alias("place"), "action", "embedding")
+
+
+def remembered_by(sessions: DataFrame, preferences: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(session_id, place, action, embedding) for every session: what the newest stored batches of others hold, newest first.
+
+    Params bound these batches and what each holds, so they are broadcast.
+    """
+    order = Window.partitionBy("action").orderBy(F.col("updated_at").desc(), "owner", "i")
+    newest = preferences.orderBy(F.col("updated_at").desc(), "session_id").limit(p.max_batches)
+    sides = [newest.select("updated_at", F.col("session_id").alias("owner"), F.lit(a).alias("action"), F.posexplode(F.slice(c, 1, p.max_per_batch)).alias("i", "embedding")) for a, c in (("like", "liked"), ("reject", "rejected"))]
+    stored = sides[0].unionByName(sides[1]).select("owner", F.row_number().over(order).cast("long").alias("place"), "action", "embedding")
+    own = sessions.select("session_id").distinct()
+    return own.join(F.broadcast(stored), F.col("owner") != F.col("session_id")).select("session_id", "place", "action", "embedding")

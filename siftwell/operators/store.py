@@ -148,6 +148,12 @@ def originals_of(originals: DataFrame, session_id: int) -> DataFrame:
     return originals.where(F.col("key").startswith(prefix)).select(rest, *[c for c in originals.columns if c != "key"])
 
 
+def originals_by_session(originals: DataFrame) -> DataFrame:
+    """All stored originals with session and photo as their keys name them, split at the first colon."""
+    at = F.locate(":", F.col("key"))
+    return originals.select(F.substring("key", F.lit(1), at - 1).cast("long").alias("session_id"), F.substring("key", at + 1, F.length("key")).alias("photo_id"), *[c for c in originals.columns if c != "key"])
+
+
 def replaced_originals(originals: DataFrame, wanted: DataFrame) -> DataFrame:
     """The originals that are wanted: new ones put in, all others pruned."""
     return upserted(originals, wanted, "key").join(wanted.select("key"), "key", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,11 +66,43 @@ def kept_photos(spark, d):
     return intake.kept(intake.uncollapsed(r, cluster.leader_groups(r, QUERY)), picks, other)
 
 
+def _kept(spark, d):
+    """(analysed and ranked, unanalysed, selected, kept ids) of a batch."""
+    analysed, other = intake.split(_batch(spark, d))
+    r = cluster.materialise(rank.rank(rank.score(analysed, QUERY)))
+    picks = cluster.materialise(select.best_photos(analysed, W, BIAS, QUERY))
+    return r, other, picks, intake.kept(intake.uncollapsed(r, cluster.leader_groups(r, QUERY)), picks, other)
+
+
+def kept_rows(spark, d):
+    """What is stored of a batch: the photos that can still appear, measured or not."""
+    r, _, _, ids = _kept(spark, d)
+    return intake.rows_of(src.derived_photos(spark, d), ids).join(r.select(*KEYS, F.lit(True).alias("measured")), KEYS, "left").select(*KEYS, "upload_idx", "size", F.coalesce("measured", F.lit(False)).alias("measured"))
+
+
+def kept_scores(spark, d):
+    """The ranked photos that can still appear; the others' scores are not stored."""
+    r, _, _, ids = _kept(spark, d)
+    return intake.rows_of(r, ids).select(*KEYS, "rank", F.round("score", 6).alias("score"), F.col("embedding").isNotNull().alias("has_vector"))
+
+
+def selected_scores(spark, d):
+    """The scored rows of a selection."""
+    r, _, picks, _ = _kept(spark, d)
+    return intake.rows_of(r, picks).select(*KEYS, "rank", F.round("score", 6).alias("score"))
+
+
+def embedding_files(spark, d):
+    """The shortlist's files, where they are at hand: every photo with a capture time has one here."""
+    files = src.derived_photos(spark, d).where("taken_at_ms is not null").select(*KEYS, F.concat(F.lit("file-"), F.col("photo_id").cast("string")).alias("file"))
+    return intake.files_to_embed(rank.shortlist(ranked(spark, d)).select(*KEYS, "place"), files)
+
+
 def selection_top_up(spark, d):
     batch = _batch(spark, d)
-    few = batch.where("analysed and upload_idx < 20 and photo_id % 5 = 1")
+    analysed, other = intake.split(batch)
     totals = batch.groupBy("session_id").agg(F.count("*").alias("total"))
-    return state.top_up(few, batch.where("not analysed").select(*KEYS, "upload_idx"), totals)
+    return state.top_up(select.best_photos(analysed, W, BIAS, QUERY), other.select(*KEYS, "upload_idx"), totals)
 
 
 def review_pool(spark, d):
@@ -99,11 +133,12 @@ def remembered_exemplars(spark, d):
 
 
 def remembered_steering(spark, d):
-    """Photos' affinity to what other sessions liked and rejected."""
-    photos, others = src.derived_photos(spark, d).where("session_id = 1"), steer.remembered_for(1, _preferences(spark, d))
+    """Every photo's affinity to what other sessions liked and rejected."""
+    photos = src.derived_photos(spark, d)
+    others = cluster.materialise(steer.remembered_by(photos, _preferences(spark, d)))
     for action, into in (("like", "remembers_yes"), ("reject", "remembers_no")):
-        photos = steer.nearest_affinity(photos, others.where(F.col("action") == action).select("session_id", F.col("embedding").alias("reference")), into)
-    return photos.select("photo_id", *[F.round(c, 6).alias(c) for c in ("remembers_yes", "remembers_no")])
+        photos = steer.nearest_affinity(photos, steer.references_of(others, action), into)
+    return photos.select(*KEYS, *[F.round(c, 6).alias(c) for c in ("remembers_yes", "remembers_no")])
 
 
 def exemplar_order(spark, d):
@@ -117,8 +152,9 @@ def unit_vectors(spark, d):
 
 
 def decoded_head(spark, d):
-    weights = S.decode_weights("AACAPwAAAMAAAAA/")  # 1, -2, 0.5
-    return src.derived_photos(spark, d).where("embedding is not null").select("photo_id", F.round(S.content_score(F.slice("embedding", 1, 3), weights, 0.25), 6).alias("score"))
+    """Content scores by weights as they are shipped: base64 of 32-bit floats."""
+    shipped = base64.b64encode(np.array(W, "<f4").tobytes()).decode()
+    return src.derived_photos(spark, d).where("embedding is not null").select("photo_id", F.round(S.content_score(F.col("embedding"), S.decode_weights(shipped), BIAS), 6).alias("score"))
 
 
 def safe_ids(spark, d):
@@ -191,7 +227,42 @@ def stored_originals(spark, d):
     s.write("originals", r.where("photo_id % 3 = 0").select(S.original_key(F.col("session_id"), F.col("photo_id")).alias("key"), F.lit(1).cast("long").alias("size")))
     wanted = state.budgeted(r, F.lit(5_000_000)).join(r.select(*KEYS, "size"), KEYS)
     s.write("originals", store.replaced_originals(s.read("originals"), wanted.select(S.original_key(F.col("session_id"), F.col("photo_id")).alias("key"), F.col("size").cast("long").alias("size"))))
-    return store.originals_of(s.read("originals"), 1)
+    return store.originals_by_session(s.read("originals"))
+
+
+def preference_store(spark, d):
+    """Preferences in the store: written, a batch put in, all forgotten, a batch remembered anew; counted after each step."""
+    s, own, steps = _store(spark), cluster.materialise(_preferences(spark, d)), []
+
+    def counted(step):
+        steps.append(state.remembered_counts(s.read("preferences")).select(F.lit(step).alias("step"), "liked", "rejected", "batches"))
+
+    new = own.where("session_id = 3").withColumn("updated_at", F.lit(5000).cast("long"))
+    s.write("preferences", state.upsert_preferences(s.read("preferences"), own))
+    counted(1)
+    s.write("preferences", state.upsert_preferences(s.read("preferences"), new))
+    counted(2)
+    s.clear("preferences")
+    counted(3)
+    s.write("preferences", state.upsert_preferences(s.read("preferences"), new))
+    counted(4)
+    return steps[0].unionByName(steps[1]).unionByName(steps[2]).unionByName(steps[3])
+
+
+def photo_lookups(spark, d):
+    """Requests for stored photos by key, answered: every photo's own, and as many for photos and sessions that are not there."""
+    photos = src.derived_photos(spark, d)
+    stored = photos.where("taken_at_ms is not null").select("session_id", F.col("photo_id").cast("string").alias("id"), F.concat(F.lit("n"), F.col("photo_id").cast("string")).alias("name"), F.lit("image/jpeg").alias("type"), "size")
+    asked = photos.select(F.when(F.col("photo_id") % 10 != 3, F.col("session_id") + F.when(F.col("photo_id") % 10 == 4, 1000).otherwise(0)).alias("session_id"), F.col("photo_id").cast("string").alias("id"))
+    return store.looked_up(asked, stored)
+
+
+def session_lookups(spark, d):
+    """Requests for sessions: one for each user of the events; sessions are those of the photos."""
+    photos = src.derived_photos(spark, d)
+    sessions = photos.groupBy("session_id").agg((F.count("*") % 2 == 0).alias("finalized"))
+    asked = src.read(spark, d, "events").select(F.when(F.col("user_id") % 50 > 0, F.col("user_id") % 50 - 1).alias("session_id")).distinct()
+    return store.session_answers(asked, sessions, photos)
 
 
 def px_metrics(spark, d):
@@ -220,7 +291,7 @@ def model_inputs(spark, d):
 NAMES = (
     "analysis_split", "embedding_overlay", "shown_sources", "merged_originals", "zipped_originals", "ranked_without_collapsed", "kept_photos", "selection_top_up",
     "review_pool", "review_pool_of_failures", "review_summary", "two_pass_selection", "remembered_exemplars", "remembered_steering", "exemplar_order", "unit_vectors", "decoded_head",
-    "safe_ids", "upload_statuses", "file_defaults", "fitted_sizes", "progress_percent", "session_upsert", "session_keep_newest", "session_append", "stored_originals", "px_metrics", "model_inputs",
+    "safe_ids", "upload_statuses", "file_defaults", "fitted_sizes", "progress_percent", "session_upsert", "session_keep_newest", "session_append", "stored_originals", "px_metrics", "kept_rows", "kept_scores", "selected_scores", "embedding_files", "preference_store", "photo_lookups", "session_lookups", "model_inputs",
 )
 
 

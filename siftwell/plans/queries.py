@@ -40,7 +40,10 @@ def reject_counts(spark, d):
 
 
 def selection_sizes(spark, d):
-    return spark.range(0, 700).select(F.col("id").alias("total"), S.selection_size(F.col("id")).alias("wanted"))
+    """For all counts that the tables have: events of a user, lines of an order, documents of a source, photos of a session."""
+    counts = lambda name, *keys: src.read(spark, d, name).groupBy(*keys).agg(F.count("*").alias("total")).select("total")
+    totals = counts("events", "user_id").union(counts("lineitem", "l_orderkey")).union(counts("documents", "source")).union(counts("lineitem", "l_returnflag", "l_linenumber"))
+    return totals.distinct().select("total", S.selection_size(F.col("total")).alias("wanted"))
 
 
 def rank_photos(spark, d):
@@ -147,8 +150,9 @@ def taste_biases(spark, d):
 
 
 def nearest_affinity(spark, d):
-    photos = src.derived_photos(spark, d)
-    refs = photos.where("upload_idx < 20 and embedding is not null").select("session_id", F.col("embedding").alias("reference"))
+    """How near every photo of a session is to those that fail the bar."""
+    photos = ranked(spark, d)
+    refs = photos.where("rejected_for is not null and embedding is not null").select("session_id", F.col("embedding").alias("reference"))
     return steer.nearest_affinity(photos, refs, "nearest").select("session_id", "photo_id", r6("nearest").alias("nearest"))
 
 
@@ -157,17 +161,26 @@ def steered_selection(spark, d):
     return steer.steered_selection(steer.review_pool(r, cluster.leader_groups(r, QUERY)), _taps(spark, d), W, BIAS, p=QUERY)
 
 
+def _review(spark, d):
+    """Ranked photos, their groups, the pool of a review, and what each session remembers of others."""
+    r = cluster.materialise(ranked(spark, d))
+    groups = cluster.materialise(cluster.leader_groups(r, QUERY))
+    pool = cluster.materialise(steer.review_pool(r, groups))
+    return groups, pool, cluster.materialise(steer.remembered_by(r, _preferences(spark, d)))
+
+
+def steered_with_memory(spark, d):
+    """Selections steered by a session's taps and by what other sessions liked and rejected."""
+    _, pool, remembered = _review(spark, d)
+    return steer.steered_selection(pool, _taps(spark, d), W, BIAS, remembered, QUERY)
+
+
 def _explained(spark, d) -> DataFrame:
-    """The twenty best passing photos of each session, by rank, explained."""
-    r = ranked(spark, d)
-    good = rank.shortlist(r, Params(selection_ratio=0.04, shortlist_least=20)).where("place <= 20").withColumn("pick", F.col("place") - 1)
-    alts = cluster.alternates(cluster.leader_groups(r, QUERY)).withColumnRenamed("leader_id", "photo_id")
-    taste = steer.taste_direction(steer.labelled(r, _taps(spark, d)))
-    base = select.content_baseline(r, W, BIAS)
-    liked = _taps(spark, d).where("action = 'like'").select("session_id", "photo_id", F.lit(True).alias("liked"))
-    x = good.join(alts, ["session_id", "photo_id"], "left").join(liked, ["session_id", "photo_id"], "left").join(taste, "session_id", "left").join(base, "session_id", "left")
-    x = x.withColumn("liked", F.coalesce("liked", F.lit(False))).withColumn("alternates", F.coalesce("alternates", F.lit(0))).withColumn("remembers_yes", F.lit(0.0))
-    return explain.explain(x, W, BIAS)
+    """The steered selections' picks, explained."""
+    groups, pool, remembered = _review(spark, d)
+    taps = _taps(spark, d)
+    picks = steer.steered_selection(pool, taps, W, BIAS, remembered, QUERY)
+    return explain.explain_selection(pool, picks, taps, groups, W, BIAS, remembered, QUERY)
 
 
 def pick_novelty(spark, d):
@@ -239,7 +252,7 @@ NAMES = (
     "pair_distances", "embedding_pairs", "near_duplicate_pairs", "pair_similarity", "content_scores", "content_baseline", "exif_epoch_ms",
     "file_name_repair", "duplicate_groups", "group_alternates", "diverse_top_k", "best_photos", "steering_state", "mean_embedding",
     "taste_direction", "taste_biases", "nearest_affinity", "steered_selection", "pick_novelty", "pick_reasons", "budgeted_originals",
-    "upload_chunks", "session_summary", "preference_upsert", "remembered_counts", "px_luma_stats", "px_focus_noise", "px_colorfulness", "px_dhash", "px_chroma",
+    "upload_chunks", "session_summary", "steered_with_memory", "preference_upsert", "remembered_counts", "px_luma_stats", "px_focus_noise", "px_colorfulness", "px_dhash", "px_chroma",
 )
 
 

@@ -111,20 +111,6 @@ _BASE = f"""
 bc as (select session_id, c, row_number() over (partition by session_id order by c) as i, count(*) over (partition by session_id) as n from (select session_id, {_CONTENT} as c from r) where c is not null),
 bl as (select session_id, quantile_cont(c, 0.5) as median, max(c) filter (i = least(n - 1, floor(n * 0.75::double)) + 1) as standout from bc where n >= 4 group by 1)"""
 
-_EXPLAINED = f"""with recursive {_pairs()}, {_LEADERS}, {_ACTED}, {_BASE},
-pc as (select *, count(*) over (partition by session_id order by rank rows between unbounded preceding and 1 preceding) as pick from r where rejected_for is null),
-pt as materialized (select * from pc where pick < 20),
-nv as (select a.session_id, a.photo_id, coalesce(least(1::double, min(1::double - n.sim)), 1::double) as novelty from pt a
-  left join (pt b join n on n.session_id = b.session_id) on b.session_id = a.session_id and b.pick < a.pick and n.a = b.photo_id and n.b = a.photo_id group by 1, 2),
-al as (select session_id, leader_id as photo_id, count(*) - 1 as alternates from grp group by 1, 2),
-ex as (select pt.session_id, pt.photo_id, pt.pick, nv.novelty, coalesce(al.alternates, 0) as alternates,
-  case when ap.action = 'like' then 'kept' when coalesce(al.alternates, 0) > 0 then 'best-of-similar'
-    when tv.vector is not null and pt.embedding is not null and coalesce(0.12::double * confidence * greatest(-1::double, least(1::double, list_dot_product(pt.embedding, tv.vector) / 0.45::double)), 0) >= 0.12::double * confidence * 0.5::double then 'like-your-picks'
-    when coalesce({_CONTENT.replace('embedding', 'pt.embedding')} >= standout, false) then 'well-composed'
-    when pt.pick = 0 or nv.novelty < 0.45::double then 'top-quality' else 'different-subject' end as reason
-  from pt join nv using (session_id, photo_id) left join al on al.session_id = pt.session_id and al.photo_id = pt.photo_id
-  left join ap on ap.session_id = pt.session_id and ap.photo_id = pt.photo_id left join tv on tv.session_id = pt.session_id left join bl on bl.session_id = pt.session_id)"""
-
 _K = "case when {n} <= 0 then 0 else least({n}, greatest(5, least(50, floor({n} * 0.1::double + 0.5::double)))) end::bigint"
 
 
@@ -140,7 +126,8 @@ def _selection_sql() -> dict[str, str]:
     return {
         "score_photos": f"with {SCORED} select session_id, photo_id, {r6('focus_score', 'exposure_score', 'tone_score', 'color_score', 'score')}, rejected_for from s",
         "reject_counts": f"with {SCORED} select session_id, coalesce(rejected_for, 'passes') as outcome, count(*) as n from s group by 1, 2",
-        "selection_sizes": f"select i as total, {_K.format(n='i')} as wanted from range(700) t(i)",
+        "selection_sizes": f"""with t as (select count(*) as total from events group by user_id union select count(*) from lineitem group by l_orderkey union select count(*) from documents group by source
+  union select count(*) from lineitem group by l_returnflag, l_linenumber) select total, {_K.format(n='total')} as wanted from t""",
         "rank_photos": f"with {SCORED} select session_id, photo_id, rank from r",
         "top_n_per_session": f"with {SCORED} select session_id, photo_id, rank, round(score, 6) as score from r where rejected_for is null and rank <= 50",
         "embedding_shortlist": f"with {SCORED}, z as (select *, row_number() over (partition by session_id order by rank)::int as place, count(*) over (partition by session_id) as n from r where rejected_for is null) select session_id, photo_id, place from z where place <= greatest(2 * {_K.format(n='n')}, least(n, 16))",
@@ -166,9 +153,7 @@ pool as materialized (select good.session_id, photo_id, rank, n, score + coalesc
         "mean_embedding": f"with {PHOTOS}, e as (select session_id, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from p where embedding is not null), m as (select session_id, i, avg(x) as m from e group by 1, 2) select session_id, i, round(m / sqrt(sum(m * m) over (partition by session_id)), 5) as x from m",
         "taste_direction": f"with {PHOTOS}, {_ACTED} select session_id, round(confidence, 6) as confidence, i, round(x, 5) as x from td",
         "taste_biases": f"with {PHOTOS}, {_ACTED} select p.session_id, photo_id, round(coalesce(case when embedding is not null then 0.12::double * confidence * greatest(-1::double, least(1::double, list_dot_product(embedding, vector) / 0.45::double)) end, 0), 5) as bias from p left join tv on tv.session_id = p.session_id",
-        "nearest_affinity": f"with {PHOTOS} select a.session_id, a.photo_id, round(coalesce(max(case when b.embedding is not null then greatest(0::double, least(1::double, ({_DOT} - 0.19::double) / 0.81::double)) end), 0), 6) as nearest from p a left join p b on a.session_id = b.session_id and b.upload_idx < 20 and b.embedding is not null and a.embedding is not null group by 1, 2",
-        "pick_novelty": f"{_EXPLAINED} select session_id, photo_id, pick, round(novelty, 6) as novelty from ex",
-        "pick_reasons": f"{_EXPLAINED} select session_id, photo_id, pick, reason, case reason when 'best-of-similar' then 'best of ' || (alternates + 1) when 'kept' then 'you kept this' else replace(reason, '-', ' ') end as label from ex",
+        "nearest_affinity": f"with {SCORED} select a.session_id, a.photo_id, round(coalesce(max(case when b.embedding is not null then greatest(0::double, least(1::double, ({_DOT} - 0.19::double) / 0.81::double)) end), 0), 6) as nearest from r a left join r b on a.session_id = b.session_id and b.rejected_for is not null and b.embedding is not null and a.embedding is not null group by 1, 2",
         "budgeted_originals": f"""with recursive {SCORED}, f as (select session_id, 0 as step, 20000000::bigint as left_, null::bigint as photo_id from (select distinct session_id from r)
   union all select f.session_id, step + 1, case when r.size <= left_ then left_ - r.size else left_ end, case when r.size <= left_ then r.photo_id end from f join r on r.session_id = f.session_id and r.rank = f.step + 1)
 select session_id, photo_id from f where photo_id is not null""",
