@@ -1,10 +1,15 @@
 """Line-first quality rules, in DataFrame expressions only.
 
-Every line of a text is judged by itself (navigation bars, symbol noise, shouting,
-word repetition, boilerplate phrases, unpunctuated fragments); failing lines go, and
+Every line of a text is judged by itself and the line behind it (navigation bars, menus, symbol noise, shouting,
+word repetition, notices and calls of page furniture); failing lines go, with the blank lines behind them, and
 a document that loses too large a part of its words is rejected. Document-wide base
 measures stand beside that: word, symbol, duplicate-line and repeated-window counts.
 
+A line is bare if it neither ends as a sentence or clause does nor holds the end of a sentence. A bare line before a line that is not is a heading and stays; bare lines
+before bare lines, or at the end, fail if they have few words or if most of these are capitalised: menus, link lists, teasers. Prose that is wrapped
+at a line length is neither. Notices ("all rights reserved") count at the beginning or end of a line, between word bounds; calls ("read more") only
+where they are nearly the whole line, or begin or end a short bare one: the same words in a sentence do no harm.
+
 Defined results: a null text counts as empty; a text without words has all counts 0,
 fails the base rule (fewer than ``min_words`` words) and cleans to an empty text; equal
 rows get equal results; other columns are carried through untouched. Windows are
@@ -21,13 +26,31 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Phrases of page furniture, in lower case.
-BOILERPLATE = (
-    "all rights reserved", "accept cookies", "click here", "cookie policy", "enable javascript", "log in",
-    "lorem ipsum", "powered by", "privacy policy", "read more", "share this", "sign up", "subscribe to", "terms of use",
+#: Phrases of page furniture in English, Spanish, French and German, in lower case.
+NOTICES = (
+    "all rights reserved", "cookie policy", "enable javascript", "lorem ipsum", "powered by", "privacy policy", "terms of use", "accept cookies",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "aceptar cookies",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren",
+)
+CALLS = (
+    "click here", "log in", "read more", "share this", "sign up", "subscribe to", "haga clic aquí", "iniciar sesión", "leer más", "suscríbete a",
+    "cliquez ici", "se connecter", "lire la suite", "abonnez-vous", "hier klicken", "jetzt anmelden", "mehr lesen", "weiterlesen",
 )
 
 
+def at_edge(phrases: tuple[str, ...]) -> str:
+    """A pattern for lines that begin or end with one of the phrases."""
+    some, no = "|".join(phrases), r"[^\p{L}\p{N}]"
+    return rf"^{no}*(?:{some})(?:{no}|$)|(?:^|{no})(?:{some}){no}*$"
+
+
+#: How a sentence or clause ends, and the end of a sentence inside a line.
+CLOSED = r"[.,!?…:;\"'”’»)\]][\x20\x09-\x0D]*$"
+SENTENCE = r"[.!?…][\"'”’»)\]]?[\x20\x09-\x0D]"
+CAPITAL = r"(?:^|[\x20\x09-\x0D])\p{Lu}"
+
+
 @dataclass(frozen=True)
 class QualityParams:
     min_words: int = 20
@@ -36,8 +59,11 @@ class QualityParams:
     nav_separators: int = 3
     nav_words_per_separator: int = 4
     symbols_per_two_words: int = 1
-    fragment_words: int = 3
-    boilerplate_words: int = 20
+    notice_words: int = 20
+    call_words: int = 4
+    bare_call_words: int = 8
+    menu_words: int = 7
+    menu_capital_percent: int = 60
     repeat_line_words: int = 12
     repeat_line_distinct_percent: int = 34
     min_kept_percent: int = 50
@@ -66,25 +92,35 @@ def repeat_words(words: Column, window: int = 8) -> Column:
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda h: _covered(h, window))
 
 
-def line_fails(line: Column, n: Column, p: QualityParams) -> Column:
-    """Whether a line with n words fails a rule of its own."""
+def is_bare(line: Column) -> Column:
+    return ~line.rlike(CLOSED) & ~line.rlike(SENTENCE)
+
+
+def line_fails(line: Column, n: Column, bare: Column, bare_behind: Column, p: QualityParams) -> Column:
+    """Whether a line with n words fails a rule; bare_behind: whether the next line with words is bare, too, or missing."""
     separators = F.regexp_count(line, F.lit(r"[|»›•]"))
     nav = (separators >= p.nav_separators) & (separators * p.nav_words_per_separator >= n)
     noise = F.regexp_count(line, F.lit(SYMBOLS)) * 2 > n * p.symbols_per_two_words
     shout = (n >= 3) & (F.regexp_count(line, F.lit("!!")) * 2 > n)
-    fragment = (n < p.fragment_words) & ~line.rlike(r"[\p{Punct}…”»][\x20\x09-\x0D]*$")
-    phrase = (n <= p.boilerplate_words) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+    menu = bare & bare_behind & ((n <= p.menu_words) | (F.regexp_count(line, F.lit(CAPITAL)) * 100 >= n * p.menu_capital_percent))
+    notice = (n <= p.notice_words) & line.rlike("(?iu)" + at_edge(NOTICES))
+    call = ((n <= p.call_words) | (bare & (n <= p.bare_call_words))) & line.rlike("(?iu)" + at_edge(CALLS))
     repeats = (n >= p.repeat_line_words) & (F.size(F.array_distinct(words_of(line))) * 100 < n * p.repeat_line_distinct_percent)
-    return nav | noise | shout | fragment | phrase | repeats
+    return menu | nav | noise | shout | notice | call | repeats
 
 
 def measures(text: Column, p: QualityParams = QualityParams()) -> Column:
     """Struct of all measures of a text, of its cleaned form and of the verdict."""
     text = F.coalesce(text, F.lit(""))
 
-    def judged(line):
-        n = F.regexp_count(line, F.lit(WORD))
-        return let(n, lambda k: F.struct(line.alias("line"), k.alias("n"), ((k > 0) & line_fails(line, k, p)).alias("fails")))
+    def read(unit):
+        """A line with words and the blank lines behind it; the first one may be blank."""
+        line = F.substring_index(unit, "\n", 1)
+        return F.struct(unit.alias("unit"), line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("n"), is_bare(line).alias("bare"))
+
+    def judged(units):
+        behind = lambda i: F.coalesce(F.get(units, i + 1)["bare"], F.lit(True))
+        return F.transform(units, lambda x, i: x.withField("fails", (x["n"] > 0) & line_fails(x["line"], x["n"], x["bare"], behind(i), p)))
 
     def build(words, lines):
         n = F.size(words).cast("long")
@@ -99,11 +135,11 @@ def measures(text: Column, p: QualityParams = QualityParams()) -> Column:
             repeat_words(words, p.window).alias("n_repeat_words"),
             clean.alias("n_clean_words"),
             (F.size(lines) - F.size(good)).cast("long").alias("n_removed_lines"),
-            F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("clean_text"),
+            F.array_join(F.transform(good, lambda x: x["unit"]), "\n").alias("clean_text"),
         )
 
-    lines = F.transform(F.split(text, "\n"), judged)
-    base = let(words_of(text), lambda w: let(lines, lambda ls: build(w, ls)))
+    units = F.transform(F.split(text, r"\n(?=[^\n]*[^\x20\x09-\x0D])"), read)
+    base = let(words_of(text), lambda w: let(let(units, judged), lambda ls: build(w, ls)))
 
     def verdict(m):
         failed = (m["n_words"] < p.min_words) | (m["n_repeat_words"] * 100 > m["n_words"] * p.max_repeat_percent)

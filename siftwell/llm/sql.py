@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE
+from .quality import CALLS, CAPITAL, CLOSED, NOTICES, SENTENCE, at_edge
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -19,9 +19,9 @@ select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.root)
 from documents d join reach r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
 
-_PHRASES = "|".join(BOILERPLATE)
+_EDGES = {"notice": at_edge(NOTICES).replace("'", "''"), "call": at_edge(CALLS), "closed": CLOSED.replace("'", "''"), "sentence": SENTENCE.replace("'", "''")}
 
-#: The line rules and the base measures; gives doc_id, all measures, and the cleaned text.
+#: The line rules and the base measures; gives doc_id and all measures.
 QUALITY = rf"""
 w as (select doc_id, coalesce(text, '') as text, {WORDS} as ws from documents),
 win as (select doc_id, unnest(range(0, len(ws) - 7)) as p, ws from w),
@@ -30,20 +30,21 @@ twice as (select doc_id, p from (select doc_id, p, count(*) over (partition by d
 cover as (select doc_id, sum(least(8, coalesce(nx - p, 8)))::bigint as n_repeat_words from (select doc_id, p, lead(p) over (partition by doc_id order by p) as nx from twice) group by 1),
 l0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
 l1 as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') as lw from l0),
-l2 as (select *, len(lw) as n, len(regexp_extract_all(line, '[|»›•]')) as seps from l1),
+l2 as (select *, len(lw) as n, len(regexp_extract_all(line, '[|»›•]')) as seps, not regexp_matches(line, '{_EDGES["closed"]}') and not regexp_matches(line, '{_EDGES["sentence"]}') as bare from l1),
 l3 as (select *, n > 0 and (
     (seps >= 3 and seps * 4 >= n) or len(regexp_extract_all(line, '[#*$%&|<>]')) * 2 > n or (n >= 3 and len(regexp_extract_all(line, '!!')) * 2 > n)
-    or (n < 3 and not regexp_matches(line, '[[:punct:]…”»][\x20\x09-\x0D]*$')) or (n <= 20 and regexp_matches(line, '(?i){_PHRASES}'))
-    or (n >= 12 and len(list_distinct(lw)) * 100 < n * 34)) as fails from l2),
-lines as (select doc_id, count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup_lines, coalesce(sum(n) filter (not fails), 0)::bigint as n_clean_words,
-  count(*) filter (fails) as n_removed_lines, coalesce(string_agg(line, chr(10) order by i) filter (not fails), '') as clean_text from l3 group by 1),
+    or (bare and coalesce(lead(bare) over (partition by doc_id order by i), true) and (n <= 7 or len(regexp_extract_all(line, '{CAPITAL}')) * 100 >= n * 60))
+    or (n <= 20 and regexp_matches(line, '(?i){_EDGES["notice"]}')) or ((n <= 4 or (bare and n <= 8)) and regexp_matches(line, '(?i){_EDGES["call"]}'))
+    or (n >= 12 and len(list_distinct(lw)) * 100 < n * 34)) as fails from l2 where n > 0),
+counts as (select doc_id, count(*) - count(distinct line) as n_dup_lines, coalesce(sum(n) filter (not fails), 0)::bigint as n_clean_words, count(*) filter (fails) as n_removed_lines from l3 group by 1),
+lines as (select doc_id, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_clean_words, 0) as n_clean_words, coalesce(n_removed_lines, 0) as n_removed_lines from w left join counts using (doc_id)),
 base as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
-  n_clean_words, n_removed_lines::bigint as n_removed_lines, clean_text from w join lines using (doc_id) left join cover using (doc_id)),
+  n_clean_words, n_removed_lines::bigint as n_removed_lines from w join lines using (doc_id) left join cover using (doc_id)),
 judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base)
 """
 
-OP5 = f"with {QUALITY} select * exclude (clean_text), not base_failed and n_clean_words * 100 >= n_words * 50 as kept from judged"
+OP5 = f"with {QUALITY} select *, not base_failed and n_clean_words * 100 >= n_words * 50 as kept from judged"
 
 OP7 = r"""
 with p as (select page_id, coalesce(html, '') as h from pages),

@@ -115,6 +115,25 @@ def test_quality(spark):
     assert quality.clean(df).columns == df.columns and quality.clean(df.limit(0)).count() == 0
 
 
+def test_lines_of_prose_stay_and_furniture_goes(spark):
+    prose = [
+        "The catalog in the hall lists every book that the town owns.", "A blog in every town tells what goes on there, week after week.", "He read more books than his teachers did.",
+        "She did sign up early, as the places were few.", "Read more slowly and you will see what the author had in mind, she said to him.",
+    ]
+    more = ["Nobody in the village had ever seen such a winter, and few wished for another.", "The bread was sold out before noon on most days of that summer."]
+    menu = ["Home About Products News Contact", "Shop Cart Account Help Imprint", "Team Careers Press Investors Blog", "Facebook Twitter Instagram Newsletter Search"]
+    wrapped = "when the rain had ended and the streets were dry again we went down to the\nharbour where the boats lay side by side and the old men mended nets as they had\ndone for as long as anyone knew and nobody asked them for the price of a fish."
+    german = "Als der Regen vorbei war und die Straßen trocken lagen gingen wir hinunter zum\nHafen wo die Boote Seite an Seite lagen und die alten Männer ihre Netze flickten wie\nsie es immer getan hatten und niemand fragte nach dem Preis der Fische am Abend."
+    heading = "\n\n".join(["The history of the harbour", prose[0] + " " + prose[1], "", "Trade", prose[2] + " " + prose[3]])
+    furniture = ["© 2020 Example Ltd. All rights reserved.", "Read more", "» Leer más", "Lire la suite de cet article", "Weiterlesen", "Datenschutzerklärung | Nutzungsbedingungen", "Tous droits réservés"]
+    texts = ["\n".join(prose), "\n".join(menu), wrapped, german, heading, "\n".join([*prose, *menu]), "\n".join(x for pair in zip(prose + more, furniture, strict=True) for x in pair)]
+    got = {r.doc_id: r.quality for r in quality.assess(docs(spark, *texts)).select("doc_id", "quality").collect()}
+    assert all(got[i].kept and not got[i].n_removed_lines and got[i].clean_text == texts[i] for i in (0, 2, 3, 4))
+    assert not got[1].kept and got[1].n_clean_words == 0 and not got[1].base_failed
+    assert got[5].kept and got[5].clean_text == "\n".join(prose)
+    assert got[6].kept and got[6].clean_text == "\n".join(prose + more)
+
+
 def targets_of(own):
     """Shares again and again until no source is above its cap."""
     names = sorted(own, key=lambda s: (s is None, s or ""))
