@@ -8,17 +8,19 @@ mention is written with its parts' surrogates in its own format: so ``A.B@X.org`
 ``a.b@x.org``, ``+1 403 555 9312`` and ``+1-403-555-9312``, ``Mrs. Anna Smith`` and ``Mrs Smith``
 stay the same entity. Digits stay digits, letters keep case and script, separators stay;
 cards and IBANs keep valid check digits, a name keeps its title and so its gender, with given names
-of that gender (any, after titles that tell none).
+of that gender (after titles that tell none, of the gender that this name has behind most others, else any). Letters of other scripts become others
+of their script where its letters are one range, else Latin ones.
 
 Collision checks run over the distinct parts of the whole corpus: where two parts of a kind would
 get the same surrogate, or a surrogate is itself such a part, the later one (by code point) draws
-again; only those rows go into the next round. From the third draw on surrogates get longer, so a
-full class (all one-letter mailboxes of a host, say) is no dead end and every part ends with a surrogate of its own.
+again; only those rows go into the next round. From the third draw on names, mailboxes, hosts, international numbers and accounts get longer, so a
+full class (all one-letter mailboxes of a host, say) is no dead end and every part ends with a surrogate of its own. IPv4 addresses, social security and
+national telephone numbers keep their form: they draw another whole one, from far more than a corpus has.
 
 Defined results: null texts stay null; texts without mentions stay as they are; repeated rows
 get equal results; null ids are ids like others; an empty table gives an empty result.
 Other columns are carried through as they are, whatever their names. Names without a title and addresses of
-streets are not looked for.
+streets are not looked for; a name takes in up to two capitalised words behind its first one, whatever they are.
 """
 
 from __future__ import annotations
@@ -42,10 +44,11 @@ SYLLABLES = ("ba", "den", "fi", "gor", "hal", "kin", "lo", "mar", "nes", "o", "p
 IBAN_COUNTRIES = ("AD", "AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IS", "IT", "LI", "LT", "LU", "LV", "MC", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK", "SM", "TR")
 
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True))
-_WORD = r"\p{Lu}['’]?\p{L}++(?:['’-]\p{L}++)*+"
+#: A capitalised word; a possessive ending is none of its parts.
+_WORD = r"\p{Lu}['’]?\p{L}++(?:(?!['’]s(?![\p{L}\p{N}]))['’-]\p{L}++)*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 PHONE = r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-LOCAL_PHONE = r"(?<![\p{L}\p{N}.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}-])"
+LOCAL_PHONE = r"(?<![\p{L}\p{N}.+-])(?:(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}|\d{3} \d{3} \d{4}|0\d{2,4}[ /-]\d{6,8})(?![\p{L}\p{N}-])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])"
 IBAN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(IBAN_COUNTRIES)})\d{{2}}(?: ?[A-Z0-9]{{4}}){{2}} ?[A-Z0-9]{{3,4}}(?: ?[A-Z0-9]{{1,4}}){{0,5}}(?![\p{{L}}\p{{N}}])"
@@ -54,10 +57,16 @@ NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? (?:(?:{_WORD}|\p{{Lu}}\.) ){{0,2
 #: No mention starts inside a word; one look back for all kinds spares the others at most places.
 ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((EMAIL, PHONE, SSN, CARD, LOCAL_PHONE, IBAN, IP, NAME))})"
 
+#: Code points that are all letters, by script: the first one and how many.
+RANGES = ((r"\p{IsHan}", 0x4E00, 20_000), (r"\p{IsHangul}", 0xAC00, 11_172), (r"\p{IsHiragana}", 0x3042, 80), (r"\p{IsKatakana}", 0x30A2, 80), (r"\p{IsArabic}", 0x0621, 26), (r"\p{IsHebrew}", 0x05D0, 27), (r"\p{IsDevanagari}", 0x0915, 37), (r"\p{IsThai}", 0x0E01, 46))
 #: Alphabets by script: letters are replaced inside their own.
 ALPHABETS = (("0123456789", r"\d"), ("abcdefghijklmnopqrstuvwxyz", r"\p{IsLatin}(?<=\p{Ll})"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{IsLatin}(?<=\p{Lu})"), ("абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsCyrillic}(?<=\p{Ll})"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}(?<=\p{Lu})"), ("αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsGreek}(?<=\p{Ll})"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"\p{IsGreek}(?<=\p{Lu})"))
 
 
+#: Latin letters with marks, along which such initials move.
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+
+
 @dataclass(frozen=True)
 class PiiParams:
     key: str = "surrogates"
@@ -80,7 +89,11 @@ def _reshaped(text: Column, seed: Column) -> Column:
     """Every letter and digit replaced by another of its class."""
 
     def one(c, i):
-        out = c
+        # Letters of no script named here become Latin ones, other numerals digits.
+        out = F.when(c.rlike(r"^\p{L}$"), F.substring(F.lit(ALPHABETS[1][0]), _draw(seed, i, 26) + 1, F.lit(1))).when(c.rlike(r"^\p{N}$"), _draw(seed, i, 10).cast("string")).otherwise(c)
+        for script, first, n in RANGES:
+            letter = F.decode(F.unhex(F.lpad(F.hex((_draw(seed, i, n) + first).cast("long")), 4, "0")), "UTF-16BE")
+            out = F.when(c.rlike(rf"^{script}(?<=\p{{L}})$"), letter).otherwise(out)
         for letters, pattern in ALPHABETS:
             out = F.when(c.rlike(f"^{pattern}$"), F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))).otherwise(out)
         return out
@@ -155,15 +168,15 @@ def surrogate(part: Column, kind: Column, attempt: Column, p: PiiParams = PiiPar
     given = F.when(~latin, letters_of).when(attempt == 0, listed).otherwise(made)
     # An initial moves along its alphabet by a keyed step, so different ones stay different.
     moved = part
-    for alphabet in (letters, ALPHABETS[3][0], ALPHABETS[5][0]):
+    for alphabet in (letters, ALPHABETS[3][0], ALPHABETS[5][0], ACCENTED):
         at = F.instr(F.lit(alphabet), F.substring(part, 1, 1))
         step = F.pmod(F.xxhash64(F.lit(p.key)), F.lit(len(alphabet) - 1)).cast("int") + 1
         moved = F.when(at > 0, F.concat(F.substring(F.lit(alphabet), (at - 1 + step) % len(alphabet) + 1, F.lit(1)), F.lit("."))).otherwise(moved)
     return (
-        F.when(kind == "email", email).when(kind == "host", site).when(kind == "phone", phone).when(kind == "ip", F.concat(octets, F.when(extra > 0, more(digits)).otherwise("")))
+        F.when(kind == "email", email).when(kind == "host", site).when(kind == "phone", phone).when(kind == "ip", octets)
         .when(kind == "iban", _with_iban_check(F.substring(part, 1, 2), account)).when(kind == "card", _with_check_digit(F.concat(_reshaped(part, seed), more(digits))))
         .when(kind == "family", F.when(latin, stem(attempt + 4)).otherwise(letters_of)).when(kind.startswith("given"), given).when(kind == "initial", moved)
-        .otherwise(F.concat(_reshaped(part, seed), more(digits)))
+        .when(part.startswith("0"), F.concat(F.lit("0"), _reshaped(F.substring(part, F.lit(2), F.length(part)), seed))).otherwise(_reshaped(part, seed))
     )
 
 
@@ -212,8 +225,13 @@ def mention_table(mentions: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """(entity, kind, surrogate) for distinct mentions (entity), each in its own format."""
     kinds = mentions.select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
     forms = save(kinds.withColumn("parts", parts_of(F.col("entity"), F.col("kind"))), "forms")
-    drawn = surrogate_table(forms.select(F.explode("parts").alias("x")).select("x.kind", "x.part"), p)
-    placed = forms.select("entity", F.posexplode("parts").alias("at", "x")).select("entity", "at", "x.kind", "x.part").join(drawn, ["kind", "part"])
+    each = forms.select("entity", F.posexplode("parts").alias("at", "x")).select("entity", "at", "x.kind", "x.part")
+    # A given name behind a title that tells no gender is the same name as behind those that do: most of them decide.
+    votes = each.where(F.col("kind").isin("given_f", "given_m")).groupBy("part").agg(F.sum(F.when(F.col("kind") == "given_f", 1).otherwise(-1)).alias("votes"))
+    told = F.when(F.col("kind") != "given_n", F.col("kind")).when(F.col("votes") > 0, "given_f").when(F.col("votes") < 0, "given_m").otherwise("given_n")
+    each = save(each.join(votes, "part", "left").select("entity", "at", told.alias("kind"), "part"), "parts-of")
+    drawn = surrogate_table(each.select("kind", "part"), p)
+    placed = each.join(drawn, ["kind", "part"])
     drawn = placed.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("drawn"))
     return forms.select("entity", "kind").join(drawn, "entity").select("entity", "kind", rendered(F.col("entity"), F.col("kind"), F.col("drawn")).alias("surrogate"))
 

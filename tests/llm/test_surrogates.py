@@ -90,3 +90,30 @@ def test_clashing_columns_are_carried(spark):
     rows = pii.replace(df).collect()
     assert all(r.n_entities == 77 and r.sha == "sha" and r.surrogates == "surrogates" for r in rows)
     assert sorted(r["_n_entities"] for r in rows) == [0, 0, 1]
+
+
+def test_possessives_scripts_and_titles(spark):
+    """A possessive is the same person; a title without gender takes the name's; no letter stays in clear; widened values keep their type."""
+    texts = [
+        "Mr. Smith and Mr. Smith's car and Mr Smith’s dog", "Dr. Anna Smith | Mrs. Anna Smith | Prof. Karl Ng", "李明@例子.cn | 김철@서울.kr | דוד@x.org | ժան@x.org", "Mr. É. Smith | Mr. E. Smith | Mr. È. Smith",
+        "555 123 4567 | 0171 1234567 | 1234 567 8901", None, "Mr. Smith", "Mr. Smith",
+    ]
+    rows = [(None if i == 7 else i, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.text for x in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b, c = regex.findall(r"Mr\.? (\w+)", got[0])
+    assert a == b == c != "Smith" and "'s car" in got[0] and "’s dog" in got[0] and got[6] == got[None] == f"Mr. {a}" and got[5] is None
+    dr, mrs, _ = (x.split() for x in got[1].split(" | "))
+    assert dr[1:] == mrs[1:] and mrs[1] in pii.FEMALE_NAMES
+    assert not set("李明例子김철서울דודժան") & set(got[2]) and regex.search(r"\p{Han}{2}@\p{Han}{2}\.cn \| \p{Hangul}{2}@\p{Hangul}{2}\.kr \| \p{Hebrew}{3}@", got[2])
+    initials = [x.split()[1] for x in got[3].split(" | ")]
+    assert len(set(initials)) == 3 and not set(initials) & {"É.", "È.", "E."}
+    first, second, third = got[4].split(" | ")
+    assert regex.fullmatch(r"\d{3} \d{3} \d{4}", first) and first != "555 123 4567" and regex.fullmatch(r"0\d{3} \d{7}", second) and second != "0171 1234567" and third == "1234 567 8901"
+
+
+def test_addresses_stay_addresses_at_any_draw(spark):
+    part = spark.createDataFrame([("ip", "10.1.2.3"), ("ssn", "123456789"), ("local", "0171123456")], "kind string, part string")
+    for attempt in (0, 2, 5, 40):
+        got = {x.kind: x.s for x in part.select("kind", pii.surrogate(F.col("part"), F.col("kind"), F.lit(attempt)).alias("s")).collect()}
+        assert all(0 < int(x) < 256 for x in got["ip"].split(".")) and got["ip"].count(".") == 3
+        assert regex.fullmatch(r"\d{9}", got["ssn"]) and regex.fullmatch(r"0\d{9}", got["local"])
