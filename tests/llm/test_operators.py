@@ -307,6 +307,20 @@ def test_surrogates(spark):
     assert pii.replace(df.limit(0)).count() == 0
 
 
+def test_every_prefix_of_the_schedule_is_near_the_targets(spark):
+    """What the low-discrepancy order is for: a source's share of the first t slots differs from its share of all by a few slots, for every t."""
+    wanted = {"a": 500, "b": 1300, "c": 37, "d": 2100, None: 63}
+    rows = [(s, n * 128, float(n * 128), n, 128, 0, n) for s, n in wanted.items()]
+    targets = spark.createDataFrame(rows, "source string, source_size long, target double, blocks long, short long, longer long, wanted long")
+    order = [r.source for r in mixing.schedule(targets).orderBy("slot").collect()]
+    assert {s: order.count(s) for s in wanted} == wanted
+    seen, total, worst = dict.fromkeys(wanted, 0), sum(wanted.values()), 0.0
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        worst = max(worst, *(abs(seen[x] - t * wanted[x] / total) for x in wanted))
+    assert worst < 6 and worst < 0.1 * total ** 0.5
+
+
 @pytest.mark.parametrize("name", ["op3_setsketch_neardup", "op5_line_first_quality", "op7_warc_segments", "op10_phrase_automata"])
 def test_against_sql(spark, name):
     from ..compare import compare

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontam, tokens
@@ -75,3 +76,44 @@ def test_training_order_of_rows_without_ids(spark):
     df = docs(spark, "some text", None, "some text").withColumn("doc_id", F.lit(None).cast("long"))
     rows = tokens.training_order(df, p).collect()
     assert len(rows) == 1 and rows[0].first_doc is None and rows[0].n_docs == 3
+
+
+def plain_slot(i, n, key, rounds):
+    """The keyed permutation with plain integers: a balanced Feistel network over an even number of bits, walked until it falls below n."""
+    import hashlib
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    m64, mask = (1 << 64) - 1, (1 << half) - 1
+    keys = [int.from_bytes(hashlib.blake2b(f"{key}/{r}".encode(), digest_size=8).digest(), "little") for r in range(rounds)]
+    x = i
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys:
+            z = (right ^ k) * 0x9E3779B97F4A7C15 & m64
+            z = (z ^ (z >> 29)) * 0xBF58476D1CE4E5B9 & m64
+            left, right = right, left ^ ((z ^ (z >> 32)) & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_which_documents_stand_in_which_slot(spark):
+    """The whole order rebuilt document by document: bins by keyed hash, packed in order, numbered, permuted, cut into shards."""
+    p = tokens.TokenParams(length=16, shard=8, bin_docs=7, max_bins=5)
+    rows = [(i if i % 9 else None, t) for i, t in enumerate([" ".join(words(i % 23, i)) for i in range(60)] + [None, "", "same", "same"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = df.selectExpr("xxhash64('training-order', doc_id, text) as place", "doc_id", "text").collect()
+    bins, encoder = max(1, min(p.max_bins, -(-len(rows) // p.bin_docs))), tokens.Encoder(tokens.ranks(p.ranks_path))
+    packed = []
+    for b in range(bins):
+        own = sorted((r for r in placed if r.place % bins == b), key=lambda r: (r.place, r.doc_id is not None, r.doc_id or 0))
+        stream = [(t, k) for k, r in enumerate(own) for t in [*np.frombuffer(encoder.of(r.text or ""), "<u2").tolist(), p.end]]
+        for lo in range(0, len(stream), p.length):
+            part = stream[lo : lo + p.length]
+            packed.append((len(part), own[part[0][1]].doc_id, len({k for _, k in part}), [t for t, _ in part] + [p.end] * (p.length - len(part))))
+    want = {}
+    for i, (n_tokens, first, n_docs, ids) in enumerate(packed):
+        slot = plain_slot(i, len(packed), p.key, p.rounds)
+        want[slot] = (slot // p.shard, slot % p.shard * p.stride, n_tokens, first, n_docs, np.array(ids, "<u2").tobytes())
+    got = {r.slot: (r.shard, r.byte_offset, r.n_tokens, r.first_doc, r.n_docs, bytes(r.tokens)) for r in tokens.training_order(df, p).collect()}
+    assert got == want and len(got) == len(packed) and len({s for s, *_ in want.values()}) > 3
