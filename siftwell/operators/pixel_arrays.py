@@ -1,7 +1,6 @@
 """Pixel metrics in array form: an image is one row (photo_id, width, height, data), data being rows of r, g, b bytes.
 
-This is the form for scale: one image is measured where it lies, without a shuffle. ``pixels`` has
-the same metrics in relational form, pixels being rows. An image that can't be measured gives a row with
+One image is measured where it lies, without a shuffle; the tests hold the metrics against relational ones, pixels being rows. An image that can't be measured gives a row with
 an error and no metrics.
 """
 

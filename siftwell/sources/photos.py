@@ -53,15 +53,3 @@ def tap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type").isin("click", "purchase"), "like").when(F.col("event_type") == "error", "reject")
     v = read(spark, sf_dir, "events").withColumn("action", action).where("action is not null")
     return v.select((F.col("user_id") % 10).alias("session_id"), (F.col("event_id") % 20).alias("photo_id"), "action", "ts", "event_id")
-
-
-def pixel_grid(spark: SparkSession, photos: int = 24, width: int = 48, height: int = 40) -> DataFrame:
-    """(photo_id, width, height, x, y, r, g, b) of generated images."""
-    g = spark.range(photos * width * height).selectExpr(f"id div {width * height} as photo_id", f"cast(id % {width * height} as int) as i")
-    g = g.selectExpr("photo_id", f"{width} as width", f"{height} as height", f"i % {width} as x", f"i div {width} as y")
-    return g.selectExpr(
-        "photo_id", "width", "height", "cast(x as int) as x", "cast(y as int) as y",
-        "cast((x * 7 + y * 3 + photo_id * 31 + (x * y) % 11) % 256 as double) as r",
-        "cast((x * 5 + y * 11 + photo_id * 17) % 256 as double) as g",
-        "cast((x * y + photo_id * 13) % 256 as double) as b",
-    )

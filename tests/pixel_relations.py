@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_up, num
+from siftwell.functions.scalars import half_up, num
 
 
 def with_luma(px: DataFrame) -> DataFrame:

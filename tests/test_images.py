@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import pixel_arrays, pixels
+from siftwell.operators import pixel_arrays
 from siftwell.sources import images
 
+from . import pixel_relations as pixels
+
 
 def bmp(rgb):
     height, width = rgb.shape[:2]

@@ -85,6 +85,14 @@ def test_budget_equals_the_walk(spark, files_per_task):
     assert {s: sorted(v) for s, v in got.items()} == {s: w for s, v in sets.items() if (w := walked(v, 100))}
 
 
+def test_originals_by_key(spark):
+    rows = spark.createDataFrame([("1:a", 5), ("1:b:c", 6), ("12:a", 7)], store.TABLES["originals"])
+    assert {(r.photo_id, r["size"]) for r in store.originals_of(rows, 1).collect()} == {("a", 5), ("b:c", 6)}
+    assert {(r.session_id, r.photo_id) for r in store.originals_by_session(rows).collect()} == {(1, "a"), (1, "b:c"), (12, "a")}
+    kept = store.replaced_originals(rows, spark.createDataFrame([("1:a", 9), ("2:x", 1)], store.TABLES["originals"]))
+    assert {(r.key, r["size"]) for r in kept.collect()} == {("1:a", 9), ("2:x", 1)}
+
+
 def test_session_files(spark, tmp_path):
     photo = {"id": "p0000_ab", "name": "a.jpg", "type": "image/jpeg", "size": 7}
     whole = {"sessionId": "s1", "createdAt": "2024-05-06T07:08:09.123Z", "photos": [photo, photo | {"id": "p0001_cd"}], "finalized": True}
