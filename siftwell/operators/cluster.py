@@ -25,7 +25,7 @@ from .duplicates import near_edges
 EDGES_PER_TASK = 1_000_000
 
 
-def leader_groups(ranked: DataFrame, p: Params = DEFAULT, edges_per_task: int = EDGES_PER_TASK, block: int = 1000) -> DataFrame:
+def leader_groups(ranked: DataFrame, p: Params = DEFAULT, edges_per_task: int = EDGES_PER_TASK, block: int = 4000) -> DataFrame:
     """(session_id, leader_id, photo_id, rank, rank_in_group); a leader is in its own group at 0."""
     names = ["hash", "color_signature", "taken_at_ms", "embedding"]
     one = F.struct("rank", *names)

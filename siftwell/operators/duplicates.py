@@ -25,7 +25,11 @@ from ..params import DEFAULT, Params
 from ..sources.tables import materialise
 
 
-def near_edges(ranked: DataFrame, p: Params = DEFAULT, block: int = 1000, pivots: int = 16) -> DataFrame:
+#: Rows of a block that are multiplied at a time.
+STRIP = 500
+
+
+def near_edges(ranked: DataFrame, p: Params = DEFAULT, block: int = 4000, pivots: int = 16) -> DataFrame:
     """(session_id, lo, hi): ranks of all near-duplicate pairs of a session."""
     if p.same_subject <= 0:
         raise ValueError("a threshold of 0 makes all vectors near-duplicates")
@@ -59,7 +63,7 @@ def burst_candidates(slim: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return placed.withColumnRenamed("side", "a").join(near, ["session_id", "size", "time", "shade"]).where("a.rank < b.rank").select("session_id", "a", "b")
 
 
-def vector_edges(photos: DataFrame, p: Params = DEFAULT, block: int = 1000, pivots: int = 16) -> DataFrame:
+def vector_edges(photos: DataFrame, p: Params = DEFAULT, block: int = 4000, pivots: int = 16) -> DataFrame:
     """(session_id, lo, hi) of pairs of vectors of one length whose product reaches the threshold."""
     x = photos.withColumn("dims", F.size("embedding")).where("dims > 0")
     sizes = x.groupBy("session_id", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
@@ -93,9 +97,10 @@ def blocked(x: DataFrame, block: int, pivots: int) -> DataFrame:
 
     schema = "session_id long, dims int, rank int, home int, ring int, far array<double>, norm double"
     placed = materialise(chunked.select(*keys, "rank", "embedding").groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, schema))
-    cells = placed.groupBy("session_id", "dims", "home", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    upto = F.sum("parts").over(Window.partitionBy("session_id", "dims").orderBy("home", "ring"))
-    cells = cells.withColumn("first", upto - F.col("parts"))
+    # Small cells that follow each other share a block; a large one is dealt over several.
+    cells = placed.groupBy("session_id", "dims", "home", "ring").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("session_id", "dims").orderBy("home", "ring")) - F.col("n")
+    cells = cells.withColumn("first", F.floor(before / block)).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
     own = placed.join(cells, ["session_id", "dims", "home", "ring"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rank"), "parts")).cast("int"))
     return materialise(own.select("session_id", "dims", "rank", "far", "norm", "block").join(x.select("session_id", "rank", "embedding"), ["session_id", "rank"]))
 
@@ -114,11 +119,17 @@ def open_block_pairs(blocks: DataFrame, p: Params, pivots: int) -> DataFrame:
 
 
 def _products(sides: DataFrame, p: Params) -> DataFrame:
+    """The pairs of two blocks, worked out in strips, so that a task holds the blocks and one strip of products."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         session, _, one, two = key
         a, b = pdf[pdf["own"] == one], pdf[pdf["own"] == two]
-        i, j = np.nonzero(vectors(a["embedding"])[0] @ vectors(b["embedding"])[0].T >= p.same_subject)
-        left, right = a["rank"].to_numpy()[i], b["rank"].to_numpy()[j]
+        x, y = vectors(a["embedding"])[0], vectors(b["embedding"])[0].T
+        found = []
+        for lo in range(0, len(x), STRIP):
+            i, j = np.nonzero(x[lo : lo + STRIP] @ y >= p.same_subject)
+            found.append((a["rank"].to_numpy()[lo + i], b["rank"].to_numpy()[j]))
+        left, right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
         keep = left < right if one == two else np.ones(len(left), bool)
         return pd.DataFrame({"session_id": session, "lo": np.minimum(left, right)[keep], "hi": np.maximum(left, right)[keep]})
 
