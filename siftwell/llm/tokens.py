@@ -57,6 +57,8 @@ class TokenParams:
 
 #: Bytes of the numbers behind the token ids.
 WIDTHS = {"n_tokens": 10, "first_doc": 20, "n_docs": 10}
+NOT_ALLOWED = "<|not-allowed|>"
+
 
 def ranks(path: str) -> bytes:
     """The vocabulary file's bytes; a bare name is looked up among the installed public tokenizers."""
@@ -76,7 +78,8 @@ class Encoder:
         import tiktoken
 
         pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+        # Without any special token the library looks for an empty one at every character; this one is never allowed, so its text is encoded like other text.
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={NOT_ALLOWED: max(pairs.values()) + 1})
 
     def of(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()

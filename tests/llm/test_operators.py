@@ -326,3 +326,17 @@ def test_against_sql(spark, name):
     from ..compare import compare
 
     compare(spark, name, "/root/testdata/sf0.001")
+
+
+def test_no_text_counts_as_a_special_token():
+    """The name that the encoder keeps from being special is text like other text."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    v = tokens.ranks(tokens.TokenParams().ranks_path)
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, v.splitlines())}
+    plain, own = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={}), tokens.Encoder(v)
+    for text in ("", tokens.NOT_ALLOWED, f"a {tokens.NOT_ALLOWED} b{tokens.NOT_ALLOWED}", f"é{tokens.NOT_ALLOWED}漢字 \n\n  x", "<|endoftext|>"):
+        assert own.of(text) == np.array(plain.encode_ordinary(text), "<u2").tobytes()
