@@ -6,18 +6,18 @@ covers it also starts in a document with a smaller id.
 1. Every document gives the minima of its ``seed``-word shingle hashes over each window (winnowing:
    equal windows have equal minima, so a recurring window has a recurring fingerprint).
 2. Documents with equal word sequences are one class; all but its smallest id lose everything.
-3. Windows with a recurring fingerprint are grouped by their hash; those in two documents or
+3. Windows with a recurring fingerprint are grouped by their 128-bit hash; those in two documents or
    more are confirmed, and belong to the smallest id. Runs of them are that owner's passages.
 4. The passages' aligned ``block``-word pieces (every window inside a passage holds one) are
-   compiled into automata with pyahocorasick, one a shard of ``shard_words`` passage words. Of every
-   other document, each run of confirmed windows streams through the shard of their owner; each
-   piece found is extended word by word along the passage, and stretches of a whole window or more go.
+   compiled into automata with pyahocorasick, one a shard of ``shard_words`` passage words. Every
+   document that shares a window with a smaller id streams as a whole, once through each shard that holds an owner
+   of its windows; the automaton locates the pieces in it, each is extended word by word along the passage,
+   and stretches of a whole window or more go.
 
-A confirmed window has one owner, so what is routed is a row for each window of a document, and no
-word of a text is streamed more often than windows cover it. The stretches of a shard are split over
+What is routed is a shard number for each document and owner, no positions. The documents of a shard are split over
 as many tasks as they need (each compiles the shard's automaton), so a passage that a third of all
 documents share is no hot spot. What is removed was compared word by word; hashes only choose what
-to compare (a window whose 64-bit hash is also that of another one in a smaller id would stay).
+to compare (a window whose 128-bit hash is also that of another one in a smaller id would stay).
 
 Defined results: null texts have no words; texts of fewer words than a window lose nothing;
 rows with a null id neither lose words nor count as smaller; exact repeats of a row don't remove
@@ -62,11 +62,18 @@ def _minima(x: np.ndarray, w: int) -> np.ndarray:
     return x if size == w else np.minimum(x[: len(x) - (w - size)], x[w - size :])
 
 
-def _windows(w: np.ndarray, p: PhraseParams) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and hash of every window of a document's word hashes."""
-    half = shingle_hashes(w, p.block)
-    far = p.window - p.block
-    return _minima(shingle_hashes(w, p.seed), p.window - p.seed + 1), mixed(half[: len(half) - far] * np.uint64(0x9E3779B97F4A7C15) + half[far:])
+def _marks(w: np.ndarray, p: PhraseParams) -> np.ndarray:
+    """The fingerprint of every window of a document's word hashes."""
+    return _minima(shingle_hashes(w, p.seed), p.window - p.seed + 1)
+
+
+def _windows(w: np.ndarray, p: PhraseParams) -> list[np.ndarray]:
+    """Two independent hashes of every window: 128 bits."""
+    far, out = p.window - p.block, []
+    for words in (w, mixed(w ^ np.uint64(0xD6E8FEB86659FD93))):
+        half = shingle_hashes(words, p.block)
+        out.append(mixed(half[: len(half) - far] * np.uint64(0x9E3779B97F4A7C15) + half[far:]))
+    return out
 
 
 def fingerprints(docs: DataFrame, p: PhraseParams, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +87,7 @@ def fingerprints(docs: DataFrame, p: PhraseParams, id_col: str, text_col: str) -
                 for text, hashes in zip(part.column(1).to_pylist(), text_words(part.column(1).cast(pa.string())), strict=True):
                     words = text.split() if text else []
                     joined = b" ".join(words)
-                    prints = np.unique(_windows(hashes, p)[0]).view(np.int64) if len(words) >= p.window else np.empty(0, np.int64)
+                    prints = np.unique(_marks(hashes, p)).view(np.int64) if len(words) >= p.window else np.empty(0, np.int64)
                     rows.append((len(words), xxhash.xxh3_128_digest(joined), hashlib.sha256(joined).hexdigest(), prints))
                 lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32), np.concatenate([r[3] for r in rows]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows]), lists], ["doc_id", "n_words", "sequence", "words_sha256", "prints"])
@@ -93,7 +100,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _confirming(candidates: DataFrame, p: PhraseParams) -> DataFrame:
-    """(window, doc_id, at) of every window with a recurring fingerprint."""
+    """(window, window_2, doc_id, at) of every window with a recurring fingerprint."""
 
     def run(batches):
         for batch in batches:
@@ -102,33 +109,29 @@ def _confirming(candidates: DataFrame, p: PhraseParams) -> DataFrame:
                 for doc, hashes, prints in zip(part.column(0).to_pylist(), text_words(part.column(1).cast(pa.string())), part.column(2), strict=True):
                     if len(hashes) < p.window:
                         continue
-                    marks, windows = _windows(hashes, p)
-                    at = np.flatnonzero(np.isin(marks.view(np.int64), prints.values.to_numpy()))
-                    yield pa.RecordBatch.from_arrays([pa.array(windows[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "doc_id", "at"])
+                    at = np.flatnonzero(np.isin(_marks(hashes, p).view(np.int64), prints.values.to_numpy()))
+                    windows = [pa.array(x[at].view(np.int64)) for x in _windows(hashes, p)]
+                    yield pa.RecordBatch.from_arrays([*windows, pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "window_2", "doc_id", "at"])
 
-    return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, doc_id long, at int")
+    return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, window_2 long, doc_id long, at int")
 
 
-def _runs(marked: DataFrame, p: PhraseParams) -> DataFrame:
-    """Runs of windows with one owner, as text: passages (where the document owns them) and stretches to be streamed. marked: doc_id, sequence, text, marks."""
-    names = ["owner", "is_doc", "doc_id", "sequence", "first", "n", "text"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+def _passages(owners: DataFrame, p: PhraseParams) -> DataFrame:
+    """(owner, n, text) of every run of windows that a document owns. owners: doc_id, text, own (the places of its windows)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, sequence, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                words, (at, owner) = text.split(), (x.to_numpy() for x in marks.values.flatten())
-                by = np.lexsort((at, owner))
-                at, owner = at[by], owner[by]
-                cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) != 0)) + 1
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words, at = text.split(), np.sort(own.values.to_numpy())
+                cuts = np.flatnonzero(np.diff(at) > 1) + 1
                 for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
                     piece = words[at[lo] : at[hi - 1] + p.window]
                     if len(piece) >= p.window:  # another row of the same id may be shorter
-                        out.append((owner[lo], owner[lo] != doc, doc, sequence, at[lo], len(piece), b" ".join(piece)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+                        out.append((doc, len(piece), b" ".join(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["owner", "n", "text"])
 
-    return marked.select("doc_id", "sequence", "text", "marks").mapInArrow(run, "owner long, is_doc boolean, doc_id long, sequence binary, first int, n int, text binary")
+    return owners.select("doc_id", "text", "own").mapInArrow(run, "owner long, n long, text binary")
 
 
 class Automaton:
@@ -172,24 +175,24 @@ class Automaton:
 
 
 def _located(rows: DataFrame, p: PhraseParams) -> DataFrame:
-    """(sequence, first, past) from rows sorted by (shard, salt, is_doc): passages first, then stretches of documents."""
+    """(sequence, first, past) from rows sorted by (shard, salt, is_doc): passages first, then whole documents."""
 
     def run(batches):
         group, passages, machine = None, [], None
         for batch in batches:
             out = []
-            for shard, salt, is_doc, owner, doc, sequence, first, text in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for shard, salt, is_doc, doc, sequence, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (shard, salt) != group:
                     group, passages, machine = (shard, salt), [], None
                 if not is_doc:
-                    passages.append((owner, text))
+                    passages.append((doc, text))
                 elif passages:
                     machine = machine or Automaton(passages, p)
-                    out += [(sequence, first + a, first + b) for a, b in machine.stretches(doc, text)]
+                    out += [(sequence, a, b) for a, b in machine.stretches(doc, text)]
             types = [pa.binary(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["sequence", "first", "past"])
 
-    return rows.select("shard", "salt", "is_doc", "owner", "doc_id", "sequence", "first", "text").mapInArrow(run, "sequence binary, first int, past int")
+    return rows.select("shard", "salt", "is_doc", "doc_id", "sequence", "text").mapInArrow(run, "sequence binary, first int, past int")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -224,18 +227,27 @@ def repeated_passages(docs: DataFrame, p: PhraseParams = PhraseParams(), id_col:
     candidates = _slim(docs, id_col, text_col).join(per_doc.join(reps.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     candidates = save(_own_text(candidates).join(reps, ["doc_id", "sequence"], "left_semi").dropDuplicates(["sequence"]), "candidates")
     windows = save(_confirming(candidates, p), "windows")
-    owned = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
-    owned = save(owned.select("window", "owner"), "owned")
-    marks = windows.join(owned, "window").groupBy("doc_id").agg(F.collect_list(F.struct("at", "owner")).alias("marks"))
+    window, doc = ["window", "window_2"], F.col("doc_id")
+    owned = windows.groupBy(window).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
+    owned = save(owned.select(*window, "owner"), "owned")
+    marks = windows.join(owned, window).groupBy("doc_id").agg(
+        F.collect_list(F.when(doc == F.col("owner"), F.col("at"))).alias("own"), F.collect_set(F.when(doc != F.col("owner"), F.col("owner"))).alias("owners")
+    )
+    marks = save(marks, "marks")
     texts = candidates.select("doc_id", "sequence", "text")
-    runs = save(_runs(texts.join(marks, "doc_id"), p), "runs")
-    size = runs.agg(F.sum(F.when(~F.col("is_doc"), F.col("n"))).alias("own"), F.sum(F.when(F.col("is_doc"), F.col("n"))).alias("streamed")).first()
-    shards = max(1, -(-(size["own"] or 0) // p.shard_words))
-    sharded = runs.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    load = sharded.where("is_doc").groupBy("shard").agg(F.ceil(F.sum("n") / p.task_words).alias("salts"))
-    salt = F.when(F.col("is_doc"), F.array(F.pmod(F.xxhash64("sequence", "first"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-    dealt = sharded.join(load, "shard").withColumn("salt", F.explode(salt)).repartition(shards + (size["streamed"] or 0) // p.task_words, "shard", "salt")
-    found = save(_located(dealt.sortWithinPartitions("shard", "salt", "is_doc", "owner"), p), "stretches")
+    passages = save(_passages(texts.join(marks.where(F.size("own") > 0), "doc_id"), p), "passages")
+    shards = max(1, -(-(passages.agg(F.sum("n")).first()[0] or 0) // p.shard_words))
+    shard = lambda owner: F.pmod(F.xxhash64(owner), F.lit(shards))
+    routes = marks.where(F.size("owners") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("owners", shard))).alias("shard"))
+    # A text counts with its bytes over six, about its words, so that no text is read to plan the tasks.
+    sizes = candidates.select("doc_id", (F.octet_length("text") / 6).alias("n"))
+    load = save(routes.join(sizes, "doc_id").groupBy("shard").agg(F.ceil(F.sum("n") / p.task_words).alias("salts")), "load")
+    tasks = load.agg(F.sum("salts")).first()[0] or 1
+    streamed = texts.join(routes, "doc_id").join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("sequence"), F.col("salts"))).withColumn("is_doc", F.lit(True))
+    held = passages.select(F.col("owner").alias("doc_id"), F.lit(None).cast("binary").alias("sequence"), "text", shard("owner").alias("shard")).join(load, "shard")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("is_doc", F.lit(False))
+    dealt = held.unionByName(streamed).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "is_doc", "doc_id")
+    found = save(_located(dealt, p), "stretches")
     cut = _cut(texts.join(found.groupBy("sequence").agg(F.collect_set(F.struct("first", "past")).alias("stretches")), "sequence"))
     judged = save(classes.join(cut, "sequence", "left"), "judged")
     out = known.select("doc_id", "n_words", "sequence", "words_sha256").join(judged, "sequence", "left")
