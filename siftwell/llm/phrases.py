@@ -6,7 +6,7 @@ covers it also starts in a document with a smaller id.
 1. Every document gives the minima of its ``seed``-word shingle hashes over each window (winnowing:
    equal windows have equal minima, so a recurring window has a recurring fingerprint).
 2. Documents with equal word sequences are one class; all but its smallest id lose everything.
-3. Windows with a recurring fingerprint are grouped by their 128-bit hash; those in two documents or
+3. Windows with a recurring fingerprint are grouped by their 96-bit hash; those in two documents or
    more are confirmed, and belong to the smallest id. Runs of them are that owner's passages.
 4. The passages' aligned ``block``-word pieces (every window inside a passage holds one) are
    compiled into automata with pyahocorasick, one a shard of ``shard_words`` passage words. Every
@@ -17,7 +17,7 @@ covers it also starts in a document with a smaller id.
 What is routed is a shard number for each document and owner, no positions. The documents of a shard are split over
 as many tasks as they need (each compiles the shard's automaton), so a passage that a third of all
 documents share is no hot spot. What is removed was compared word by word; hashes only choose what
-to compare (a window whose 128-bit hash is also that of another one in a smaller id would stay).
+to compare (a window whose 96-bit hash is also that of another one in a smaller id would stay).
 
 Defined results: null texts have no words; texts of fewer words than a window lose nothing;
 rows with a null id neither lose words nor count as smaller; exact repeats of a row don't remove
@@ -68,7 +68,7 @@ def _marks(w: np.ndarray, p: PhraseParams) -> np.ndarray:
 
 
 def _windows(w: np.ndarray, p: PhraseParams) -> list[np.ndarray]:
-    """Two independent hashes of every window: 128 bits."""
+    """Two independent hashes of every window, of 64 and 32 bits: of 10^13 windows a thousandth of a pair has both alike."""
     far, out = p.window - p.block, []
     for words in (w, mixed(w ^ np.uint64(0xD6E8FEB86659FD93))):
         half = shingle_hashes(words, p.block)
@@ -110,10 +110,10 @@ def _confirming(candidates: DataFrame, p: PhraseParams) -> DataFrame:
                     if len(hashes) < p.window:
                         continue
                     at = np.flatnonzero(np.isin(_marks(hashes, p).view(np.int64), prints.values.to_numpy()))
-                    windows = [pa.array(x[at].view(np.int64)) for x in _windows(hashes, p)]
-                    yield pa.RecordBatch.from_arrays([*windows, pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "window_2", "doc_id", "at"])
+                    window, more = (x[at] for x in _windows(hashes, p))
+                    yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["window", "window_2", "doc_id", "at"])
 
-    return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, window_2 long, doc_id long, at int")
+    return candidates.select("doc_id", "text", "prints").mapInArrow(run, "window long, window_2 int, doc_id long, at int")
 
 
 def _passages(owners: DataFrame, p: PhraseParams) -> DataFrame:
@@ -226,7 +226,7 @@ def repeated_passages(docs: DataFrame, p: PhraseParams = PhraseParams(), id_col:
     reps = classes.select(F.col("rep").alias("doc_id"), "sequence")
     candidates = _slim(docs, id_col, text_col).join(per_doc.join(reps.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     candidates = save(_own_text(candidates).join(reps, ["doc_id", "sequence"], "left_semi").dropDuplicates(["sequence"]), "candidates")
-    windows = save(_confirming(candidates, p), "windows")
+    windows = _confirming(candidates, p)  # computed twice: cheaper than to keep a row for each window
     window, doc = ["window", "window_2"], F.col("doc_id")
     owned = windows.groupBy(window).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
     owned = save(owned.select(*window, "owner"), "owned")
