@@ -95,7 +95,7 @@ def test_steering_pins_and_drops(spark):
 def test_like_without_a_vector_relieves_nothing(spark):
     """A liked photo without a vector has no direction, so repeating what it shows costs as much as without it."""
     vec = lambda i: None if i == 11 else [1.0, 0.0] if i < 6 else [0.0, 1.0]
-    x = rank.rank(rank.score(photos(spark, *[dict(embedding=vec(i), taken_at_ms=None, color_signature=[20 * i] * 32, focus=0.07 if 6 <= i < 11 else 1.0) for i in range(12)])))
+    x = rank.rank(rank.score(photos(spark, *[dict(embedding=vec(i), taken_at_ms=None, color_signature=[20 * i] * 32, focus=0.08 if 6 <= i < 11 else 1.0) for i in range(12)])))
     taps = spark.createDataFrame([(1, 11, "like")], "session_id long, photo_id long, action string")
     got = [r.photo_id for r in steer.steered_selection(x, taps, [1.0], 0.0).orderBy("pick").collect()]
     free = x.withColumn("seed", F.col("photo_id") == 11)
