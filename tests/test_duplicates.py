@@ -143,3 +143,15 @@ def test_sessions_without_vectors_or_colours(spark):
             x["color_signature"] = None if x["rank"] == 1 else []
     got = {x.photo_id: x.leader_id for x in cluster.leader_groups(frame(spark, rows)).collect()}
     assert got == {10: 10, 11: 10, 20: 20, 21: 20, 30: 30, 31: 31}
+
+
+def test_hashes_of_one_source_meet_in_few_pairs(spark):
+    """Photos of one source share most slices of their hashes; only those that differ in few bits come out, once they are distinct."""
+    r = random.Random(8)
+    tails = [r.getrandbits(32) for _ in range(60)]
+    hashes = [f"{'3a7c' * 14}{t:08x}" for t in [*tails, tails[0] ^ 7]]
+    df = frame(spark, [dict(session_id=1, rank=i + 1, photo_id=i, hash=h, color_signature=[60] * 32, taken_at_ms=None, embedding=None) for i, h in enumerate(hashes)])
+    slim = df.select("session_id", F.struct("rank", "hash", "color_signature", "taken_at_ms", F.lit(False).alias("has")).alias("side"))
+    want = {(i + 1, j + 1) for j, b in enumerate(hashes) for i, a in enumerate(hashes[:j]) if (int(a, 16) ^ int(b, 16)).bit_count() <= P.duplicate_strict}
+    found = duplicates.hash_candidates(slim, P).distinct().collect()
+    assert (1, 61) in want and len(found) == len(want) and {tuple(x)[-2:] for x in found} == want
