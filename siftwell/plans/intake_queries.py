@@ -20,7 +20,7 @@ KEYS = ["session_id", "photo_id"]
 
 def _batch(spark, d) -> DataFrame:
     """All inputs with metrics where they could be measured: every ninth photo could not."""
-    p = src.derived_photos(spark, d)
+    p = cluster.materialise(src.derived_photos(spark, d))
     inputs = p.select(*KEYS, "upload_idx", "size")
     return intake.with_metrics(inputs, p.where("photo_id % 9 <> 0").drop("upload_idx", "size"))
 
@@ -59,19 +59,17 @@ def ranked_without_collapsed(spark, d):
     return intake.uncollapsed(r, cluster.leader_groups(r, QUERY)).select(*KEYS, "rank")
 
 
-def kept_photos(spark, d):
-    analysed, other = intake.split(_batch(spark, d))
-    r = rank.rank(rank.score(analysed, QUERY))
-    picks = select.best_photos(analysed, W, BIAS, QUERY)
-    return intake.kept(intake.uncollapsed(r, cluster.leader_groups(r, QUERY)), picks, other)
-
-
 def _kept(spark, d):
-    """(analysed and ranked, unanalysed, selected, kept ids) of a batch."""
+    """(analysed and ranked, unanalysed, selected, kept ids) of a batch; ranked and grouped once."""
     analysed, other = intake.split(_batch(spark, d))
     r = cluster.materialise(rank.rank(rank.score(analysed, QUERY)))
-    picks = cluster.materialise(select.best_photos(analysed, W, BIAS, QUERY))
-    return r, other, picks, intake.kept(intake.uncollapsed(r, cluster.leader_groups(r, QUERY)), picks, other)
+    groups = cluster.materialise(cluster.leader_groups(r, QUERY))
+    picks = cluster.materialise(select.best_of(r, groups, W, BIAS, QUERY))
+    return r, other, picks, intake.kept(intake.uncollapsed(r, groups), picks, other)
+
+
+def kept_photos(spark, d):
+    return _kept(spark, d)[3]
 
 
 def kept_rows(spark, d):

@@ -89,3 +89,19 @@ def test_affinity_in_blocks(spark):
 def test_unlike_hashes_and_colours_do_not_stop_a_selection(spark):
     pool = contenders(spark, 1, {1: (12, 5, ())}).withColumn("hash", F.lit(None).cast("string"))
     assert len(picked(pool)) == 5
+
+
+def test_texts_are_hashed_before_they_are_joined(spark):
+    from siftwell.sources import photos as src
+
+    plan = src.derived_photos(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan[: plan.index("Join")]
+
+
+def test_a_kept_batch_is_grouped_once(spark, monkeypatch):
+    from siftwell.operators import cluster
+    from siftwell.plans import intake_queries
+
+    calls, real = [], cluster.near_edges
+    monkeypatch.setattr(cluster, "near_edges", lambda *a: calls.append(a) or real(*a))
+    assert intake_queries.kept_photos(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
