@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import small_batches
+
 NUMBERS = ("brightness", "contrast", "clipped_shadows", "clipped_highlights", "dynamic_range", "sharpness", "center_sharpness", "focus", "noise_ratio", "colorfulness")
 MEASURED = "photo_id long, " + ", ".join(f"{c} double" for c in NUMBERS) + ", hash string, signature array<int>, error string"
 
@@ -85,6 +87,7 @@ def measure(images: DataFrame) -> DataFrame:
                     out.append((photo, *[None] * (len(NUMBERS) + 2), str(e)))
             yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(types)), *batch.columns[4:]], [*names, *(f.name for f in kept)])
 
+    small_batches(images.sparkSession)
     schema = ", ".join([MEASURED, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
     return images.select(F.col("photo_id").cast("long"), "width", "height", "data", *[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
@@ -135,4 +138,5 @@ def embed(images: DataFrame, load_model: Callable[[], Callable[[np.ndarray], np.
                     found[i] = x
                 yield pa.RecordBatch.from_arrays([pa.array(photos, pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], pa.string())], ["photo_id", "embedding", "error"])
 
+    small_batches(images.sparkSession)
     return images.select(F.col("photo_id").cast("long"), "width", "height", "data").mapInArrow(run, "photo_id long, embedding array<double>, error string")

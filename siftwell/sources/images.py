@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .headers import EXIF_BYTES, PhotoHeaders, exif_time
+from .tables import small_batches
 
 def _relation(files: DataFrame, *more: str) -> DataFrame:
     """(session_id, upload_idx, id, name, type, size, path, more) of files (path, size, more): a session for each folder, in order of their names."""
@@ -43,6 +44,7 @@ def pixels(spark: SparkSession, path: str, edge: int = 512) -> DataFrame:
                 out.append((origin, small.shape[1], small.shape[0], small.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["path", "width", "height", "data"])
 
+    small_batches(spark)
     images = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
     # Local files are named file:///x by one source and file:/x by the other.
     origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
@@ -96,13 +98,17 @@ def analyse(spark: SparkSession, path: str, edge: int = 512) -> DataFrame:
 
 def generated_images(spark: SparkSession, ids: DataFrame, width: int = 48, height: int = 40) -> DataFrame:
     """(photo_id, width, height, data): an image drawn by formula for every id."""
+    most = max(1, (4 << 20) // (3 * width * height))
 
     def run(batches):
         x, y = np.meshgrid(np.arange(width), np.arange(height))
         for batch in batches:
-            drawn = [np.stack([(x * 7 + y * 3 + k * 31 + (x * y) % 11) % 256, (x * 5 + y * 11 + k * 17) % 256, (x * y + k * 13) % 256], 2).astype(np.uint8).tobytes() for k in batch.column(0).to_pylist()]
-            n = len(drawn)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(drawn, pa.binary())], ["photo_id", "width", "height", "data"])
+            for lo in range(0, batch.num_rows, most):
+                part = batch.column(0).slice(lo, most)
+                drawn = [np.stack([(x * 7 + y * 3 + k * 31 + (x * y) % 11) % 256, (x * 5 + y * 11 + k * 17) % 256, (x * y + k * 13) % 256], 2).astype(np.uint8).tobytes() for k in part.to_pylist()]
+                n = len(drawn)
+                yield pa.RecordBatch.from_arrays([part, pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(drawn, pa.binary())], ["photo_id", "width", "height", "data"])
 
+    small_batches(spark)
     return ids.select(F.col(ids.columns[0]).cast("long").alias("photo_id")).mapInArrow(run, "photo_id long, width int, height int, data binary")
 

@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,12 @@ def test_nothing_to_measure(spark):
     assert pixel_arrays.measure(none).count() == 0
     odd = spark.createDataFrame([(1, None, 3, b"abc"), (2, 1, 1, None)], none.schema)
     assert pixel_arrays.measure(odd).where(F.col("error").isNotNull()).count() == 2
+
+
+def test_images_cross_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = images.generated_images(spark, spark.range(0, 4000, 1, 1)).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 10 << 20
