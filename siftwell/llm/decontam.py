@@ -27,6 +27,8 @@ empty table on either side gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import compress, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -285,6 +287,7 @@ def _matches(rows: DataFrame, items: list, projection: np.ndarray, df: np.ndarra
     def run(batches):
         keys, texts, latent, projection, rare = ship.value
         arrays = [np.frombuffer(t, np.uint64) for t in texts]
+        parts = [_part(t) for t in arrays]
         known, weighs = np.zeros(0x10000, bool), projection.any(axis=1)
         step = max(16, (1 << 22) // len(keys))  # cosines at a time
         padded = _with_zero(projection)
@@ -298,11 +301,14 @@ def _matches(rows: DataFrame, items: list, projection: np.ndarray, df: np.ndarra
                 for lo in range(0, len(z), step):
                     i, j = np.nonzero(z[lo : lo + step] @ latent >= p.min_cosine)
                     pairs.update(zip(row[lo + i].tolist(), j.tolist(), strict=True))
-                for r, j in sorted(pairs):
-                    got = _best_stretch(words[offsets[r] : offsets[r + 1]], arrays[j], known, p)
-                    if got and got[0] > best.get((ids[r], j), (-1,))[0]:
-                        a, b = np.searchsorted(row, (r, r + 1))
-                        best[ids[r], j] = (got[0], float((z[a:b] @ latent[:, j]).max()), *got[1:])
+                for r, some in groupby(sorted(pairs), key=itemgetter(0)):
+                    text, chosen = words[offsets[r] : offsets[r + 1]], [j for _, j in some]
+                    held = _held(text, [parts[j] for j in chosen], known)
+                    for j in compress(chosen, (held >= min(p.lcs_percent, p.answer_lcs_percent)).tolist()):
+                        got = _best_stretch(text, arrays[j], known, p)
+                        if got and got[0] > best.get((ids[r], j), (-1,))[0]:
+                            a, b = np.searchsorted(row, (r, r + 1))
+                            best[ids[r], j] = (got[0], float((z[a:b] @ latent[:, j]).max()), *got[1:])
             out = [(d, keys[j], *v) for (d, j), v in best.items()]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["doc_id", "item_id", "lcs_percent", "cosine", "first_word", "answer"])
@@ -315,6 +321,15 @@ def _width(n: int) -> int:
     return max(n * 5 // 4, 1)
 
 
+def _held(row: np.ndarray, items: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Per cent of each item's words (16-bit parts) that stand anywhere in a row: no stretch of it covers more. ``known`` is left as it is, all false."""
+    part, sizes = _part(row), np.array([len(x) for x in items])
+    known[part] = True
+    held = np.add.reduceat(known[np.concatenate(items)].astype(np.int64), np.cumsum(sizes) - sizes)
+    known[part] = False
+    return 100 * held // sizes
+
+
 def _best_stretch(row: np.ndarray, item: np.ndarray, known: np.ndarray, p: DecontamParams) -> tuple | None:
     """(lcs percent, first word, answer) of the stretch of 1.25 item lengths that covers most of the item, or None.
 

@@ -340,3 +340,24 @@ def test_no_text_counts_as_a_special_token():
     plain, own = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={}), tokens.Encoder(v)
     for text in ("", tokens.NOT_ALLOWED, f"a {tokens.NOT_ALLOWED} b{tokens.NOT_ALLOWED}", f"é{tokens.NOT_ALLOWED}漢字 \n\n  x", "<|endoftext|>"):
         assert own.of(text) == np.array(plain.encode_ordinary(text), "<u2").tobytes()
+
+
+def test_op8_rules_out_pairs_before_comparing_stretches():
+    """No stretch covers more of an item than the whole text holds of its words; so what holds too little is not compared word by word."""
+    import numpy as np
+
+    from siftwell.llm import decontam
+
+    rng = np.random.default_rng(4)
+    known, compared = np.zeros(0x10000, bool), 0
+    p = decontam.DecontamParams()
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 60, np.uint64)
+        row, items = rng.choice(pool[: rng.integers(5, 60)], rng.integers(1, 200)), [rng.choice(pool, rng.integers(8, 40)) for _ in range(5)]
+        held = decontam._held(row, [decontam._part(x) for x in items], known)
+        assert not known.any()
+        for item, most in zip(items, held, strict=True):
+            got = decontam._best_stretch(row, item, known, p)
+            compared += most < 60
+            assert got is None or got[0] <= most and most >= 60
+    assert compared > 100
